@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, sharding, sstable
+from tideglass.llm import exact_dedup, minhash, sharding, sstable
 
 QUERIES = {
+    "op3_minhash": minhash.op3_minhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sstable": sstable.op7_sstable,
     "op9_sharding": sharding.op9_sharding,
