@@ -259,7 +259,9 @@ def _hot_links(hot: DataFrame, percent: int) -> DataFrame:
     needed = written(needed.select(F.col("x.block").alias("p"), F.col("y.block").alias("q")), "needed")
     pair = F.concat_ws(":", "p", "q")
     sides = needed.select(pair.alias("pair"), F.col("p").alias("block")).unionAll(needed.where("p <> q").select(pair.alias("pair"), F.col("q").alias("block")))
-    held = every.join(cells.select("group", "label", "band", "parts"), (every["group"] == cells["group"]) & every["label"].eqNullSafe(cells["label"]) & (every["band"] == cells["band"])).select(every["group"], "node", every["label"], every["band"], F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    of = cells.select(F.col("group").alias("g"), F.col("label").alias("l"), F.col("band").alias("w"), "parts")
+    held = every.join(of, (F.col("group") == F.col("g")) & F.col("label").eqNullSafe(F.col("l")) & (F.col("band") == F.col("w")))
+    held = held.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     held = held.withColumn("block", F.xxhash64("group", "label", "band", "part")).select("node", "block").join(sides, "block").select("node", "pair")
     links.append(_links(hot.join(held, "node").select(F.col("pair").alias("group"), "node", "signature", "shingles"), percent))
     out = links[0]
