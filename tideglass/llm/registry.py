@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, minhash, sharding, sstable
+from tideglass.llm import exact_dedup, minhash, mixing, packing, sharding, sstable
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sstable": sstable.op7_sstable,
+    "op10_packing": packing.op10_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 SQL = {"op5_exact_dedup": exact_dedup.ORACLE}
