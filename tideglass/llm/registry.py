@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, minhash, mixing, packing, sharding, sstable
+from tideglass.llm import exact_dedup, language, minhash, mixing, packing, quality, sharding, sstable
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sstable": sstable.op7_sstable,
     "op10_packing": packing.op10_packing,
+    "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
 }
-SQL = {"op5_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op1_quality": quality.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
