@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, language, minhash, mixing, packing, quality, sharding, sstable
+from tideglass.llm import exact_dedup, language, minhash, mixing, packing, quality, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sstable": sstable.op7_sstable,
     "op10_packing": packing.op10_packing,
