@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, language, minhash, mixing, packing, quality, sharding, sstable, toxicity
+from tideglass.llm import exact_dedup, language, licenses, minhash, mixing, packing, quality, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_licenses": licenses.op6_licenses,
     "op7_sstable": sstable.op7_sstable,
     "op10_packing": packing.op10_packing,
     "op8_language": language.op8_language,
