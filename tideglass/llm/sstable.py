@@ -6,7 +6,7 @@ A shard is one file, ascending by document id:
 
 * A key is the id as 8 big-endian bytes with the sign bit turned, so that bytes sort as numbers; a null id is the empty key.
 * A block holds entries of about BLOCK bytes: varint length shared with the key before, varint length of the rest, varint number of
-  ids, the rest of the key, the ids as little-endian unsigned 32-bit integers. It is compressed as a whole by zlib at level 1.
+  ids, the rest of the key, the ids as little-endian unsigned 32-bit integers. It is compressed as a whole by zstd.
 * The index has for each block its last key, offset, stored and plain length. The filter has BITS_PER_KEY bits a key.
 * The footer is fixed: offsets and lengths of index and filter, numbers of entries and ids, a checksum and the magic bytes.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import documents, scratch, written
 from tideglass.llm.tokens import END_ID, encoder, model_path, slices
 
-BLOCK, BITS_PER_KEY, PROBES, MAGIC = 64 * 1024, 10, 7, b"TGSST001"
+BLOCK, BITS_PER_KEY, PROBES, CODEC, MAGIC = 64 * 1024, 10, 7, "zstd", b"TGSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")
 ROWS_PER_SHARD = 8_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
@@ -112,7 +112,7 @@ class Writer:
     def _flush(self) -> None:
         if self.block:
             plain = b"".join(self.block)
-            self.index.append((self.last, *self._put(zlib.compress(plain, 1)), len(plain)))
+            self.index.append((self.last, *self._put(pa.compress(plain, codec=CODEC, asbytes=True)), len(plain)))
             self.block, self.size, self.last = [], 0, b""  # the first key of a block is whole
 
     def close(self) -> None:
@@ -149,7 +149,7 @@ class Reader:
 
     def _block(self, k: int) -> Iterator[tuple[bytes, bytes]]:
         _, at, stored, plain = self.index[k]
-        data = zlib.decompress(self.file.read_at(stored, at), bufsize=plain)
+        data = pa.decompress(self.file.read_at(stored, at), decompressed_size=plain, codec=CODEC, asbytes=True)
         i, key = 0, b""
         while i < len(data):
             shared, i = read_varint(data, i)
