@@ -9,19 +9,21 @@ fractional rank, so stretches of either make buckets of even size whatever the s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import documents, without
 
-SHARDS, SEED, ROWS_PER_BUCKET = 8, "tideglass", 20_000
+SHARDS, SEED, LEAST_PER_BUCKET = 8, "tideglass", 2_000
 RESULT = ("law", "shard", "slot", "position", "grown_shard")
 
 
-def _ranked(rows: DataFrame, over: list[str], bucket: str, order: list[Column]) -> DataFrame:
+def ranked(rows: DataFrame, over: list[str], bucket: str, order: list[Column]) -> DataFrame:
     """Add __rank, from 1 within over, by bucket and then order: the rows before the bucket plus the place in it."""
     counts = rows.groupBy(*over, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    # one row for each bucket: for sources, the rows of the table divided by ROWS_PER_BUCKET and the number of sources
+    # one row for each bucket: the square root of the rows, and a few for each source
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*over).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy(*over, bucket).orderBy(*order))
     keys = [*over, bucket]
@@ -33,7 +35,7 @@ def _ranked(rows: DataFrame, over: list[str], bucket: str, order: list[Column])
     return rows.withColumn("__place", place.cast("long")).join(before, on).withColumn("__rank", F.col("__before") + F.col("__place")).drop(*[f"__b_{i}" for i in range(len(keys))], "__before", "__place")
 
 
-def shard_rows(docs: DataFrame, *, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def shard_rows(docs: DataFrame, *, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", least_per_bucket: int = LEAST_PER_BUCKET) -> DataFrame:
     """All rows of docs with shard (from 0), slot (from 0 in the shard, gapless) and position (from 0 over all).
 
     Counts of shards differ by one row at most, and in each shard a source has its share of the table to within a row or so.
@@ -45,16 +47,17 @@ def shard_rows(docs: DataFrame, *, shards: int = SHARDS, seed: str = SEED, id_co
     rows = rows.withColumns({"__source": F.col(source_col), "__key": F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), "__tie": F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])})
     sizes = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__size"))
     total = docs.count()
+    rows_per_bucket = max(least_per_bucket, math.isqrt(total))
     buckets = max(1, -(-total // rows_per_bucket))
     sized = rows.join(sizes.select(F.col("__source").alias("__s"), "__size"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     # The first 32 bits of the key, as a number below 2^32, scaled to the source's own number of buckets.
     stretch = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("__size") / rows_per_bucket) / F.lit(2**32)).cast("long")
-    within = _ranked(sized.withColumn("__bucket", stretch), ["__source"], "__bucket", [F.col("__key"), F.col("__tie")])
+    within = ranked(sized.withColumn("__bucket", stretch), ["__source"], "__bucket", [F.col("__key"), F.col("__tie")])
     # (rank - 1/2) / size in exact integers, scaled to 2^40
     share = F.expr(f"(cast(2 * __rank - 1 as decimal(20, 0)) * {2**40}) div cast(2 * __size as decimal(20, 0))")
     spread = within.withColumns({"__share": share, "__in_source": F.col("__rank")}).drop("__rank", "__bucket", "__key", "__tie", "__size")
     spread = spread.withColumn("__stretch", F.expr(f"(cast(__share as decimal(20, 0)) * {buckets}) div {2**40}"))
-    placed = _ranked(spread, [], "__stretch", [F.col("__share"), F.col("__source").asc_nulls_last(), F.col("__in_source")])
+    placed = ranked(spread, [], "__stretch", [F.col("__share"), F.col("__source").asc_nulls_last(), F.col("__in_source")])
     out = placed.withColumn("position", F.col("__rank") - 1)
     out = out.withColumn("shard", F.expr(f"cast((position * {shards}) div {max(1, total)} as int)"))
     out = out.withColumn("slot", F.col("position") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
