@@ -154,7 +154,7 @@ def _pair_current_hand(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "user_history_prior",
     CURRENT
-    + """ SELECT hand_id, player_id, count(*) OVER w AS prior_hands, round(coalesce(sum(won_amount) OVER w, 0), 6) AS prior_won, floor(coalesce(sum(won_amount) OVER w, 0) / greatest(count(*) OVER w, 1) * 1e6 + 0.00314159) / 1e6 AS prior_won_per_hand,
+    + """ SELECT hand_id, player_id, count(*) OVER w AS prior_hands, round(coalesce(sum(won_amount) OVER w, 0), 6) AS prior_won, floor(round_even(coalesce(sum(won_amount) OVER w, 0) / greatest(count(*) OVER w, 1), 9) * 1e6 + 0.00314159) / 1e6 AS prior_won_per_hand,
   round(coalesce(sum((folds > 0)::INT) OVER w, 0) / greatest(count(*) OVER w, 1), 9) AS prior_fold_rate, round_even(coalesce(sum(raised::INT) OVER w, 0) / greatest(count(*) OVER w, 1), 9) AS prior_raise_rate, round_even(coalesce(sum(saw_flop::INT) OVER w, 0) / greatest(count(*) OVER w, 1), 9) AS prior_flop_rate
 FROM seats WINDOW w AS (PARTITION BY player_id ORDER BY played_at, hand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
