@@ -5,7 +5,7 @@ the root of their number; both are hashed. Both start with one column of smoothe
 A window of WINDOW words runs through a GRU in each direction; attention pools the states; a logistic unit gives the window's
 score. Windows overlap by half, all are scored, and a text has the score of its highest window.
 
-Training is on the driver, on TRAIN documents of each label at most, those with the smallest hashes of their ids. A toxic document
+Training is on the driver, on TRAIN toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids. A toxic document
 teaches by its highest window, a clean one by its two highest, chosen anew in each round.
 
 Scoring is one pass of Arrow batches without a shuffle. What the gates take from a word does not depend on its neighbours, so it is
@@ -15,7 +15,7 @@ computed once for each word in a worker's memo of bounded size; the recurrent pa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from tideglass.llm.language import fold
 from tideglass.llm.tokens import slices
 
 WINDOW, STRIDE, HIDDEN, SIDE, WORD_BUCKETS, GRAM_BUCKETS = 32, 16, 8, 8, 1 << 14, 1 << 16
-TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO = 3_000, 8, 128, 0.01, 0.7, 3, 1, 300_000
+TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK = 2_000, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 f32 = np.float32
 
@@ -47,7 +47,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     code = np.frombuffer("".join(f"{m}    " for m in marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])
     begin = np.concatenate([[0], np.cumsum(sizes + 4)])[:-1]
-    at, which, key = [], [], []
+    which, key = [], []
     for n in (3, 4, 5):
         k = np.maximum(sizes - n + 1, 1 if n == 3 else 0)
         w = np.repeat(np.arange(len(words)), k)
@@ -56,9 +56,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for j in range(n):
             h = (h ^ code[np.minimum(i + j, len(code) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        at.append(i)
-        which.append(w)
-        key.append((h % np.uint64(GRAM_BUCKETS)).astype(np.int64))
+        which.append(w.astype(np.int32))
+        key.append((h % np.uint64(GRAM_BUCKETS)).astype(np.int32))
     which_, key_ = np.concatenate(which), np.concatenate(key)
     order = np.argsort(which_, kind="stable")
     return own.astype(np.int64), key_[order], np.searchsorted(which_[order], np.arange(len(words)))
@@ -162,14 +161,14 @@ def windows(n: int, width: int = WINDOW, stride: int = STRIDE) -> int:
 class Scorer:
     """Scores texts: a memo from words to rows of projected inputs, and the network over windows of rows."""
 
-    def __init__(self, net: Network) -> None:
+    def __init__(self, net: Network, memo: int = MEMO) -> None:
         self.net, self.memo, self.size = net, {}, 1
-        self.table = np.zeros((MEMO, 2, 3 * HIDDEN), f32)
+        self.table = np.zeros((1 + memo, 2, 3 * HIDDEN), f32)
         self.table[0] = net.p["b"]
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        for i in range(0, len(new), CHUNK):
+            some = new[i : i + CHUNK]
             if self.size + len(some) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table[: max(len(some), 100_000)])])
             self.table[self.size : self.size + len(some)] = self.net.projected(self.net.inputs(*word_features(some)))
@@ -208,7 +207,7 @@ class Scorer:
         return np.where([len(r) > 0 for r in rows], sigmoid(best), 0.0).astype(np.float64)
 
 
-def _log_odds(buckets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(buckets: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log-odds of a label of 1 where a bucket occurs in a text."""
     seen = np.zeros((2, size))
     for b, label in zip(buckets, y, strict=True):
@@ -223,21 +222,29 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     net, y, r = Network(seed), np.array(labels, f32), np.random.default_rng(seed)
     if len(set(labels)) < 2:
         return net
-    scorer = Scorer(net)
-    parts = [t.lower().split() for t in texts]
-    vocabulary = sorted(set().union(*parts))
-    number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-    own, grams, begin = word_features(vocabulary)
+    scorer = Scorer(net, 0)
+    number: dict[str, int] = {}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
+    parts = [word_features(vocabulary[i : i + CHUNK]) for i in range(0, len(vocabulary), CHUNK)]
+    before = np.cumsum([0, *(len(g) for _, g, _ in parts)])
+    own, grams = np.concatenate([o for o, _, _ in parts]), np.concatenate([g for _, g, _ in parts])
+    begin = np.concatenate([x + n for (_, _, x), n in zip(parts, before[:-1].tolist(), strict=True)])
+    del parts, vocabulary
     end = np.append(begin[1:], len(grams))
-    rows = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts]
     several = lambda w: np.repeat(begin[w] - np.cumsum(end[w] - begin[w]) + (end[w] - begin[w]), end[w] - begin[w]) + np.arange(int((end[w] - begin[w]).sum()))
-    net.p["word"][:, 0] = _log_odds([own[x] for x in rows], y, WORD_BUCKETS)
-    net.p["gram"][:, 0] = _log_odds([grams[several(np.unique(x))] for x in rows], y, GRAM_BUCKETS)
-    at, of = scorer.layout([x.astype(np.int32) + 1 for x in rows])
+    net.p["word"][:, 0] = _log_odds((own[x] for x in rows), y, WORD_BUCKETS)
+    net.p["gram"][:, 0] = _log_odds((grams[several(np.unique(x))] for x in rows), y, GRAM_BUCKETS)
+    table = np.zeros((1 + len(own), 2, 3 * HIDDEN), f32)
+    at, of = scorer.layout([x + 1 for x in rows])
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     steps = 0
     for _ in range(rounds):
-        table = np.concatenate([np.broadcast_to(net.p["b"], (1, 2, 3 * HIDDEN)), net.projected(net.inputs(own, grams, begin))])
+        table[0] = net.p["b"]
+        for i in range(0, len(own), CHUNK):
+            w = np.arange(i, min(len(own), i + CHUNK))
+            table[1 + w] = net.projected(net.inputs(own[w], grams[begin[i] : end[w[-1]]], begin[w] - begin[i]))
         scorer.table = table
         order = np.lexsort((-scorer.logits(at), of))
         place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
@@ -274,10 +281,10 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Train on the sample: `sample` labelled documents of each label at most, by the smallest hashes of their ids. Null labels and texts teach nothing."""
+    """Train on the sample: `sample` toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids. Null labels and texts teach nothing."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
     place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    some = F.broadcast(written(known.withColumn("nth", place).where(F.col("nth") <= sample).drop("nth"), "sample"))  # sample rows a label
+    some = F.broadcast(written(known.withColumn("nth", place).where(F.col("nth") <= F.when(F.col("y") == 1, sample).otherwise(2 * sample)).drop("nth"), "sample"))  # 3 sample rows at most
     rows = docs.where(F.col(text_col).isNotNull()).join(some, F.col(id_col) == F.col("i")).select("i", F.col(text_col).cast("string").alias("t"), "y").dropDuplicates(["i"]).collect()
     rows = sorted(rows, key=lambda x: x[0])
     return train([x[1] for x in rows], [x[2] for x in rows])
