@@ -78,7 +78,8 @@ def test_windows_and_duplicates(spark, tmp_path):
     at = lambda s: (T0 + timedelta(seconds=s)).isoformat()
     write(tmp_path / "in", [{"id": "a", "t": at(0), "k": "x", "v": 1.0}, {"id": "a", "t": at(0), "k": "x", "v": 1.0}, {"id": "b", "t": at(50), "k": "x", "v": 2.0}], 0)
     write(tmp_path / "in", [{"id": "c", "t": at(200), "k": "x", "v": 4.0}], 1)
-    write(tmp_path / "in", [{"id": "late", "t": at(1), "k": "x", "v": 9.0}], 2)
+    write(tmp_path / "in", [{"id": "d", "t": at(201), "k": "x", "v": 4.0}], 2)  # rows are late by the watermark of the batch before
+    write(tmp_path / "in", [{"id": "late", "t": at(1), "k": "x", "v": 9.0}], 3)
     events = jobs.json_stream(spark, str(tmp_path / "in"), "id string, t timestamp, k string, v double")
     once = stream(jobs.deduplicated(events, ["id"], "t"), spark, "once", tmp_path)
     assert sorted(r.id for r in once.collect())[:3] == ["a", "b", "c"]
