@@ -140,3 +140,26 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert sorted(rows(files.json_lines(spark, str(tmp_path), df.select(F.lit(1).alias("a")).schema), "a")) == [(1,), (2,)]
     assert rows(files.in_list(df, "n", []), "n") == [] and rows(files.in_list(df, "n", ["example"]), "n") == [("example",)]
+
+
+def test_scalars(spark):
+    from tideglass.functions import scalars as S
+
+    def field(number, value):
+        if isinstance(value, int):
+            out = bytes([number << 3])
+            while value >= 128:
+                out += bytes([value & 127 | 128])
+                value >>= 7
+            return out + bytes([value])
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    good = field(1, b"h1") + field(2, b"t") + field(3, 1_500_000) + field(4, b"p1") + field(4, b"p2")
+    df = spark.createDataFrame([(bytearray(good),), (bytearray(good[:-1]),), (None,)], "m binary")
+    got = [r[0] for r in df.select(S.decode_hand("m")).collect()]
+    assert (got[0].hand_id, got[0].pot_micros, got[0].players, got[0].error) == ("h1", 1_500_000, ["p1", "p2"], None) and got[1].error and got[2].error == "no hand"
+    one = spark.createDataFrame([("High", None, 'a"b')], "x string, y string, z string")
+    assert rows(one, S.ordinal(F.col("x"), S.BANKROLL), S.ordinal(F.col("y"), S.BANKROLL), S.hash_fraction(F.col("y")), S.metric_line("m", {"l": F.col("z")}, F.lit(1))) == [(2, 0, 0.0, 'm{l="a\\"b"} 1')]
+    assert rows(one, S.scenario_family(F.lit("pair-0004"), ["a", "b", "c"]), S.scenario_family(F.lit("none"), ["a"])) == [("b", None)]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (2.0,)], "v double")
+    assert rows(odd, S.filled(F.col("v"), 7.0)) == [(7.0,), (7.0,), (7.0,), (2.0,)]
