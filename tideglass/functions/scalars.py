@@ -90,9 +90,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError("unknown wire type")
 
 
-@F.pandas_udf("struct<hand_id: string, table_id: string, pot_micros: long, players: array<string>, error: string>")
-def decode_hand(messages: pd.Series) -> pd.DataFrame:
+HAND = "struct<hand_id: string, table_id: string, pot_micros: long, players: array<string>, error: string>"
+
+
+def decode_hand(message: Column) -> Column:
     """A binary hand message in Arrow batches: 1 hand, 2 table, 3 pot in millionths, 4 players (repeated). What does not parse has an error."""
+    return F.pandas_udf(_decode, HAND)(message)
+
+
+def _decode(messages: pd.Series) -> pd.DataFrame:
     rows = []
     for m in messages:
         try:
