@@ -64,6 +64,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can; a driver's later steps may need it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop input columns that a result column would clash with, in any case of letters."""
     taken = {x.lower() for x in names}

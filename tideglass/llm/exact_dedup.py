@@ -34,8 +34,10 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     keys = _keys(docs.select(id_col, text_col), id_col, text_col, prefix_chars)
     narrow = written(keys.select("__id", "__len", "__prefix"), "dedup-keys")
-    lengths = narrow.groupBy("__len").count().where("count > 1").select("__len")
-    groups = narrow.join(lengths, "__len", "left_semi").groupBy("__len", "__prefix").count().where("count > 1").select("__len", "__prefix")
+    # both groupings from one table of counts, which has one row for a group of copies of any size
+    counts = narrow.groupBy("__len", "__prefix").count()
+    lengths = counts.groupBy("__len").agg(F.sum("count").alias("n")).where("n > 1").select("__len")
+    groups = counts.join(lengths, "__len", "left_semi").where("count > 1").select("__len", "__prefix")
     alive = narrow.join(groups, ["__len", "__prefix"], "left_semi").select("__id").distinct()
     # Whole texts: only of the groups that are left. A Bloom filter goes before this shuffle where Spark finds it worth while.
     full = keys.join(alive, keys["__id"].eqNullSafe(alive["__id"]), "left_semi")

@@ -24,6 +24,8 @@ from tideglass.llm.common import documents, without, written
 from tideglass.llm.tokens import slices
 
 TOP, TRAIN, FOLDS, HELD = 300, 2_000, 5, 0
+#: Stands for a boundary of words: not 0, as n-grams of different lengths must differ, and not a letter.
+EDGE = 1
 RESULT = ("lang_pred", "score", "held_out")
 
 
@@ -40,13 +42,13 @@ def _letters() -> np.ndarray:
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the text in ascending order and their counts. An n-gram is up to three code points of 21 bits; 0 is a boundary."""
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where(_letters()[code], code, 0)
-    code = np.concatenate([[0], code, [0]])
-    code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
+    letter = _letters()[code]
+    code = np.concatenate([[EDGE], np.where(letter, code, EDGE), [EDGE]])
+    code = code[np.concatenate([[True], (code[1:] != EDGE) | (code[:-1] != EDGE)])]
     two = code[:-1] << 21 | code[1:]
     three = two[:-1] << 21 | code[2:]
     # the boundary is no n-gram by itself, and none lies across a boundary
-    return np.unique(np.concatenate([code[code != 0], two[(code[:-1] | code[1:]) != 0], three[code[1:-1] != 0]]), return_counts=True)
+    return np.unique(np.concatenate([code[code != EDGE], two[(code[:-1] != EDGE) | (code[1:] != EDGE)], three[code[1:-1] != EDGE]]), return_counts=True)
 
 
 def top(keys: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -82,11 +84,11 @@ class Profiles:
 
 def learn(docs: DataFrame, *, train: int = TRAIN, size: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages of docs from rows with text and language; languages whose texts have no letter are not learned."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    narrow = known.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, lang_col).alias("h"))
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    narrow = known.select(F.col("own").alias("i"), "lang", F.xxhash64("own", "lang").alias("h"))
     sample = narrow.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("nth") <= train)
     sample = F.broadcast(written(sample.select("i").distinct(), "sample"))  # train rows a language at most
-    texts = known.join(sample, F.col(id_col).eqNullSafe(F.col("i")), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    texts = known.join(sample, F.col("own").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

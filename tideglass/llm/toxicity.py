@@ -1,12 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-Inputs of a word are an embedding of the word and one of its characters, the sum of embeddings of its n-grams of 3 to 5 characters over
-the root of their number; both are hashed. Both start with one column of smoothed log-odds from the training texts, so that training needs few steps.
+Inputs of a word are an embedding of the word and one of its characters, the sum of embeddings of its n-grams of 3 to 5 characters and
+of its first 6 to 8 over the root of their number; both are hashed. Both start with one column of smoothed log-odds from the training texts, so that training needs few steps.
 A window of WINDOW words runs through a GRU in each direction; attention pools the states; a logistic unit gives the window's
 score. Windows overlap by half, all are scored, and a text has the score of its highest window.
 
 Training is on the driver, on TRAIN toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids. A toxic document
-teaches by its highest window, a clean one by its two highest, chosen anew in each round.
+teaches by its highest window, a clean one by its two highest, chosen anew in each round. There are ROUNDS rounds, or more
+where a small sample would give fewer than STEPS steps.
 
 Scoring is one pass of Arrow batches without a shuffle. What the gates take from a word does not depend on its neighbours, so it is
 computed once for each word in a worker's memo of bounded size; the recurrent part runs over thousands of windows at a time.
@@ -19,16 +20,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tideglass.llm.common import documents, without, written
+from tideglass.llm.common import documents, give_back, without, written
 from tideglass.llm.language import fold
 from tideglass.llm.tokens import slices
 
-WINDOW, STRIDE, HIDDEN, SIDE, WORD_BUCKETS, GRAM_BUCKETS = 32, 16, 8, 8, 1 << 14, 1 << 16
-TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK = 2_000, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000
+WINDOW, STRIDE, HIDDEN, SIDE, WORD_BUCKETS, GRAM_BUCKETS = 32, 16, 8, 8, 1 << 14, 1 << 17
+TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK, STEPS, LEAST = 1_500, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000, 400, 3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 f32 = np.float32
 
@@ -48,8 +49,10 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     sizes = np.array([len(m) for m in marked])
     begin = np.concatenate([[0], np.cumsum(sizes + 4)])[:-1]
     which, key = [], []
-    for n in (3, 4, 5):
+    for n in (3, 4, 5, 6, 7, 8):
         k = np.maximum(sizes - n + 1, 1 if n == 3 else 0)
+        if n > 5:
+            k = np.minimum(k, 1)  # of these, the word's beginning only
         w = np.repeat(np.arange(len(words)), k)
         i = begin[w] + np.arange(len(w)) - np.repeat(np.cumsum(k) - k, k)
         h = np.full(len(i), n, np.uint64)
@@ -207,14 +210,15 @@ class Scorer:
         return np.where([len(r) > 0 for r in rows], sigmoid(best), 0.0).astype(np.float64)
 
 
-def _log_odds(buckets: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of a label of 1 where a bucket occurs in a text."""
+def _log_odds(buckets: Iterable[np.ndarray], y: np.ndarray, size: int, strength: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of a label of 1 where a bucket occurs in a text, drawn to 0 as by so many texts of the common mix; and which buckets
+    occur in LEAST texts or more. Rare buckets tell nothing about other texts and could only be learned by heart."""
     seen = np.zeros((2, size))
     for b, label in zip(buckets, y, strict=True):
         seen[int(label), np.unique(b)] += 1
-    n = np.maximum(1, np.array([(y == 0).sum(), (y == 1).sum()]))
-    p = (seen + 2 * seen.sum(axis=0) / n.sum() + 0.05) / (n[:, None] + 2)
-    return np.clip(np.log(p[1] / p[0]), -4, 4)
+    share = np.array([(y == 0).mean(), (y == 1).mean()])[:, None]
+    ratio = (seen + strength * share) / ((seen.sum(axis=0) + strength) * share)
+    return np.clip(np.log(ratio[1] / ratio[0]), -4, 4), seen.sum(axis=0) >= LEAST
 
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7) -> Network:
@@ -234,13 +238,17 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     del parts, vocabulary
     end = np.append(begin[1:], len(grams))
     several = lambda w: np.repeat(begin[w] - np.cumsum(end[w] - begin[w]) + (end[w] - begin[w]), end[w] - begin[w]) + np.arange(int((end[w] - begin[w]).sum()))
-    net.p["word"][:, 0] = _log_odds((own[x] for x in rows), y, WORD_BUCKETS)
-    net.p["gram"][:, 0] = _log_odds((grams[several(np.unique(x))] for x in rows), y, GRAM_BUCKETS)
+    known = {}
+    for name, found in (("word", (own[x] for x in rows)), ("gram", (grams[several(np.unique(x))] for x in rows))):
+        odds, known[name] = _log_odds(found, y, len(net.p[name]))
+        net.p[name][:, 0] = odds
+        net.p[name][~known[name]] = 0
     table = np.zeros((1 + len(own), 2, 3 * HIDDEN), f32)
     at, of = scorer.layout([x + 1 for x in rows])
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     steps = 0
-    for _ in range(rounds):
+    pairs = max(1, int((y > 0).sum() + 2 * (y == 0).sum()))
+    for _ in range(max(rounds, min(10 * rounds, -(-STEPS * BATCH // pairs)))):
         table[0] = net.p["b"]
         for i in range(0, len(own), CHUNK):
             w = np.arange(i, min(len(own), i + CHUNK))
@@ -272,6 +280,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             np.add.at(d["word"], own[k], dv[:, :SIDE])
             n = end[k] - begin[k]
             np.add.at(d["gram"], grams[spread], np.repeat(dv[:, SIDE:] / np.sqrt(n)[:, None].astype(f32), n, axis=0))
+            for name, few in known.items():
+                d[name][~few] = 0
             steps += 1
             for name, g in d.items():  # Adam
                 first[name] += 0.1 * (g - first[name])
@@ -283,11 +293,14 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
     """Train on the sample: `sample` toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids. Null labels and texts teach nothing."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    some = F.broadcast(written(known.withColumn("nth", place).where(F.col("nth") <= F.when(F.col("y") == 1, sample).otherwise(2 * sample)).drop("nth"), "sample"))  # 3 sample rows at most
-    rows = docs.where(F.col(text_col).isNotNull()).join(some, F.col(id_col) == F.col("i")).select("i", F.col(text_col).cast("string").alias("t"), "y").dropDuplicates(["i"]).collect()
-    rows = sorted(rows, key=lambda x: x[0])
-    return train([x[1] for x in rows], [x[2] for x in rows])
+    first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n)  # noqa: E731  the bound of the sample
+    some = F.broadcast(written(first(1, sample).unionAll(first(0, 2 * sample)), "sample"))
+    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    rows = sorted(texts.join(some, F.col("own") == F.col("i")).select("i", "t", "y").dropDuplicates(["i"]).collect(), key=lambda x: x[0])
+    net = train([x[1] for x in rows], [x[2] for x in rows])
+    del rows
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network, *, text_col: str = "text", limit: float = LIMIT) -> DataFrame:
