@@ -2,6 +2,7 @@
 
 import collections
 import random
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -336,6 +337,19 @@ def test_licences_of_the_test_data(spark):
     assert {r.doc_id: r.license for r in licenses.op6_licenses(spark, sf).collect()} == want
 
 
+@pytest.mark.parametrize("width", [28, 72, 80])
+def test_wrapped_licences(spark, width):
+    r = random.Random(1)
+    plain = [" ".join(r.choice(["the", "of", "work", "house", "tree", "and", "this", "under", "public", "green"]) for _ in range(40)) for _ in range(200)]
+    notices = [(f, licenses.TEMPLATES[f][i]) for f, i in (("BSD", 1), ("BSD", 2), ("BSD", 3), ("MIT", 2), ("MIT", 3), ("LGPL", 1), ("GPL", 1), ("Apache", 3))]
+    wrap = lambda s, mark="": "\n".join(mark + x for x in textwrap.wrap(s, width))
+    texts = [wrap(s) for _, s in notices] + [f"{plain[i]}\n{wrap(s, ' * ')}\n *\n * {plain[i + 1]}" for i, (_, s) in enumerate(notices)]
+    # halves of a sentence in two blocks are no notice
+    texts.append(" ".join(notices[0][1].split()[:9]) + "\n \n" + " ".join(notices[0][1].split()[9:18]))
+    got = {x.doc_id: (x.license, x.n_confirmed) for x in licenses.scan(frame(spark, texts), licenses.train(plain)).collect()}
+    assert got == {**{i: (f, 1) for i, (f, _) in enumerate(notices * 2)}, len(texts) - 1: (None, 0)}
+
+
 # sharding, mixing
 
 

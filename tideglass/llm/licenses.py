@@ -1,8 +1,12 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
-A paragraph is a line with a word. Its features are the distinct words and pairs of words that the model knows. Multinomial logistic
-regression gives each licence family and "unknown" a probability; a temperature and a limit for families are calibrated on
-paragraphs that training did not see. A prediction counts when three-word runs of the paragraph cover enough of one sentence of the family's templates.
+A paragraph is a line with a word, or a stretch of neighbouring lines: a notice may be wrapped at any width. Its features are the
+distinct words and pairs of words that the model knows. Multinomial logistic regression gives each licence family and "unknown" a
+probability; a temperature and a limit for families are calibrated on paragraphs that training did not see. A prediction counts when
+three-word runs of the paragraph cover enough of one sentence of the family's templates.
+
+Lines are joined within blocks, which lines without a word separate. For each sentence of the templates, the stretch of at most
+REACH words in the block that covers most of it is one more paragraph, if it covers enough.
 
 Training runs on the driver over the templates' sentences and NEGATIVES paragraphs of the corpus at most, those with the smallest hashes.
 Scanning is DataFrame operations only. The model knows no word that is common in the corpus, and no pair without a rare word, so a
@@ -13,7 +17,7 @@ templates are small tables of bounded size that are broadcast. Counts are combin
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import documents, without, written
@@ -73,7 +77,7 @@ TEMPLATES = {
     ),
 }
 UNKNOWN, NEGATIVES, COMMON, COVER, FALSE_RATE = "unknown", 4_000, 0.002, 0.6, 0.001
-SPLIT = r"[^\p{L}\p{N}]+"
+SPLIT, BETWEEN = r"[^\p{L}\p{N}]+", r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
 
 
 def words_of(paragraph: Column) -> Column:
@@ -93,6 +97,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.col("paragraph").rlike(r"[\p{L}\p{N}]"))
 
 
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, place and text of each block of lines between lines without a word."""
+    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BETWEEN)).alias("block", "text"))
+    return parts.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+
+
 def _words(text: str) -> list[str]:
     return ["".join(x) for x in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
 
@@ -101,6 +111,24 @@ def _grams(words: list[str], n: int) -> set[str]:
     return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+#: Words that a stretch of joined lines spans at most: twice the longest sentence.
+REACH = 2 * max(len(_words(s)) for t in TEMPLATES.values() for s in t)
+
+
+def anchors(cover: float) -> set[str]:
+    """Words of which each text has one that covers this share of a sentence: fewer runs are without them. The longest words come first."""
+    out: set[str] = set()
+    for sentence in (s for t in TEMPLATES.values() for s in t):
+        runs = _grams(words := _words(sentence), 3)
+        left = {r for r in runs if not out & set(r.split(" "))}
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if not left or len(left) < cover * len(runs):
+                break
+            out.add(w)
+            left = {r for r in left if w not in r.split(" ")}
+    return out
+
+
 class Model:
     """weights: n-gram -> one weight a class; classes[0] is unknown."""
 
@@ -163,17 +191,37 @@ def learn(docs: DataFrame, *, negatives: int = NEGATIVES, id_col: str = "doc_id"
     return train([r[0] for r in some.collect()])
 
 
+def _joined(some: DataFrame, runs: DataFrame, cover: float) -> DataFrame:
+    """Of each block and sentence, the stretch of REACH words at most that covers most of it, if that is enough; line is -1 - the sentence's number."""
+    words = some.where(F.col("text").contains("\n")).select("id", "block", "h", words_of(F.col("text")).alias("words"))
+    at = words.select("id", "block", "h", F.posexplode(_runs(F.col("words"), 3)).alias("at", "run")).join(runs.select("number", "run", "runs"), "run")
+    ahead = Window.partitionBy("id", "block", "h", "number").orderBy("at").rangeBetween(0, REACH - 3)
+    at = at.select("id", "block", "h", "number", "at", (F.size(F.collect_set("run").over(ahead)) / F.col("runs")).alias("c"), F.max("at").over(ahead).alias("end")).where(F.col("c") >= cover)
+    best = at.groupBy("id", "block", "h", "number").agg(F.max(F.struct("c", F.col("at") - F.col("end"), "at", "end")).alias("b"))
+    best = best.select(F.col("id").alias("b_id"), F.col("block").alias("b_block"), F.col("h").alias("b_h"), "number", "b.at", "b.end")
+    same = F.col("id").eqNullSafe(F.col("b_id")) & (F.col("block") == F.col("b_block")) & (F.col("h") == F.col("b_h"))
+    return words.join(best, same).select("id", "block", "h", (-1 - F.col("number")).alias("line"), F.slice("words", F.col("at") + 1, F.col("end") - F.col("at") + 3).alias("words"))
+
+
 def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each paragraph that is predicted to grant a licence: id, place, family, probability, coverage and confirmed."""
+    """One row for each paragraph that is predicted to grant a licence: id, block, line in it, family, probability, coverage and confirmed.
+
+    Of joined lines, whose line is below 0, a block has one row for a family at most: only where they confirm what no line of the
+    block does by itself. Lines of the family that are not confirmed are parts of it then and have no rows of their own.
+    """
     spark = docs.sparkSession
     rare = [g for g in model.weights if " " not in g]
     weights = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>"))
-    runs = [(f, i, r, len(g)) for f, t in TEMPLATES.items() for i, s in enumerate(t) if (g := _grams(_words(s), 3)) for r in g]
-    runs = F.broadcast(spark.createDataFrame(runs, "family string, sentence int, run string, runs int"))
-    some = paragraphs(docs, id_col, text_col).withColumn("words", words_of(F.col("paragraph"))).where(F.exists("words", lambda w: w.isin(rare)))
-    some = written(some.drop("paragraph").distinct(), "licence-paragraphs")
-    key = ["id", "place", "h"]
-    some = some.withColumn("h", F.xxhash64("words"))
+    sentences = [(f, s) for f, t in TEMPLATES.items() for s in t]
+    runs = [(f, i, r, len(g)) for i, (f, s) in enumerate(sentences) if (g := _grams(_words(s), 3)) for r in g]
+    runs = F.broadcast(spark.createDataFrame(runs, "family string, number int, run string, runs int"))
+    wanted = sorted({*rare, *anchors(cover)})
+    some = blocks(docs, id_col, text_col).where(F.exists(words_of(F.col("text")), lambda w: w.isin(wanted))).withColumn("h", F.xxhash64("text"))
+    some = written(some.distinct(), "licence-blocks")
+    key = ["id", "block", "h", "line"]
+    lines = some.select("id", "block", "h", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).withColumn("words", words_of(F.col("paragraph"))).drop("paragraph")
+    lines = lines.where(F.exists("words", lambda w: w.isin(rare)))
+    some = written(lines.unionByName(_joined(some, runs, cover)), "licence-paragraphs")
     grams = some.select(*key, F.explode(F.array_distinct(F.concat("words", _runs(F.col("words"), 2)))).alias("gram"))
     sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(model.classes))]
     scored = grams.join(weights, "gram").groupBy(*key).agg(*sums)
@@ -183,11 +231,18 @@ def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str =
     best = F.array_max(F.array(*[F.struct(F.exp(x - most).alias("p"), F.lit(c).alias("family")) for x, c in zip(z[1:], model.classes[1:], strict=True)]))
     scored = scored.select(*key, best["family"].alias("family"), (1 - F.exp(z[0] - most) / total).alias("probability")).where(F.col("probability") > model.limit)
     threes = some.select(*key, F.explode(F.array_distinct(_runs(F.col("words"), 3))).alias("run")).join(runs, "run")
-    covered = threes.groupBy(*key, "family", "sentence").agg((F.count(F.lit(1)) / F.first("runs")).alias("c")).groupBy(*key, "family").agg(F.max("c").alias("coverage"))
-    of = covered.select(F.col("id").alias("c_id"), F.col("place").alias("c_place"), F.col("h").alias("c_h"), F.col("family").alias("c_family"), "coverage")
-    same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("place") == F.col("c_place")) & (F.col("h") == F.col("c_h")) & (F.col("family") == F.col("c_family"))
-    out = scored.join(of, same, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).drop("c_id", "c_place", "c_h", "c_family")
-    return out.withColumn("confirmed", F.col("coverage") >= cover).drop("h")
+    covered = threes.groupBy(*key, "family", "number").agg((F.count(F.lit(1)) / F.first("runs")).alias("c")).groupBy(*key, "family").agg(F.max("c").alias("coverage"))
+    of = covered.select(*[F.col(c).alias(f"c_{c}") for c in (*key, "family")], "coverage")
+    same = F.col("id").eqNullSafe(F.col("c_id"))
+    for c in (*key[1:], "family"):
+        same = same & (F.col(c) == F.col(f"c_{c}"))
+    out = scored.join(of, same, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).drop(*[f"c_{c}" for c in (*key, "family")])
+    out = out.withColumn("confirmed", F.col("coverage") >= cover)
+    each = Window.partitionBy("id", "block", "h", "family")
+    single, one = F.col("line") >= 0, F.row_number().over(each.orderBy((F.col("line") >= 0).cast("int"), F.desc("confirmed"), F.desc("probability"), "line"))
+    out = out.withColumns({"__single": F.max(F.col("confirmed") & single).over(each), "__joined": F.max(F.col("confirmed") & ~single).over(each), "__one": one})
+    alone = single & (F.col("confirmed") | F.col("__single") | ~F.col("__joined"))
+    return out.where(alone | (~single & F.col("confirmed") & ~F.col("__single") & (F.col("__one") == 1))).drop("h", "__single", "__joined", "__one")
 
 
 def scan(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
