@@ -350,6 +350,32 @@ def test_wrapped_licences(spark, width):
     assert got == {**{i: (f, 1) for i, (f, _) in enumerate(notices * 2)}, len(texts) - 1: (None, 0)}
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+def test_licences_where_paragraphs_talk_of_licences(spark, n):
+    r = random.Random(1)
+    talk = ["License: MIT", "licensed as MIT, see the License file", "version 2.0 was released", "MIT License", "license Apache 2.0", "released today under BSD", "GNU public license?", "CC BY", "this work was released to the public"]
+    some = [" ".join(r.choice(["the", "of", "work", "house", "tree", "and", "this", "under", "public", "green"]) for _ in range(20)) for _ in range(n)]
+    model = licenses.train([f"{r.choice(talk)} {r.choice(some)}" if i % 2 else r.choice(talk) for i in range(n)])
+    sentences = [(f, s) for f, t in licenses.TEMPLATES.items() for s in t]
+    texts = [s for _, s in sentences] + talk
+    got = {x.doc_id: (x.license, x.n_confirmed) for x in licenses.scan(frame(spark, texts), model).collect()}
+    assert got == {i: (sentences[i][0], 1) if i < len(sentences) else (None, 0) for i in range(len(texts))}
+
+
+def test_words_looked_for_lose_no_paragraph():
+    r = random.Random(2)
+    words = sorted({w for t in licenses.TEMPLATES.values() for s in t for w in licenses._words(s)})
+    model = licenses.train([x for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall() for x in t.split("\n")][:2000])
+    needed, anchors = model.needed(), licenses.anchors(licenses.COVER, model.seen)
+    assert len(needed) < len(words)
+    for w in [[r.choice(words) for _ in range(r.randrange(1, 25))] for _ in range(3000)] + [licenses._words(s) for t in licenses.TEMPLATES.values() for s in t]:
+        z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licenses._grams(w, 1) | licenses._grams(w, 2) if g in model.weights), np.zeros(len(model.classes)))
+        assert needed & set(w) or 1 - licenses._softmax(z[None] / model.temperature)[0, 0] <= model.limit
+    for s in (s for t in licenses.TEMPLATES.values() for s in t):
+        runs = licenses._grams(licenses._words(s), 3)
+        assert sum(not anchors & set(x.split(" ")) for x in runs) < licenses.COVER * len(runs)
+
+
 # sharding, mixing
 
 

@@ -9,8 +9,9 @@ Lines are joined within blocks, which lines without a word separate. For each se
 REACH words in the block that covers most of it is one more paragraph, if it covers enough.
 
 Training runs on the driver over the templates' sentences and NEGATIVES paragraphs of the corpus at most, those with the smallest hashes.
-Scanning is DataFrame operations only. The model knows no word that is common in the corpus, and no pair without a rare word, so a
-paragraph without any of its words has no feature and is unknown: one membership test a word leaves few paragraphs to explode. Weights and
+Scanning is DataFrame operations only. The model knows all words and pairs of the templates, however common they are in the corpus. One
+membership test a word leaves few paragraphs to explode: it looks for words without which neither the weights can add up to the limit nor
+a sentence can be covered, so it loses no paragraph. The sample's counts of words only choose among such sets of words. Weights and
 templates are small tables of bounded size that are broadcast. Counts are combined before the one shuffle by paragraph.
 """
 
@@ -76,7 +77,7 @@ TEMPLATES = {
         "No part of this publication may be reproduced or transmitted in any form without prior written permission of the copyright holder.",
     ),
 }
-UNKNOWN, NEGATIVES, COMMON, COVER, FALSE_RATE = "unknown", 4_000, 0.002, 0.6, 0.001
+UNKNOWN, NEGATIVES, COVER, FALSE_RATE = "unknown", 4_000, 0.6, 0.001
 SPLIT, BETWEEN = r"[^\p{L}\p{N}]+", r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
 
 
@@ -115,13 +116,13 @@ def _grams(words: list[str], n: int) -> set[str]:
 REACH = 2 * max(len(_words(s)) for t in TEMPLATES.values() for s in t)
 
 
-def anchors(cover: float) -> set[str]:
-    """Words of which each text has one that covers this share of a sentence: fewer runs are without them. The longest words come first."""
+def anchors(cover: float, seen: dict[str, int]) -> set[str]:
+    """Words of which each text has one that covers this share of a sentence: fewer runs are without them. Rare words come first, then long ones."""
     out: set[str] = set()
     for sentence in (s for t in TEMPLATES.values() for s in t):
         runs = _grams(words := _words(sentence), 3)
         left = {r for r in runs if not out & set(r.split(" "))}
-        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        for w in sorted(set(words), key=lambda w: (seen.get(w, 0), -len(w), w)):
             if not left or len(left) < cover * len(runs):
                 break
             out.add(w)
@@ -130,10 +131,28 @@ def anchors(cover: float) -> set[str]:
 
 
 class Model:
-    """weights: n-gram -> one weight a class; classes[0] is unknown."""
-
-    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], temperature: float, limit: float) -> None:
-        self.classes, self.weights, self.bias, self.temperature, self.limit = classes, weights, bias, temperature, limit
+    """weights: n-gram -> one weight a class; classes[0] is unknown. seen: how many paragraphs of the sample hold a word."""
+
+    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], temperature: float, limit: float, seen: dict[str, int]) -> None:
+        self.classes, self.weights, self.bias, self.temperature, self.limit, self.seen = classes, weights, bias, temperature, limit, seen
+
+    def needed(self) -> set[str]:
+        """Words of which each paragraph has one whose probability is above the limit.
+
+        Above it, some family's sum over unknown's is above `room`. Words are left out, common ones first, as long as all n-grams of
+        words that are left out cannot add up to any family's room together; the others are needed.
+        """
+        w, b = np.array(list(self.weights.values())), np.array(self.bias)
+        gain = dict(zip(self.weights, np.maximum(0.0, w[:, 1:] - w[:, :1]), strict=True))
+        room = self.temperature * (np.log(self.limit / (1 - self.limit)) - np.log(len(b) - 1)) - (b[1:] - b[0]) - 1e-6
+        words = {x for g in self.weights for x in g.split(" ")}
+        out: set[str] = set()
+        for x in sorted(words, key=lambda x: (-self.seen.get(x, 0), x)):
+            more = sum(v for g, v in gain.items() if x in (of := g.split(" ")) and out.issuperset({*of} - {x}))
+            if (more <= room).all():
+                out.add(x)
+                room = room - more
+        return words - out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -156,8 +175,7 @@ def train(negatives: list[str], rounds: int = 400, rate: float = 0.5, ridge: flo
             w = _words(sentence)
             least = max(3, (len(w) + 1) // 2)
             rows += [(w, k)] * 4 + [(w[i:j], k) for i in range(0, len(w) - least + 1) for j in range(i + least, len(w) + 1, 2)]
-    rare = {x for w, k in rows if k for x in w if seen.get(x, 0) <= COMMON * len(plain)}
-    known = sorted({g for w, k in rows if k for g in _grams(w, 1) | _grams(w, 2) if any(x in rare for x in g.split(" ")) and (" " in g or g in rare)})
+    known = sorted({g for w, k in rows if k for g in _grams(w, 1) | _grams(w, 2)})
     number = {g: i for i, g in enumerate(known)}
     found = [([number[g] for g in _grams(w, 1) | _grams(w, 2) if g in number], k) for w, k in rows]
     # paragraphs without a feature are all alike: one row, weighted
@@ -171,10 +189,10 @@ def train(negatives: list[str], rounds: int = 400, rate: float = 0.5, ridge: flo
     weight = weight / share[y]  # classes count alike
     one = np.eye(len(classes))[y]
     w, b = np.zeros((len(known), len(classes))), np.zeros(len(classes))
-    fit = ~held
+    fit_x, fit_one, fit_weight = x[~held], one[~held], weight[~held][:, None]
     for _ in range(rounds):
-        g = (_softmax(x[fit] @ w + b) - one[fit]) * weight[fit][:, None]
-        w -= rate * (x[fit].T @ g + ridge * w)
+        g = (_softmax(fit_x @ w + b) - fit_one) * fit_weight
+        w -= rate * (fit_x.T @ g + ridge * w)
         b -= rate * g.sum(axis=0)
     z = x[held] @ w + b if held.any() else x @ w + b
     of = y[held] if held.any() else y
@@ -182,7 +200,10 @@ def train(negatives: list[str], rounds: int = 400, rate: float = 0.5, ridge: flo
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     wrong = np.sort(1 - _softmax(z[of == 0] / temperature)[:, 0]) if (of == 0).any() else np.zeros(1)
     limit = float(max(0.5, wrong[min(len(wrong) - 1, int(np.ceil(len(wrong) * (1 - FALSE_RATE))))]))
-    return Model(classes, {g: w[i].tolist() for g, i in number.items()}, b.tolist(), float(temperature), limit)
+    # a whole sentence of the templates passes, whatever the paragraphs that calibrate the limit are about
+    whole = np.array([[float(g in grams) for g in known] for t in TEMPLATES.values() for s in t for grams in [_grams(_words(s), 1) | _grams(_words(s), 2)]])
+    limit = min(limit, 0.999 * float(1 - _softmax((whole @ w + b) / temperature)[:, 0].max()))
+    return Model(classes, {g: w[i].tolist() for g, i in number.items()}, b.tolist(), float(temperature), limit, {x: seen[x] for x in known if x in seen})
 
 
 def learn(docs: DataFrame, *, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -191,16 +212,19 @@ def learn(docs: DataFrame, *, negatives: int = NEGATIVES, id_col: str = "doc_id"
     return train([r[0] for r in some.collect()])
 
 
+def _hits(words: Column, runs: list[str]) -> Column:
+    """Places of these runs, each with the REACH words from there on."""
+    each = F.filter(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " ").isin(runs))
+    return F.transform(each, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, 3), " ").alias("run"), F.slice(words, i, REACH).alias("words")))
+
+
 def _joined(some: DataFrame, runs: DataFrame, cover: float) -> DataFrame:
     """Of each block and sentence, the stretch of REACH words at most that covers most of it, if that is enough; line is -1 - the sentence's number."""
-    words = some.where(F.col("text").contains("\n")).select("id", "block", "h", words_of(F.col("text")).alias("words"))
-    at = words.select("id", "block", "h", F.posexplode(_runs(F.col("words"), 3)).alias("at", "run")).join(runs.select("number", "run", "runs"), "run")
-    ahead = Window.partitionBy("id", "block", "h", "number").orderBy("at").rangeBetween(0, REACH - 3)
-    at = at.select("id", "block", "h", "number", "at", (F.size(F.collect_set("run").over(ahead)) / F.col("runs")).alias("c"), F.max("at").over(ahead).alias("end")).where(F.col("c") >= cover)
-    best = at.groupBy("id", "block", "h", "number").agg(F.max(F.struct("c", F.col("at") - F.col("end"), "at", "end")).alias("b"))
-    best = best.select(F.col("id").alias("b_id"), F.col("block").alias("b_block"), F.col("h").alias("b_h"), "number", "b.at", "b.end")
-    same = F.col("id").eqNullSafe(F.col("b_id")) & (F.col("block") == F.col("b_block")) & (F.col("h") == F.col("b_h"))
-    return words.join(best, same).select("id", "block", "h", (-1 - F.col("number")).alias("line"), F.slice("words", F.col("at") + 1, F.col("end") - F.col("at") + 3).alias("words"))
+    at = some.select("row", F.inline("hits")).join(runs.select("number", "run", "runs"), "run")
+    ahead = Window.partitionBy("row", "number").orderBy("at").rangeBetween(0, REACH - 3)
+    at = at.select("row", "number", "at", "words", (F.size(F.collect_set("run").over(ahead)) / F.col("runs")).alias("c"), F.max("at").over(ahead).alias("end")).where(F.col("c") >= cover)
+    best = at.groupBy("row", "number").agg(F.max(F.struct("c", F.col("at") - F.col("end"), "at", "end", "words")).alias("b"))
+    return best.select("row", (-1 - F.col("number")).alias("line"), F.slice("b.words", 1, F.col("b.end") - F.col("b.at") + 3).alias("words"))
 
 
 def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,18 +234,21 @@ def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str =
     block does by itself. Lines of the family that are not confirmed are parts of it then and have no rows of their own.
     """
     spark = docs.sparkSession
-    rare = [g for g in model.weights if " " not in g]
+    needed = sorted(model.needed())
     weights = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>"))
     sentences = [(f, s) for f, t in TEMPLATES.items() for s in t]
-    runs = [(f, i, r, len(g)) for i, (f, s) in enumerate(sentences) if (g := _grams(_words(s), 3)) for r in g]
-    runs = F.broadcast(spark.createDataFrame(runs, "family string, number int, run string, runs int"))
-    wanted = sorted({*rare, *anchors(cover)})
-    some = blocks(docs, id_col, text_col).where(F.exists(words_of(F.col("text")), lambda w: w.isin(wanted))).withColumn("h", F.xxhash64("text"))
-    some = written(some.distinct(), "licence-blocks")
-    key = ["id", "block", "h", "line"]
-    lines = some.select("id", "block", "h", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).withColumn("words", words_of(F.col("paragraph"))).drop("paragraph")
-    lines = lines.where(F.exists("words", lambda w: w.isin(rare)))
-    some = written(lines.unionByName(_joined(some, runs, cover)), "licence-paragraphs")
+    of_sentences = [(f, i, r, len(g)) for i, (f, s) in enumerate(sentences) if (g := _grams(_words(s), 3)) for r in g]
+    runs = F.broadcast(spark.createDataFrame(of_sentences, "family string, number int, run string, runs int"))
+    covering = sorted(anchors(cover, model.seen))
+    key = ["row", "line"]
+    some = blocks(docs, id_col, text_col).select("id", "block", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), F.transform(F.split("text", "\n"), words_of).alias("each"))
+    lines = F.filter(F.transform("each", lambda w, i: F.struct(i.alias("line"), w.alias("words"))), lambda x: F.exists(x["words"], lambda w: w.isin(needed)))
+    words = F.flatten("each")
+    wrapped = (F.size("each") > 1) & (F.size(words) > 2) & F.exists("each", lambda x: F.exists(x, lambda w: w.isin(covering)))
+    some = some.select("id", "block", "h", "row", lines.alias("lines"), F.when(wrapped, _hits(words, sorted({r for _, _, r, _ in of_sentences}))).alias("hits"))
+    some = written(some.where((F.size("lines") > 0) | (F.size("hits") > 0)), "licence-blocks")
+    names = some.select(F.col("row").alias("n_row"), "id", "block", "h")
+    some = written(some.select("row", F.inline("lines")).unionByName(_joined(some, runs, cover)), "licence-paragraphs")
     grams = some.select(*key, F.explode(F.array_distinct(F.concat("words", _runs(F.col("words"), 2)))).alias("gram"))
     sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(model.classes))]
     scored = grams.join(weights, "gram").groupBy(*key).agg(*sums)
@@ -232,11 +259,9 @@ def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str =
     scored = scored.select(*key, best["family"].alias("family"), (1 - F.exp(z[0] - most) / total).alias("probability")).where(F.col("probability") > model.limit)
     threes = some.select(*key, F.explode(F.array_distinct(_runs(F.col("words"), 3))).alias("run")).join(runs, "run")
     covered = threes.groupBy(*key, "family", "number").agg((F.count(F.lit(1)) / F.first("runs")).alias("c")).groupBy(*key, "family").agg(F.max("c").alias("coverage"))
-    of = covered.select(*[F.col(c).alias(f"c_{c}") for c in (*key, "family")], "coverage")
-    same = F.col("id").eqNullSafe(F.col("c_id"))
-    for c in (*key[1:], "family"):
-        same = same & (F.col(c) == F.col(f"c_{c}"))
-    out = scored.join(of, same, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).drop(*[f"c_{c}" for c in (*key, "family")])
+    out = scored.join(covered, [*key, "family"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    # rows that repeat are one
+    out = out.join(names, F.col("row") == F.col("n_row")).drop("row", "n_row").dropDuplicates(["id", "block", "h", "line"])
     out = out.withColumn("confirmed", F.col("coverage") >= cover)
     each = Window.partitionBy("id", "block", "h", "family")
     single, one = F.col("line") >= 0, F.row_number().over(each.orderBy((F.col("line") >= 0).cast("int"), F.desc("confirmed"), F.desc("probability"), "line"))
