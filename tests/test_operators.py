@@ -101,6 +101,12 @@ def test_components(spark):
     assert dict(rows(splits.components(e), "node", "component")) == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_splits_keep_rows_without_a_time(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else T0 + timedelta(hours=9 * i)) for i in range(20)], "hand_id int, played_at timestamp")
+    got = dict(rows(splits.temporal_split(df), "hand_id", "index"))
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [*[i for i in range(20) if i % 4], *range(0, 20, 4)] and sorted(got.values()) == list(range(20))
+
+
 def test_review(spark):
     s = spark.createDataFrame([(1, False), (2, True), (3, False)], "k int, above boolean")
     e = spark.createDataFrame([(1, "soft"), (3, "hard")], "k int, rule_id string")

@@ -9,17 +9,17 @@ TEMPORAL = ((0.70, "train"), (0.15, "validation"))
 
 
 def ordered_index(df: DataFrame, time: str, tie: str) -> DataFrame:
-    """Add index, the place of each row in the order of (time, tie), from 0, and total.
+    """Add index, the place of each row in the order of (time, tie), from 0, and total. Rows without a time come last.
 
     Built from days: counts of the days before, and the place within the day. No task holds all rows.
     """
     day = F.to_date(time)
     counts = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    every = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    every = Window.orderBy(F.asc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
     before = counts.select(F.col("__day").alias("__d"), F.coalesce(F.sum("__n").over(every), F.lit(0)).alias("__before"))
     total = counts.agg(F.sum("__n").alias("total"))
-    inside = F.row_number().over(Window.partitionBy("__day").orderBy(time, tie)) - 1
-    out = df.withColumn("__day", day).withColumn("__inside", inside).join(before, F.col("__day") == F.col("__d"))
+    inside = F.row_number().over(Window.partitionBy("__day").orderBy(F.asc_nulls_last(time), F.asc_nulls_last(tie))) - 1
+    out = df.withColumn("__day", day).withColumn("__inside", inside).join(before, F.col("__day").eqNullSafe(F.col("__d")))
     return out.withColumn("index", (F.col("__before") + F.col("__inside")).cast("long")).crossJoin(F.broadcast(total)).drop("__day", "__d", "__inside", "__before")  # one row
 
 
