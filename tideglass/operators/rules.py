@@ -11,8 +11,8 @@ PAIR_RULES = (
     ("pair.same-device", "same_device", "eq", 1.0, 100.0),
     ("pair.same-network", "same_network", "eq", 1.0, 100.0),
     ("pair.outcome-asymmetry", "outcome_asymmetry", "gt", 0.0, 100.0),
-    ("pair.a-folds-b-wins", "a_fold_b_win_rate", "gt", 0.0, 100.0),
-    ("pair.b-folds-a-wins", "b_fold_a_win_rate", "gt", 0.0, 100.0),
+    ("pair.a-fold-b-win-rate", "a_fold_b_win_rate", "gt", 0.0, 100.0),
+    ("pair.b-fold-a-win-rate", "b_fold_a_win_rate", "gt", 0.0, 100.0),
 )
 ENSEMBLE_WEIGHTS = {"m1": 0.23, "m2": 0.23, "m3": 0.23, "m4": 0.09, "m5": 0.10, "rule": 0.12}
 #: The two published sets of limits, which disagree: (high, medium).

@@ -214,7 +214,7 @@ def _rules_only(spark: SparkSession, d: str) -> DataFrame:
     + """ SELECT hand_id, pair_key, rule_id, 1 AS rule_version, round_even(v, 9) AS observed, round(v * 100, 7) AS raw_score FROM (
   SELECT hand_id, pair_key, 'pair.one-folded-other-won' AS rule_id, (afbw OR bfaw)::INT::DOUBLE AS v FROM scored WHERE afbw OR bfaw UNION ALL
   SELECT hand_id, pair_key, 'pair.same-device', same_device::DOUBLE FROM scored WHERE same_device = 1 UNION ALL SELECT hand_id, pair_key, 'pair.same-network', same_network::DOUBLE FROM scored WHERE same_network = 1 UNION ALL
-  SELECT hand_id, pair_key, 'pair.outcome-asymmetry', asym FROM scored WHERE round_even(asym, 9) > 0 UNION ALL SELECT hand_id, pair_key, 'pair.a-folds-b-wins', ab FROM scored WHERE ab > 0 UNION ALL SELECT hand_id, pair_key, 'pair.b-folds-a-wins', ba FROM scored WHERE ba > 0)""",
+  SELECT hand_id, pair_key, 'pair.outcome-asymmetry', asym FROM scored WHERE round_even(asym, 9) > 0 UNION ALL SELECT hand_id, pair_key, 'pair.a-fold-b-win-rate', ab FROM scored WHERE ab > 0 UNION ALL SELECT hand_id, pair_key, 'pair.b-fold-a-win-rate', ba FROM scored WHERE ba > 0)""",
 )
 def _rule_evidence(spark: SparkSession, d: str) -> DataFrame:
     e = rules.rule_evidence(scored_pairs(spark, d), ["hand_id", "pair_key"])
