@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.sources.scratch import discard, written
+
 TEMPORAL = ((0.70, "train"), (0.15, "validation"))
 
 
@@ -56,18 +58,22 @@ def order_audit(assigned: DataFrame, time: str = "played_at") -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
-    """node and component, its smallest member, by passing the smallest label on until nothing changes; each round is checkpointed."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label"))
-    labels = labels.select(F.col("x").alias("node"), "label").checkpoint()
+    """node and component, its smallest member, by passing the smallest label on until nothing changes.
+
+    In each round a node takes the least label of its neighbours and the label of its label, so that paths shorten by half. Edges with a
+    null end count for nothing. Each round is a written table; the one before goes. One number a round reaches the driver.
+    """
+    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
+    both = written(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("to")).agg(F.min("label").alias("least"))
-        # and the label of the label: paths shorten by half each round
         of = labels.select(F.col("node").alias("l"), F.col("label").alias("far"))
         new = labels.join(near, F.col("node") == F.col("to"), "left").join(of, F.col("label") == F.col("l"), "left")
-        new = new.select("node", F.least("label", "least", "far").alias("label"), F.col("label").alias("old")).checkpoint()
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        new = written(new.select("node", F.least("label", "least", "far").alias("label"), F.col("label").alias("old")), "labels")
+        discard(labels)
+        labels = new
+        if new.where("label <> old").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +12,6 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 FORBIDDEN = ("is_suspicious", "collusion_pair_id", "is_collusive", "label", "labels", "hidden_state", "scenario_family")
 
 
-def local_checkpoint_dir() -> str:
-    """For local runs without spark.checkpoint.dir only."""
-    return tempfile.mkdtemp(prefix="tideglass-")
-
-
 def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
     """Rows whose column is one of the values; an empty list gives no row and reads nothing. Long lists become a semi join."""
     if not values:
