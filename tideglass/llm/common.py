@@ -10,59 +10,18 @@ Rules that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.sources.scratch import discard, scratch, written  # noqa: F401  the operators' tables between steps
+
 #: A word: code points other than the blank and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same, for Spark's regular expressions inside SQL literals.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a local one is set."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tideglass-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder. The operator's caller may delete it once the result is written; else it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/tideglass/{what}-{uuid.uuid4().hex[:12]}"
-    _scratch.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder on any file system that Spark can write to."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
-        if getattr(spark.sparkContext, "_jsc", None) is not None:
-            delete(spark, path)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: it cuts the lineage, is computed once and outlives any executor."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def give_back() -> None:
     """Return memory that this process has freed to the system, where the C library can; a driver's later steps may need it."""
