@@ -1,8 +1,12 @@
 """Exact dedup by progressive refinement: length, then hash of a prefix, then hash of the whole text.
 
-The first two steps need one narrow scan, whose keys are a few bytes a row. Only documents whose length and prefix hash occur
-twice have their whole text hashed. Each grouping is a partial aggregation, so a group that holds a third of all rows shrinks to
-one row a task before it is shuffled, and the joins back carry no text and are sort-merge joins that AQE can split.
+1. One scan yields narrow keys: id, length, hash of the prefix. Rows are grouped by length, then by prefix within the lengths that
+   occur twice. Each grouping is a partial aggregation, so a group that holds a third of all rows shrinks to one row a task.
+2. A second scan computes the whole text's hash, in the scan, of what a Bloom filter of the surviving (length, prefix) lets through. Only
+   the hash is shuffled, never a text.
+3. Verdicts by (id, hash) go back to the rows that have such a hash; all others are without equals and are passed on as they are.
+
+Both joins by hash are between plain tables, which AQE can split where a group is hot.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.llm.bloom import Bloom
 from tideglass.llm.common import ascii_lower, documents, without, written
 
 PREFIX_CHARS = 64
@@ -21,45 +26,60 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"__id": F.col(id_col), "__len": F.octet_length(text), "__prefix": F.xxhash64(normalised(F.substring(text, 1, prefix_chars)))})
-
+class Refinement:
+    """The three steps over docs. hashed: id and hash of each row that may have equals; groups: hash, keep_id and group_size of what is equal."""
 
-def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row for each document that has equals: __id, __len, __prefix, keep_id (the largest id of the group) and group_size.
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> None:
+        self.id_col, self.text = id_col, F.col(text_col).cast("string")
+        text = F.coalesce(self.text, F.lit(""))
+        self.length, self.prefix = F.octet_length(text), F.xxhash64(normalised(F.substring(text, 1, prefix_chars)))
+        narrow = written(docs.select(self.length.alias("length"), self.prefix.alias("prefix")), "dedup-keys")
+        # both groupings from one table of counts, which has one row for a group of copies of any size
+        counts = written(narrow.groupBy("length", "prefix").count(), "dedup-counts")
+        lengths = counts.groupBy("length").agg(F.sum("count").alias("n")).where("n > 1").select("length")
+        alive = written(counts.where("count > 1").join(lengths, "length", "left_semi").select("length", "prefix"), "dedup-alive")
+        self.bloom = Bloom(alive, F.xxhash64("length", "prefix"))
+        hashed = self.with_hash(docs.select(id_col, text_col)).where("__sha is not null").select(F.col(id_col).alias("id"), F.col("__sha").alias("sha"))
+        self.hashed = written(hashed, "dedup-hashes")
+        groups = self.hashed.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        self.groups = written(groups, "dedup-groups")
 
-    Rows that repeat count as copies of each other. Null ids sort below all others. Rows that share the id, the length and the
-    prefix but not the rest of the text count as one row of the text with the smallest hash. An empty table has no decisions.
-    """
-    keys = _keys(docs.select(id_col, text_col), id_col, text_col, prefix_chars)
-    narrow = written(keys.select("__id", "__len", "__prefix"), "dedup-keys")
-    # both groupings from one table of counts, which has one row for a group of copies of any size
-    counts = narrow.groupBy("__len", "__prefix").count()
-    lengths = counts.groupBy("__len").agg(F.sum("count").alias("n")).where("n > 1").select("__len")
-    groups = counts.join(lengths, "__len", "left_semi").where("count > 1").select("__len", "__prefix")
-    alive = narrow.join(groups, ["__len", "__prefix"], "left_semi").select("__id").distinct()
-    # Whole texts: only of the groups that are left. A Bloom filter goes before this shuffle where Spark finds it worth while.
-    full = keys.join(alive, keys["__id"].eqNullSafe(alive["__id"]), "left_semi")
-    hashed = written(full.select("__id", "__len", "__prefix", F.sha2(normalised(F.col(text_col).cast("string")), 256).alias("__sha")), "dedup-hashes")
-    keep = hashed.groupBy("__sha").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return hashed.join(keep, "__sha").groupBy("__id", "__len", "__prefix").agg(F.min_by(F.struct("keep_id", "group_size"), "__sha").alias("__keep")).select("__id", "__len", "__prefix", "__keep.*")
+    def with_hash(self, rows: DataFrame) -> DataFrame:
+        """Add __sha, the hash of the whole text where length and prefix may have survived, else null."""
+        some = self.bloom.may_hold(F.xxhash64(self.length, self.prefix))
+        return self.bloom.beside(rows).withColumn("__sha", F.when(some, F.sha2(normalised(self.text), 256))).drop(self.bloom.field)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """All rows of docs with keep_id, group_size and kept.
 
-    Null texts equal empty ones. The row with the largest id stays (kept); of repeated rows with that id each is kept, and
-    group_size counts all rows. A document without equals has its own id as keep_id and 1 as group_size. Other columns, and
-    columns of any clashing name but the results', pass through.
+    Null texts equal empty ones. The row with the largest id stays (kept); null ids sort below all others. group_size counts all
+    rows. Rows that repeat id and text are one document that occurs several times: each has its verdict. A document without equals
+    has its own id as keep_id and 1 as group_size. An empty table gives an empty one. Other columns pass through; columns of docs
+    named as a result are replaced.
+    """
+    steps = Refinement(docs, id_col, text_col, prefix_chars)
+    rows = steps.with_hash(without(docs, [x for x in RESULT if x not in (id_col, text_col)]))
+    alone = rows.where("__sha is null").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    found = rows.where("__sha is not null").join(steps.groups, F.col("__sha") == F.col("sha"), "left")
+    keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
+    found = found.withColumns({"keep_id": keep, "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "kept": F.col(id_col).eqNullSafe(keep)})
+    return alone.unionByName(found.drop("sha")).drop("__sha")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The rows of docs, whole, that stay: of equal texts the one with the largest id, and of rows that repeat id and text one.
+
+    What has no equals goes on from the scan. Of the rest a second Bloom filter lets the ids and hashes that stay through, so the
+    texts that are shuffled are about one for each group.
     """
-    found = decisions(docs, id_col=id_col, text_col=text_col, prefix_chars=prefix_chars)
-    rows = _keys(without(docs, RESULT), id_col, text_col, prefix_chars)
-    on = rows["__id"].eqNullSafe(found["__id"]) & (rows["__len"] == found["__len"]) & (rows["__prefix"] == found["__prefix"])
-    joined = rows.join(found, on, "left").select(*[rows[c] for c in rows.columns], found["keep_id"].alias("__found"), found["group_size"].alias("__size"))
-    keep_id = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__found"))
-    out = joined.withColumns({"keep_id": keep_id, "group_size": F.coalesce("__size", F.lit(1).cast("long")), "kept": F.col("__id").eqNullSafe(keep_id)})
-    return out.drop("__id", "__len", "__prefix", "__found", "__size")
+    steps = Refinement(docs, id_col, text_col, prefix_chars)
+    rows = steps.with_hash(docs.withColumn("__id", F.col(id_col)))
+    stay = written(steps.hashed.groupBy("sha").agg(F.max("id").alias("stay")), "dedup-stay")
+    known = Bloom(stay, F.xxhash64("stay", "sha"))
+    some = known.beside(rows.where("__sha is not null")).where(known.may_hold(F.xxhash64("__id", "__sha"))).drop(known.field)
+    some = some.join(stay, (F.col("__sha") == F.col("sha")) & F.col("__id").eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["__id", "__sha"])
+    return rows.where("__sha is null").unionByName(some).drop("__id", "__sha")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
