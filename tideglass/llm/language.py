@@ -4,8 +4,8 @@ A profile is the list of the TOP most frequent character n-grams, n from 1 to 3,
 document to a language is the sum over the document's own TOP n-grams of how far each is from its place in the language's list, TOP
 where it is not in it. The language with the least distance wins.
 
-Profiles are learned from a bounded sample, TRAIN documents a language at most, those with the smallest hashes of their ids; the counts
-are summed by Spark, and TOP rows a language reach the driver. Scoring is one pass of Arrow batches without a shuffle, over whole texts.
+Profiles are learned from a bounded sample, TRAIN documents a language at most, those with the smallest hashes of their ids, which a threshold
+on the hash picks out before they are ranked; the counts are summed by Spark, and TOP rows a language reach the driver. Scoring is one pass of Arrow batches without a shuffle, over whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tideglass.llm.common import documents, without, written
+from tideglass.llm.common import documents, thinned, without, written
 from tideglass.llm.tokens import slices
 
 TOP, TRAIN, FOLDS, HELD = 300, 2_000, 5, 0
@@ -40,7 +40,7 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the text in ascending order and their counts. An n-gram is up to three code points of 21 bits; 0 is a boundary."""
+    """The n-grams of the text in ascending order and their counts. An n-gram is up to three code points of 21 bits; EDGE is a boundary."""
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letter = _letters()[code]
     code = np.concatenate([[EDGE], np.where(letter, code, EDGE), [EDGE]])
@@ -85,10 +85,12 @@ class Profiles:
 def learn(docs: DataFrame, *, train: int = TRAIN, size: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages of docs from rows with text and language; languages whose texts have no letter are not learned."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    narrow = known.select(F.col("own").alias("i"), "lang", F.xxhash64("own", "lang").alias("h"))
-    sample = narrow.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("nth") <= train)
-    sample = F.broadcast(written(sample.select("i").distinct(), "sample"))  # train rows a language at most
-    texts = known.join(sample, F.col("own").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
+    narrow = written(known.select(F.col("own").alias("i"), "lang", F.xxhash64("own", "lang").alias("h")), "ids")
+    of = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("lang", "l")
+    few = thinned(narrow.join(F.broadcast(of), F.col("lang") == F.col("l")), "h", train, F.col("of")).select("i", "lang", "h").distinct()  # one row a language
+    sample = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("nth") <= train)
+    sample = F.broadcast(written(sample.select("i", F.col("lang").alias("l")), "sample"))  # train rows a language at most
+    texts = known.join(sample, F.col("own").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")), "left_semi").dropDuplicates(["own", "lang"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
