@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tideglass.plans import dataset_queries, hand_queries, table_queries  # noqa: F401
+from tideglass.plans import dataset_queries, hand_queries, relation_queries, table_queries  # noqa: F401
 from tideglass.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -66,6 +66,49 @@ def gates(rows: DataFrame, hand: str = "hand_id", time: str = "played_at", playe
     return two(hand, "hand_in_one_split").unionAll(two(player, "player_in_one_split")).unionAll(late)
 
 
+def private_columns(df: DataFrame, names: tuple[str, ...] = ("is_collusive", "collusion_pair_id", "label_available_at", "target")) -> DataFrame:
+    """Broken rules of a public table's columns: one row for each name that must not be there, in any case of letters."""
+    there = [c for c in df.columns if c.lower() in names]
+    return df.sparkSession.createDataFrame([("private_column", c) for c in there], "rule string, subject string")
+
+
+def disjoint_members(rows: DataFrame, member: str = "player_id") -> DataFrame:
+    """Members that are in several splits, as broken rules."""
+    return rows.where("split is not null").groupBy(member).agg(F.count_distinct("split").alias("n")).where("n > 1").select(F.lit("member_in_one_split").alias("rule"), F.col(member).cast("string").alias("subject"))
+
+
+def protected_pairs(rows: DataFrame, pair: str = "pair_key") -> DataFrame:
+    """Pairs that are positive in validation or test and occur in train, as broken rules. rows: pair_key, split and positive."""
+    g = rows.groupBy(pair).agg(F.bool_or(F.col("positive") & F.col("split").isin("validation", "test")).alias("late"), F.bool_or(F.col("split") == "train").alias("train"))
+    return g.where("late and train").select(F.lit("protected_pair_in_train").alias("rule"), F.col(pair).cast("string").alias("subject"))
+
+
+def one_scope(df: DataFrame, columns: list[str]) -> dict:
+    """The one combination of the columns' values that the table has; none or several are an error. Two rows at most reach the driver."""
+    found = df.select(*columns).distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"the table has {'no' if not found else 'more than one'} scope of {', '.join(columns)}")
+    return found[0].asDict()
+
+
+def quantile_parts(df: DataFrame, column: str, q: float = 0.75) -> DataFrame:
+    """Add high: whether the column is at or above its quantile, interpolated. Null is not high."""
+    limit = df.agg(F.percentile(column, q).alias("__limit"))
+    return df.crossJoin(F.broadcast(limit)).withColumn("high", F.coalesce(F.col(column) >= F.col("__limit"), F.lit(False))).drop("__limit")  # one row
+
+
+def first_pairs(pairs: DataFrame, hands: DataFrame, most: int, order: tuple[str, ...] = ("hand_id", "player_a", "player_b")) -> DataFrame:
+    """The first `most` pairs of the hands, in order: a bounded report, limited within tasks."""
+    return pairs.join(hands.select("hand_id").distinct(), "hand_id", "left_semi").orderBy(*order).limit(most)
+
+
+def candidate_pairs(stats: DataFrame, hands: DataFrame, most: int, min_score: float = 0.6, score: str = "pair_memory_score") -> DataFrame:
+    """Pairs of one of the hands or with a score of min_score or more, the `most` with the highest scores, ties by hand and pair: a bounded report."""
+    in_hands = stats.join(hands.select("hand_id").distinct().withColumn("__in", F.lit(True)), "hand_id", "left")
+    some = in_hands.where(F.col("__in") | (F.col(score) >= min_score)).drop("__in")
+    return some.orderBy(F.desc(score), "hand_id", "player_a", "player_b").limit(most)
+
+
 def with_lineage(evidence: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence with the model runs of the scores that refer to it, or nulls."""
     return evidence.join(references, keys, "left")

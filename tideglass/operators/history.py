@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.sources.scratch import written
+
 EPS = 1e-9
 
 
@@ -75,12 +77,26 @@ def fold_rule(pairs: DataFrame, hours: int = 24, min_hands: int = 5, min_count:
 
 
 def last_n(df: DataFrame, key: str, time: str, tie: str, n: int = 16) -> DataFrame:
-    """Add history: the ids of the last n rows of strictly earlier times, oldest first, and history_mask, 1 for each and 0 for padding. Ties: isolated."""
-    w = Window.partitionBy(key).orderBy(_micros(F.col(time))).rangeBetween(Window.unboundedPreceding, -1)
-    seen = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))).over(w))
-    own = F.transform(F.slice(F.col("__seen"), F.greatest(F.size("__seen") - (n - 1), F.lit(1)), n), lambda x: x["i"])
-    mask = lambda x: F.concat(F.array_repeat(F.lit(0), F.lit(n) - F.size(x)), F.array_repeat(F.lit(1), F.size(x)))
-    return df.withColumn("__seen", seen).withColumn("history", own).withColumn("history_mask", mask(F.col("history"))).drop("__seen")
+    """Add history: the ids of the last n rows of strictly earlier times, oldest first, and history_mask, 1 for each and 0 for padding. Ties: isolated.
+
+    Rows of one time shrink to their last n ids, and times are taken in days: a time sees n times of its own day at most, and what is
+    carried over from earlier days, n ids. So work is linear in a key's rows, and a hot key is spread over its days. Rows without a key or time have no history.
+    """
+    ids = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.col(tie).alias("i"))
+    ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__t").orderBy(F.desc("i")))).where(F.col("__n") <= n)
+    times = written(ids.groupBy("__k", "__t").agg(F.array_sort(F.collect_list("i")).alias("ids")).withColumn("__day", F.to_date("__t")), "times")
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - (n - 1), F.lit(1)), F.lit(n))
+    places = times.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__day").orderBy(F.desc("__t")))).where(F.col("__n") <= n)
+    steps = F.array_sort(F.collect_list(F.struct("__t", "ids")))
+    days = places.groupBy("__k", "__day").agg(last(F.flatten(F.transform(steps, lambda x: x["ids"]))).alias("ids"))
+    before = Window.partitionBy("__k").orderBy("__day").rowsBetween(-n, -1)  # one row a key and day
+    days = days.select(F.col("__k").alias("d_k"), F.col("__day").alias("d_day"), last(F.flatten(F.collect_list("ids").over(before))).alias("carried"))
+    inside = F.flatten(F.collect_list("ids").over(Window.partitionBy("__k", "__day").orderBy("__t").rowsBetween(-n, -1)))
+    found = times.select("__k", "__t", "__day", inside.alias("inside")).join(days, (F.col("__k") == F.col("d_k")) & (F.col("__day") == F.col("d_day")))
+    found = found.select("__k", "__t", last(F.concat("carried", "inside")).alias("history"))
+    empty = F.array().cast(found.schema["history"].dataType)
+    out = df.join(found, (F.col(key) == F.col("__k")) & (F.col(time) == F.col("__t")), "left").drop("__k", "__t").withColumn("history", F.coalesce("history", empty))
+    return out.withColumn("history_mask", F.concat(F.array_repeat(F.lit(0), F.lit(n) - F.size("history")), F.array_repeat(F.lit(1), F.size("history"))))
 
 
 def log_minutes_gap(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -115,3 +131,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     seen = F.when(F.col(key).isNotNull(), F.last("__row", ignorenulls=True).over(w))
     out = both.withColumn("__seen", seen).where("__left")
     return out.select(*left.columns, *[F.col("__seen")[c].alias(f"{prefix}{c}") for c in carried])
+
+
+def conflicting_versions(versions: DataFrame, key: str = "user_id", version: str = "context_version", event: str = "event_id") -> DataFrame:
+    """Versions of a key that several events claim: key, version and the number of events. Repeated deliveries of one event are none."""
+    return versions.groupBy(key, version).agg(F.count_distinct(event).alias("events")).where("events > 1")
+
+
+def checked_versions(versions: DataFrame, key: str = "user_id", version: str = "context_version", event: str = "event_id") -> DataFrame:
+    """The versions, each event once; reading a version that several events claim is an error."""
+    once = versions.dropDuplicates([event])
+    clash = F.raise_error(F.concat(F.lit("conflicting version "), F.col(version).cast("string"), F.lit(" of "), F.col(key).cast("string"))).cast("boolean")
+    many = F.count(F.lit(1)).over(Window.partitionBy(key, version)) > 1
+    return once.withColumn("__clash", many).where(F.when(F.col("__clash"), clash).otherwise(True)).drop("__clash")
+
+
+def found_or_dead(joined: DataFrame, found: str, topic: str, stage: str, reason: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a lookup that found something, and dead letters of the others with the row as JSON."""
+    dead = joined.where(F.col(found).isNull())
+    return joined.where(F.col(found).isNotNull()), dead.select(F.lit(topic).alias("source_topic"), F.lit(stage).alias("stage"), F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("raw_value"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators.order import indexed, running
+from tideglass.sources.files import uuid5
+from tideglass.sources.scratch import written
+
 
 def _div(a: Column, b: Column, empty: float | None) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
@@ -25,17 +29,9 @@ def segments(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
 
 
 def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Counts of each distinct score with the sums of all higher ones, built from ranges of scores so that no task holds all.
-
-    A range holds the scores whose first two decimals agree: 101 sums at most are carried from range to range.
-    """
-    g = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("s") * 100))
-    inside = Window.partitionBy("cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = g.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("n").alias("cn"))
-    cells = cells.select("cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("an"))
-    g = g.withColumns({"cum_pos": F.sum("pos").over(inside), "cum_n": F.sum("n").over(inside)}).join(F.broadcast(cells), "cell")  # scores in 0..1: 101 rows
-    return g.withColumns({"cum_pos": F.col("cum_pos") + F.col("ap"), "cum_n": F.col("cum_n") + F.col("an")}).drop("ap", "an", "cell")
+    """Counts of each distinct score with the sums of it and all higher ones, whatever the scores' range. Rows without a score count for nothing."""
+    g = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return running(g, [F.desc("s")], {"cum_pos": F.col("pos"), "cum_n": F.col("n")})
 
 
 def ranking_metrics(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -66,11 +62,31 @@ def threshold_search(rows: DataFrame, max_alert_rate: float = 1.0, label: str =
 
 def at_budget(rows: DataFrame, rate: float, label: str = "label", score: str = "score", tie: str = "row_id", hand: str = "hand_id") -> DataFrame:
     """Precision, recall and false positives per 1000 hands of the first max(1, floor(n rate)) rows by score, ties by id."""
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"), F.count_distinct(hand).alias("hands")).first()
-    k = max(1, int(whole["n"] * rate))
-    top = rows.orderBy(F.desc(score), tie).limit(k)
-    c = top.agg(F.count(F.lit(1)).alias("alerts"), F.sum(F.col(label).cast("long")).alias("tp"))
-    return c.select("alerts", "tp", (F.col("tp") / F.col("alerts")).alias("precision_at_budget"), _div(F.col("tp"), F.lit(whole["p"]), None).alias("recall_at_budget"), ((F.col("alerts") - F.col("tp")) * 1000 / F.lit(whole["hands"])).alias("fp_per_1000"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(hand).alias("hands")).first()
+    c = precision_at(rows, [max(1, int(whole["n"] * rate))], label, score, tie)
+    p = rows.agg(F.sum(F.col(label).cast("long"))).first()[0]
+    return c.select("alerts", "tp", F.col("precision").alias("precision_at_budget"), _div(F.col("tp"), F.lit(p), None).alias("recall_at_budget"), ((F.col("alerts") - F.col("tp")) * 1000 / F.lit(whole["hands"])).alias("fp_per_1000"))
+
+
+def precision_at(rows: DataFrame, places: list[int], label: str = "label", score: str = "score", tie: str = "row_id") -> DataFrame:
+    """k, alerts (k, or all rows if there are fewer), tp and precision of the first k rows by score, ties by id, for each k.
+
+    Scores above the k-th row's count as a whole; only rows with that very score are put in order, by ranges of their ids.
+    """
+    g = written(_by_score(rows, label, score), "scores")
+    top = g.agg(F.max("cum_n").alias("n"), F.max("cum_pos").alias("p")).first()
+    out = []
+    for k in places:
+        limit = g.where(F.col("cum_n") >= k).agg(F.max_by(F.struct("s", "pos", "n", "cum_pos", "cum_n"), "s").alias("x")).first()["x"]
+        if limit is None:
+            out.append((k, top["n"] or 0, top["p"] or 0))
+            continue
+        above = limit["cum_n"] - limit["n"]
+        tied = indexed(rows.where(F.col(score) == F.lit(limit["s"])).select(F.col(label).cast("long").alias("y"), F.col(tie).alias("t")), [F.asc("t")], "place")
+        tp = tied.where(F.col("place") < k - above).agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]
+        out.append((k, k, limit["cum_pos"] - limit["pos"] + tp))
+    c = rows.sparkSession.createDataFrame(out, "k long, alerts long, tp long")
+    return c.withColumn("precision", _div(F.col("tp"), F.col("alerts"), 0.0))
 
 
 def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 7, label: str = "label", fired: str = "fired", group: str = "hand_id") -> DataFrame:
@@ -139,19 +155,41 @@ def drift_status(value: Column) -> Column:
     return F.when(value >= 0.25, "critical").when(value >= 0.10, "warning").otherwise("ok")
 
 
-def monitoring_status(window: DataFrame, baseline: DataFrame, keys: list[str], floors: tuple[int, int, int] = (250, 20, 20)) -> DataFrame:
-    """Status of each rule: disabled, critical, insufficient_data, or by the number of reasons ok, warning, critical.
+#: Statuses of a monitored rule, the worst first, and the order in which a report takes the worst.
+STATUSES = ("critical", "warning", "insufficient_data", "disabled", "ok")
+MONITORING = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
 
-    window: keys, enabled, excluded, max_excluded, labelled_hands, positives, firings, rate, precision, volume. baseline: keys, base_rate,
-    base_precision, base_volume. A band is the rate more or less max(0.02, half the rate).
+def rule_monitoring(firings: DataFrame, baseline: DataFrame, *, min_hands: int, min_positives: int, min_firings: int, rate_abs: float = 0.02, rate_rel: float = 0.5, precision_ratio: float = 0.5, volume_ratio: float = 2.0) -> DataFrame:
+    """Each rule of the baseline over a window of labelled rows: observed figures, status, reasons and, where it is bad, the id of its alert.
+
+    firings: rule_id, rule_version, enabled, window_id, pair_rows, labelled_hands, positives, firings, true_positives. baseline: rule_id,
+    rule_version, base_rate, base_precision, base_volume. The band of the rate is base_rate more or less max(rate_abs, rate_rel * base_rate). Of the reasons two or more are
+    critical, one is a warning. Rules of the baseline without a row in the window have null figures and are insufficient_data. An alert's id is a
+    name-based UUID of window, rule, version, status and reasons, so that a repeated report repeats it.
     """
-    w = window.join(baseline, keys, "left")
-    band = F.greatest(F.lit(0.02), 0.5 * F.col("base_rate"))
-    reasons = F.array(
-        F.when(F.col("rate") < F.col("base_rate") - band, "rate_below_band"), F.when(F.col("rate") > F.col("base_rate") + band, "rate_above_band"),
-        F.when(F.col("precision") < 0.5 * F.col("base_precision"), "precision_below"), F.when(F.col("volume") > 2 * F.col("base_volume"), "volume_above"),
-    )
-    w = w.withColumn("reasons", F.array_compact(reasons))
-    few = (F.col("labelled_hands") < floors[0]) | (F.col("positives") < floors[1]) | (F.col("firings") < floors[2])
-    n = F.size("reasons")
-    return w.withColumn("status", F.when(~F.col("enabled"), "disabled").when(F.col("excluded") > F.col("max_excluded"), "critical").when(few, "insufficient_data").when(n == 0, "ok").when(n == 1, "warning").otherwise("critical")).withColumn("reasons", F.concat_ws(",", "reasons"))
+    key = ["rule_id", "rule_version"]
+    w = baseline.join(firings, key, "left")
+    w = w.withColumns({"firing_rate": _div(F.col("firings"), F.col("pair_rows"), 0.0), "precision": _div(F.col("true_positives"), F.col("firings"), 0.0), "recall": _div(F.col("true_positives"), F.col("positives"), None), "volume_per_1000": _div(F.col("firings") * 1000.0, F.col("labelled_hands"), 0.0)})
+    band = F.greatest(F.lit(rate_abs), rate_rel * F.col("base_rate"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("volume_per_1000") > volume_ratio * F.col("base_volume"), "alert_volume_above_baseline_ratio"), F.when(F.col("firing_rate") > F.col("base_rate") + band, "firing_rate_above_baseline_band"),
+        F.when(F.col("firing_rate") < F.greatest(F.lit(0.0), F.col("base_rate") - band), "firing_rate_below_baseline_band"), F.when(F.col("precision") < precision_ratio * F.col("base_precision"), "precision_below_baseline_ratio"),
+    ))
+    few = F.coalesce((F.col("labelled_hands") < min_hands) | (F.col("positives") < min_positives) | (F.col("firings") < min_firings), F.lit(True))
+    off = F.coalesce(~F.col("enabled"), F.lit(False))
+    n = F.size(reasons)
+    status = F.when(off, "disabled").when(few, "insufficient_data").when(n >= 2, "critical").when(n == 1, "warning").otherwise("ok")
+    w = w.withColumns({"status": status, "reasons": F.when(~off & ~few, F.concat_ws(",", reasons)).otherwise("")})
+    name = F.concat_ws(":", "window_id", "rule_id", F.col("rule_version").cast("string"), "status", "reasons")
+    return w.withColumn("alert_id", F.when(F.col("status").isin("warning", "critical"), uuid5(MONITORING, name)))
+
+
+def overall_status(rules: DataFrame) -> DataFrame:
+    """One row: the worst status of the rules, how many have each, and the number of alerts. Without rules it is ok."""
+    counts = [F.count_if(F.col("status") == s).alias(f"{s}_rules") for s in STATUSES]
+    c = rules.agg(F.count(F.lit(1)).alias("rules"), *counts, F.count("alert_id").alias("alerts"))
+    worst = F.lit("ok")
+    for s in reversed(STATUSES[:-1]):
+        worst = F.when(F.col(f"{s}_rules") > 0, s).otherwise(worst)
+    return c.select(worst.alias("status"), "rules", *[f"{s}_rules" for s in STATUSES], "alerts")

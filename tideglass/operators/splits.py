@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators.order import indexed
 from tideglass.sources.scratch import discard, written
 
 TEMPORAL = ((0.70, "train"), (0.15, "validation"))
@@ -13,16 +14,10 @@ TEMPORAL = ((0.70, "train"), (0.15, "validation"))
 def ordered_index(df: DataFrame, time: str, tie: str) -> DataFrame:
     """Add index, the place of each row in the order of (time, tie), from 0, and total. Rows without a time come last.
 
-    Built from days: counts of the days before, and the place within the day. No task holds all rows.
+    Ranges of the order, so a day or a time with a third of all rows is split where its ties differ.
     """
-    day = F.to_date(time)
-    counts = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    every = Window.orderBy(F.asc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    before = counts.select(F.col("__day").alias("__d"), F.coalesce(F.sum("__n").over(every), F.lit(0)).alias("__before"))
-    total = counts.agg(F.sum("__n").alias("total"))
-    inside = F.row_number().over(Window.partitionBy("__day").orderBy(F.asc_nulls_last(time), F.asc_nulls_last(tie))) - 1
-    out = df.withColumn("__day", day).withColumn("__inside", inside).join(before, F.col("__day").eqNullSafe(F.col("__d")))
-    return out.withColumn("index", (F.col("__before") + F.col("__inside")).cast("long")).crossJoin(F.broadcast(total)).drop("__day", "__d", "__inside", "__before")  # one row
+    out = indexed(df, [F.asc_nulls_last(time), F.asc_nulls_last(tie)])
+    return out.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
 def temporal_split(hands: DataFrame, time: str = "played_at", tie: str = "hand_id") -> DataFrame:
@@ -77,3 +72,41 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def cold_start(hands: DataFrame, members: DataFrame, hand: str = "hand_id", member: str = "player_id", turn: Column | None = None) -> DataFrame:
+    """Hands whose members all fall into one split by hash: 14 of 20 folds train, 3 validation, 3 test. No member is in two splits.
+
+    Hands whose members are of several splits are in none, split null; so are hands without members. turn, from 0 to 19, may stand for the hash.
+    """
+    turn = group_fold(member, 20) if turn is None else turn
+    side = F.when(turn < 14, "train").when(turn < 17, "validation").otherwise("test")
+    of = members.groupBy(hand).agg(F.min(side).alias("low"), F.max(side).alias("high"))
+    return hands.join(of, hand, "left").withColumn("split", F.when(F.col("low") == F.col("high"), F.col("low"))).drop("low", "high")
+
+
+def new_relationship(hands: DataFrame, pairs: DataFrame, time: str = "played_at", hand: str = "hand_id", pair: str = "pair_key") -> DataFrame:
+    """Hands with split, so that no positive relation of validation or test is seen in train.
+
+    pairs: hand, pair_key and positive, whether the pair is positive in that hand; a pair is positive if it is in any. Positive pairs that meet in a hand are
+    one component. Components in the order of their smallest pair go 70 % to train, 15 % to validation, both rounded down and one at
+    least, the rest to test; one component is test, two are validation and test. Hands with a positive pair follow it; the others, in the order
+    of time, go by a cycle of 14, 3 and 3. No positive pair is an error.
+    """
+    positive = written(pairs.groupBy(pair).agg(F.bool_or("positive").alias("p")).where("p").select(F.col(pair).alias("pp")), "positive")
+    seen = written(pairs.select(hand, pair).distinct().join(positive, F.col(pair) == F.col("pp"), "left_semi"), "seen")
+    first = seen.groupBy(hand).agg(F.min(pair).alias("a"))
+    joined = seen.join(first, hand).select("a", F.col(pair).alias("b"))
+    of = written(components(joined).withColumnRenamed("node", "c_pair"), "relations")
+    groups = indexed(of.select("component").distinct(), [F.asc("component")])
+    n = groups.count()
+    if not n:
+        raise ValueError("there is no positive pair")
+    train, validation = (0, n - 1) if n < 3 else (max(1, int(n * 0.70)), max(1, int(n * 0.15)))
+    if n >= 3 and train + validation >= n:
+        train, validation = n - 2, 1
+    side = F.when(F.col("index") < train, "train").when(F.col("index") < train + validation, "validation").otherwise("test")
+    of_hand = seen.join(of, F.col(pair) == F.col("c_pair")).join(groups, "component").groupBy(hand).agg(F.min(side).alias("__own"))
+    all_ = written(hands.join(of_hand, hand, "left"), "hands")
+    free = cycle_split(all_.where("__own is null"), time, hand).drop("index", "total")
+    return all_.where("__own is not null").withColumn("split", F.col("__own")).unionByName(free).drop("__own")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +81,70 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of one side only; two equal sets give no row."""
     left = a.select(key).distinct().join(b, key, "left_anti").withColumn("side", F.lit("left_only"))
     return left.unionByName(b.select(key).distinct().join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
+
+
+def merged_one_to_one(a: DataFrame, b: DataFrame, keys: list[str], required: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows of a with those of b. A key that repeats on either side is an error, and so is a required column of b that is null or missing.
+
+    Both sides are counted in the join's own exchange by the keys; the errors are raised by the tasks that see them.
+    """
+    w = Window.partitionBy(*keys)
+    one = lambda df, n: df.withColumn(n, F.count(F.lit(1)).over(w))
+    j = one(a, "__a").join(one(b, "__b"), keys, "left")
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    twice = F.when((F.col("__a") > 1) | (F.coalesce("__b", F.lit(0)) > 1), F.raise_error(F.concat(F.lit("repeated key "), name)).cast("boolean")).otherwise(True)
+    lacking = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in required], F.lit(False))
+    whole = F.when(lacking, F.raise_error(F.concat(F.lit("incomplete row of key "), name)).cast("boolean")).otherwise(True)
+    return j.where(twice).where(whole).drop("__a", "__b")
+
+
+_PATHS = "array<struct<path: string, value: string>>"
+
+
+def _leaves(documents: pd.Series) -> pd.Series:
+    """Paths and JSON values of each document's leaves; lists also have their length. What does not parse has one leaf, its text."""
+    def walk(x: object, path: str, out: list) -> list:
+        if isinstance(x, dict):
+            for k in sorted(x):
+                walk(x[k], f"{path}.{k}", out)
+        elif isinstance(x, list):
+            out.append((f"{path}.length", str(len(x))))
+            for i, y in enumerate(x):
+                walk(y, f"{path}[{i}]", out)
+        else:
+            out.append((path, json.dumps(x)))
+        return out
+
+    def one(text: str | None) -> list | None:
+        if text is None:
+            return None
+        try:
+            return walk(json.loads(text), "payload", [])
+        except ValueError:
+            return [("payload", text)]
+
+    return documents.map(one)
+
+
+def payload_differences(expected: DataFrame, actual: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """key, path, expected and actual (JSON, null where the path is not there) of each leaf that differs between two tables of JSON payloads.
+
+    Lists of unequal length differ in path.length; their common elements are compared, the others not. A key of one side only differs
+    in all its leaves. Null payloads have no leaf. Documents are flattened in Arrow batches; the comparison is a join by key and path.
+    """
+    flat = F.pandas_udf(_leaves, _PATHS)
+    side = lambda df, n: df.select(F.col(key).alias("key"), F.explode(flat(F.col(payload))).alias("x")).select("key", F.col("x.path").alias("path"), F.col("x.value").alias(n))
+    both = side(expected, "expected").join(side(actual, "actual"), ["key", "path"], "full").where(~F.col("expected").eqNullSafe(F.col("actual")))
+    lengths = both.where(F.col("path").endswith(".length") & F.col("expected").isNotNull() & F.col("actual").isNotNull())
+    lengths = lengths.select(F.col("key").alias("l_key"), F.concat(F.expr("substring(path, 1, length(path) - 7)"), F.lit("[")).alias("list"), F.least(F.col("expected").cast("int"), F.col("actual").cast("int")).alias("common"))
+    rest = F.expr("substring(path, length(list) + 1)")
+    beyond = F.col("path").startswith(F.col("list")) & (F.regexp_extract(rest, r"^(\d+)\]", 1).try_cast("int") >= F.col("common"))
+    out = both.join(lengths, (F.col("key") == F.col("l_key")) & beyond, "left_anti")
+    return out.select(F.col("key").alias(key), "path", "expected", "actual")
+
+
+def write_digested(df: DataFrame, path: str) -> DataFrame:
+    """Write Parquet with zstd; returns file, bytes and sha256 of each file, which tasks compute from what was written."""
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
