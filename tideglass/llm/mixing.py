@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import WORD, documents, without, written
 
 CAP, TOTAL, WEIGHTS, SEED, UNIT = 2, 1.5, (5, 2, 1), "tideglass", 2**20
-RIDGE, TOLERANCE, ROUNDS, CORRECTIONS = 0.01, 1e-7, 40, 4
+RIDGE, TOLERANCE, ROUNDS, CORRECTIONS, LEAST_PER_PART = 0.01, 1e-7, 40, 4, 200
 RESULT = ("source_size", "target", "rate", "copies")
 Targets = Callable[[dict[str | None, int]], dict[str | None, float]]
 
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, *, targets: Targets = repeating_targets, cap: float = C
     eta = F.col("lam") + mu * z
     rate = F.when(F.col("lam").isNull(), F.col("fixed")).otherwise(F.least(F.lit(float(cap)), F.exp(eta)))
     # the hundredth part of a source's tokens has a band or so; parts of a band hold the square root of the rows
-    per_part = max(2000, math.isqrt(int(counts.agg(F.sum("n")).first()[0] or 0)))
+    per_part = max(LEAST_PER_PART, math.isqrt(int(counts.agg(F.sum("n")).first()[0] or 0)))
     band = -F.floor(8 * F.log2(F.col("size") + 1)).cast("long")
     bands = counts.withColumn("band", band).groupBy("s", "band").agg(F.sum("n").alias("rows"))
     bands = bands.select(F.col("s").alias("bs"), F.col("band").alias("bb"), F.ceil(F.col("rows") / per_part).alias("parts"))
