@@ -29,7 +29,7 @@ from tideglass.llm.common import documents, without, written
 from tideglass.llm.sharding import ranked
 from tideglass.llm.tokens import END_ID, encoder, model_path, slices
 
-MAX_TOKENS, BIN, COARSE = 4096, 16, 4
+MAX_TOKENS, BIN, COARSE, LEAST_PER_BUCKET = 4096, 16, 4, 200
 RESULT = ("sequence_id", "offset")
 
 
@@ -200,7 +200,7 @@ def pack(pieces: DataFrame, *, max_tokens: int = MAX_TOKENS, length_col: str = "
     spark = pieces.sparkSession
     steps = spark.createDataFrame([(x, histogram[x], sorted(v)) for x, v in by_length.items()], "l long, n long, steps array<struct<lo: long, hi: long, first: long, k: long, each: long>>")
     total = sum(histogram.values())
-    per_bucket = max(2000, math.isqrt(total))
+    per_bucket = max(LEAST_PER_BUCKET, math.isqrt(total))
     sized = pieces.join(F.broadcast(steps.select("l", "n")), F.col(length_col) == F.col("l")).drop("l")
     sized = sized.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / per_bucket))).drop("n")
     rows = ranked(sized, [length_col], "__bucket", [F.col(c) for c in order]).drop("__bucket")
