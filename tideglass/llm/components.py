@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import written
+from tideglass.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,10 +27,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         ends = now.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(now.select(F.col("b").alias("x"), F.col("a").alias("y")))
         least = written(ends.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = written(ends.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        discard(least, now)
         # small star: a node and its smaller neighbours move to the smallest of them
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(least, large)
         if (new := _state(now)) == state:
             break
         state = new

@@ -25,12 +25,13 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import documents, written
+from tideglass.llm.bloom import Bloom
+from tideglass.llm.common import WORD, discard, documents, written
 from tideglass.llm.components import connected_components
 from tideglass.llm.tokens import slices
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 32, 8
-BLOB_DOCS, BLOB_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES, ANCHORS = 512, 1_500_000, 256, 1_000_000, 4
+BLOB_DOCS, BLOB_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES, ANCHORS, MATRIX_ROWS = 512, 1_500_000, 256, 1_000_000, 4, 32
 
 
 def _numbers(n: int, seed: int) -> np.ndarray:
@@ -104,7 +105,7 @@ def node_of(words: list[bytes]) -> bytes | None:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """id, node, n_shingles and band keys of each row of (id, text). Without words: null node, no bands."""
+    """id, h, node, n_shingles and band keys of each row of (id, h, text). Without words: null node, no bands."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(words, bands, rows)
         for batch in batches:
@@ -117,9 +118,9 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     sizes.append(len(shingles))
                     keys.append(s.band_keys(s.signature(shingles)) if len(shingles) else np.empty(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))], ["id", "node", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))], ["id", "h", "node", "n_shingles", "bands"])
 
-    return docs.mapInArrow(sign, "id long, node binary, n_shingles long, bands array<long>")
+    return docs.mapInArrow(sign, "id long, h long, node binary, n_shingles long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -252,10 +253,14 @@ def _hot_links(hot: DataFrame, percent: int) -> DataFrame:
     cells = cells.withColumn("parts", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("total") / BLOCK_SHINGLES)).cast("long"))
     blocks = cells.select("group", "label", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     blocks = written(blocks.withColumn("block", F.xxhash64("group", "label", "band", "part")), "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
+    # the rows of a group's matrix of blocks are dealt out over its parts, so that no task makes the whole matrix
+    deal = blocks.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MATRIX_ROWS).alias("deals"))
+    dealt = blocks.join(deal, "group")
+    x = dealt.withColumn("deal", F.pmod("block", "deals")).alias("x")
+    y = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).alias("y")
     # a band is half of what a link can bridge: log(1 / 0.85) = 0.1625 takes up to three bands
     reach = int(np.ceil(np.log(100 / percent) / 0.08))
-    needed = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.band") - F.col("y.band")) <= reach)).where("x.label is null or y.label is null or x.label <> y.label")
+    needed = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.deal") == F.col("y.deal")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.band") - F.col("y.band")) <= reach)).where("x.label is null or y.label is null or x.label <> y.label")
     needed = written(needed.select(F.col("x.block").alias("p"), F.col("y.block").alias("q")), "needed")
     pair = F.concat_ws(":", "p", "q")
     sides = needed.select(pair.alias("pair"), F.col("p").alias("block")).unionAll(needed.where("p <> q").select(pair.alias("pair"), F.col("q").alias("block")))
@@ -270,15 +275,10 @@ def _hot_links(hot: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: the id, n_shingles, component_id (the smallest id of the component) and kept.
-
-    Documents are linked when 100 * intersection >= percent * union of their sets of shingles. A null text, an empty one and one of
-    blanks have no shingles and are linked with nothing, not even with each other. Rows that repeat have one component. Rows
-    with a null id are grouped as all others; component_id is null only where no id of the component is not null, and kept is
-    false for a null id. An empty table gives an empty result.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """id, h (a hash of the text; both together tell rows apart), n_shingles and component, null without words, of each row."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = written(_signed(source, words, bands, rows), "signed")
     has = signed.where("node is not null")
     per_node = has.groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -287,29 +287,61 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), "buckets")
     stars = keys.join(buckets, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     blobs = written(connected_components(stars), "blobs")
-    sizes = blobs.join(per_node.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
-    blobs = written(blobs.join(sizes, "component").select("node", F.col("component").alias("group"), ((F.col("docs") > BLOB_DOCS) | (F.col("total") > BLOB_SHINGLES)).alias("hot")), "blob-sizes")
-    # one document of each node in a blob, whole; a Bloom filter goes before this shuffle where Spark finds it worth while
-    wanted = per_node.join(blobs, "node", "left_semi").select(F.col("id").alias("wanted")).distinct()
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = written(_sets(texts, words, bands, rows).dropDuplicates(["node"]).join(blobs, "node"), "sets")
+    sizes = written(blobs.join(per_node.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")), "blob-sizes")
+    # joins by component are sort-merge joins of plain tables: AQE splits the largest component
+    hot = ((F.col("docs") > BLOB_DOCS) | (F.col("total") > BLOB_SHINGLES)).alias("hot")
+    blobs = written(blobs.join(sizes.hint("merge"), "component").select("node", F.col("component").alias("group"), hot), "blob-nodes")
+    # Sets are made in the scan of what a Bloom filter of one id for each node in a blob lets through: texts are never shuffled.
+    wanted = written(per_node.join(blobs, "node", "left_semi").select("id"), "wanted")
+    filter_ = Bloom(wanted, F.xxhash64("id"))
+    texts = filter_.beside(source).where(filter_.may_hold(F.xxhash64("id"))).select("text")
+    sets = written(_sets(texts, words, bands, rows).join(blobs, "node").dropDuplicates(["node"]), "sets")
     links = _links(sets.where("not hot"), percent)
-    hot = sets.where("hot")
     if not blobs.where("hot").isEmpty():
-        links = links.unionAll(_hot_links(hot.drop("hot"), percent))
+        links = links.unionAll(_hot_links(sets.where("hot").drop("hot"), percent))
     found = written(connected_components(links), "components")
-    named = signed.select("id", "node", "n_shingles").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = signed.select("id", "h", "node", "n_shingles").join(found, "node", "left").select("id", "h", "n_shingles", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
-    least = named.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    discard(signed, per_node, buckets, sizes, blobs, wanted, filter_.bits, sets, found)
+    return named
+
+
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each row of docs: the id, n_shingles, component_id (the smallest id of the component) and kept.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of shingles. A null text, an empty one and one of
+    blanks have no shingles and are linked with nothing, not even with each other. Rows that repeat have one component. Rows
+    with a null id are grouped as all others; component_id is null only where no id of the component is not null, and kept is
+    false for a null id. An empty table gives an empty result.
+    """
+    named = _named(docs, id_col, text_col, words, percent, bands, rows)
+    least = written(named.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    out = named.join(least.hint("merge"), "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of docs, whole, that stay: one document of each component, the one with the smallest id, and those with a null id whose component has no other."""
-    found = components(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where("kept or component_id is null").select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, whole, that stay: one of each component, the one with the smallest id (then hash of the text); nulls come last.
+
+    Rows that repeat id and text are copies of each other, and one stays. Rows without words all stay. What a Bloom filter of the
+    rows that go rules out passes on from the scan; what may go and what may stay are told apart exactly, by a join.
+    """
+    named = _named(docs, id_col, text_col, words, percent, bands, rows).where("component is not null")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    groups = written(named.groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    several = groups.where("n > 1").select("component", F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h"))
+    members = written(named.join(several.hint("merge"), "component").select("id", "h", (F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))).alias("stays")), "members")
+    stay = members.where("stays").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    go = written(members.where("not stays").select("id", "h").distinct(), "go")
+    unclear = Bloom(go.unionAll(stay.where("n > 1").select("id", "h")), F.xxhash64("id", "h"), "__unclear")
+    staying = Bloom(written(groups.select("first.id", "first.h"), "stay"), F.xxhash64("id", "h"), "__staying")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = unclear.beside(docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(F.col(text_col).cast("string"))}))
+    key = F.xxhash64("__id", "__h")
+    look = unclear.may_hold(key) & text.rlike(WORD)
+    maybe = staying.beside(source.where(look)).where(staying.may_hold(key)).drop("__unclear", "__staying")
+    exact = maybe.join(go, F.col("__id").eqNullSafe(go["id"]) & (F.col("__h") == go["h"]), "left_anti").dropDuplicates(["__id", "__h"])
+    return source.where(~look).select(*docs.columns).unionByName(exact.select(*docs.columns))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
