@@ -18,6 +18,7 @@ up for by a copy more or less of a few short documents.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, *, targets: Targets = repeating_targets, cap: float = C
     """All rows of docs with size (words), source_size, target (both of the row's source), rate and copies (whole, cap at most).
 
     A null source is one of its own. A null or empty text has size 0 and is taken once if its source's rate is 1 or more, else not at
-    all. Rows that repeat in all columns get equal copies, those of all of them divided evenly and rounded. An empty table gives an
+    all. Rows that repeat in all columns share the copies of all of them, evenly but for one. An empty table gives an
     empty one. targets maps the sizes of sources to target sizes, from 0 to cap times a source's size each.
     """
     rows = without(docs, (*RESULT, "size"))
@@ -161,9 +162,12 @@ def mix(docs: DataFrame, *, targets: Targets = repeating_targets, cap: float = C
     taken = written(rated.select("i", "row", "s", "size", "source_size", "target", "rate", "mixed", (F.col("whole") + extra).cast("int").alias("copies")), "copies")
     for _ in range(CORRECTIONS):
         taken = written(_corrected(taken, cap), "copies")
-    per_row = taken.groupBy("i", "row").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), F.round(F.avg("copies")).cast("int").alias("copies"))
-    taken = per_row
-    return rows.join(taken, rows[id_col].eqNullSafe(taken["i"]) & (rows["__row"] == taken["row"])).drop("i", "row", "__row", "__source")
+    per_row = taken.groupBy("i", "row").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target", "rate")], F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    # rows that repeat share their copies: the remainder goes to as many of them as it should, by a seeded number of the scan
+    share = (F.expr("all div n") + F.when(F.col("__u") < F.expr("(all % n) / n"), 1).otherwise(0)).cast("int")
+    rows = rows.withColumn("__u", F.rand(int(zlib.crc32(seed.encode()))))
+    out = rows.join(per_row, rows[id_col].eqNullSafe(per_row["i"]) & (rows["__row"] == per_row["row"]))
+    return out.withColumn("copies", share).drop("i", "row", "all", "n", "__row", "__source", "__u")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
