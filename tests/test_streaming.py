@@ -7,47 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tideglass.operators import pairs
-from tideglass.streaming import jobs
-from tideglass.streaming.temporal import ContextJoin
+from tideglass.streaming import jobs, temporal
 
 T0 = datetime(2026, 7, 21)
-EVENT = "kind string, hand_id string, event_id string, user_id string, at timestamp, context_version int, device_id string"
-
-
-def hand(h, user, s):
-    return ("hand", h, None, user, T0 + timedelta(seconds=s), None, None)
-
-
-def context(e, user, s, version=1, device="d"):
-    return ("context", None, e, user, T0 + timedelta(seconds=s), version, device)
-
-
-def run(spark, folder, batches):
-    join = ContextJoin(spark, str(folder))
-    for i, b in enumerate(batches):
-        join.process(spark.createDataFrame(b, EVENT), i)
-    return sorted((r.hand_id, r.revision, r.status, r.context_event_id) for r in join.emitted(len(batches)).collect())
-
-
-def test_context_join(spark, tmp_path):
-    got = run(spark, tmp_path, [
-        [context("c1", "u1", -60), hand("h1", "u1", 0), hand("h2", "u2", 0)],
-        [context("c2", "u2", -5)],  # late, before the deadline
-        [hand("h3", "u3", 1), context("tick", "x", 40)],  # the watermark passes all three
-        [context("c3", "u3", -10)],  # corrects a missing one
-        [context("c3", "u3", -10), hand("h1", "u1", 0)],  # repeated deliveries
-        [context("far", "x", 2000)],
-        [context("c4", "u1", -1, 2)],  # beyond the horizon
-    ])
-    assert got == [("h1", 1, "matched", "c1"), ("h2", 1, "matched_late", "c2"), ("h3", 1, "missing", None), ("h3", 2, "corrected", "c3")]
-
-
-def test_a_batch_may_run_again(spark, tmp_path):
-    join = ContextJoin(spark, str(tmp_path))
-    one = spark.createDataFrame([context("c1", "u1", -60), hand("h1", "u1", 0), context("tick", "x", 100)], EVENT)
-    join.process(one, 0)
-    join.process(one, 0)
-    assert join.emitted(1).count() == 1
+EVENT = "kind string, hand_id string, event_id string, user_id string, at timestamp, context_version int, device_id string, arrived long"
 
 
 def write(folder, rows, n):
@@ -94,3 +57,69 @@ def test_dead_letters(spark, tmp_path):
     events.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert [r.key for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == ["a"]
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["negative"]
+
+
+def at(seconds):
+    return (T0 + timedelta(seconds=seconds)).isoformat()
+
+
+def hand(h, user, s):
+    return {"kind": "hand", "hand_id": h, "user_id": user, "at": at(s)}
+
+
+def context(e, user, s, version=1, device="d"):
+    return {"kind": "context", "event_id": e, "user_id": user, "at": at(s), "context_version": version, "device_id": device}
+
+
+def joined(spark, tmp_path, batches, name):
+    n = 0
+    for i, b in enumerate(batches):
+        for r in b:
+            n += 1
+            r["arrived"] = n
+        write(tmp_path / f"in-{name}", b, i)
+    return stream(temporal.context_join(jobs.json_stream(spark, str(tmp_path / f"in-{name}"), EVENT)), spark, name, tmp_path)
+
+
+def test_context_join(spark, tmp_path):
+    got = joined(spark, tmp_path, [
+        [context("c1", "u1", -60), hand("h1", "u1", 0), hand("h2", "u2", 0)],
+        [context("c2", "u2", -5)],  # late, before the deadline
+        [hand("h3", "u3", 1), context("tick", "x", 40)],  # the watermark passes all three
+        [context("tick2", "x", 41, 2)],
+        [context("c3", "u3", -10)],  # corrects a missing one
+        [context("c3", "u3", -10), hand("h1", "u1", 0), context("c9", "u1", -50)],  # repeated deliveries, and a version that is taken
+        [context("far", "x", 2000, 3)],
+        [context("far2", "x", 2001, 4)],
+        [context("c4", "u1", -1, 2), hand("h4", "u2", 5)],  # beyond the horizon; a hand after its time is answered at once
+    ], "joined")
+    rows = sorted((r.hand_id or "", r.revision, r.status, r.context_event_id) for r in got.collect())
+    assert rows == [("", 0, "conflict", "c9"), ("h1", 1, "matched", "c1"), ("h2", 1, "matched_late", "c2"), ("h3", 1, "missing", None), ("h3", 2, "corrected", "c3"), ("h4", 1, "matched", "c2")]
+
+
+def test_replay_follows_event_time(spark, tmp_path):
+    row = lambda h, s, a, b, revision=1: {"pair_key": "a|b", "hand_id": h, "revision": revision, "played_at": at(s), "won_amount_a": a, "won_amount_b": b}
+    other = lambda s: {"pair_key": "x|y", "hand_id": 100 + s, "revision": 1, "played_at": at(s), "won_amount_a": 0.0, "won_amount_b": 0.0}
+    for n, b in enumerate([[row(3, 30, 1.0, 1.0), row(1, 10, 2.0, -1.0)], [row(2, 20, 0.0, 4.0)], [other(60)], [other(61)], [row(2, 20, 9.0, 9.0, 2)], [other(62)]]):
+        write(tmp_path / "in", b, n)
+    schema = "pair_key string, hand_id long, revision int, played_at timestamp, won_amount_a double, won_amount_b double"
+    got = stream(temporal.ordered_replay(jobs.json_stream(spark, str(tmp_path / "in"), schema)), spark, "replayed", tmp_path)
+    rows = [(r.hand_id, r.revision, r.n, round(r.soft_play, 6), round(r.transfer, 4)) for r in got.where("pair_key = 'a|b'").collect()]
+    # the second row came behind the first batch's watermark, and is still put in its place after what was emitted
+    assert sorted(rows)[0][:3] == (1, 1, 1) and {r[2] for r in rows if r[1] == 1} == {1, 2, 3}
+    assert [r[2:] for r in rows if r[0] == 2][0] == [r[2:] for r in rows if r[0] == 2][1]
+
+
+def test_assembled_hands(spark, tmp_path):
+    row = lambda h, p, s: {"hand_id": h, "pair_key": p, "num_players": 3, "score": s}
+    for n, b in enumerate([[row("h", "a:b", 0.1), row("h", "a:b", 0.2), row("i", "a:b", 0.3)], [row("h", "a:c", 0.9), row("h", "b:c", 0.4)], [row("h", "a:b", 0.99)]]):
+        write(tmp_path / "in", b, n)
+    got = stream(temporal.assembled_hands(jobs.json_stream(spark, str(tmp_path / "in"), "hand_id string, pair_key string, num_players int, score double")), spark, "assembled", tmp_path)
+    assert [tuple(r) for r in got.collect()] == [("h", 3, 0.9)]
+
+
+def test_stream_with_memory(spark, tmp_path):
+    write(tmp_path / "in", [{"hand_id": "h", "pair_key": "a:b"}, {"hand_id": "h", "pair_key": "a:c"}], 0)
+    memory = spark.createDataFrame([("a:b", 4, 0.5)], "pair_key string, n long, soft_play double")
+    got = stream(temporal.with_memory(jobs.json_stream(spark, str(tmp_path / "in"), "hand_id string, pair_key string"), memory), spark, "remembered", tmp_path)
+    assert sorted((r.pair_key, r.memory_n) for r in got.collect()) == [("a:b", 4), ("a:c", None)]

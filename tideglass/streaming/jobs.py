@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from tideglass.sources.loads import dead_letters, validate
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def json_stream(spark: SparkSession, folder: str, schema: StructType | str, files_a_batch: int = 1) -> DataFrame:
