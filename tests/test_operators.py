@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.operators import features, history, metrics, pairs, patterns, rules, splits
+from tideglass.operators import datasets, features, graph, history, metrics, order, pairs, patterns, rules, splits
 from tideglass.sources import cdc, files, loads
 
 T0 = datetime(2026, 7, 21)
@@ -132,8 +132,185 @@ def test_loads(spark):
 
 
 def test_change_records(spark):
-    df = spark.createDataFrame([(None,), ('{"op": "d"}',), ('{"op": "c", "source": {"txId": 1, "table": "other"}}',)], "value string")
-    assert [r for (r,) in rows(cdc.adapt(df, ("json-v1",), "ml_outbox"), "reject")] == ["tombstone", "operation", "source"]
+    df = spark.createDataFrame([(None,), ('{"op": "d"}',), ('{"op": "c", "after": {"id": "1"}, "source": {"txId": 1, "table": "other"}}',), ('{"op": "c", "source": {"txId": 1, "table": "other"}}',)], "value string")
+    assert [r for (r,) in rows(cdc.adapt(df, ("json-v1",), "ml_outbox"), "reject")] == ["tombstone", "operation", "source", "after_image"]
+
+
+def change(after, op="c", **source):
+    import base64
+    import hashlib
+    import json
+
+    raw = json.dumps(after.pop("hand")).encode()
+    row = {"id": "1", "tenant_id": "t", "game_type": "g", "aggregate_id": "h", "codec_version": "json-v1", "payload": base64.b64encode(raw).decode(), "payload_sha256": hashlib.sha256(raw).hexdigest(), "dataset_split": "train", "occurred_at": "2026-07-21T00:00:00Z"} | after
+    return json.dumps({"op": op, "after": row, "source": {"db": "d", "schema": "public", "table": "ml_outbox", "txId": 5} | source})
+
+
+def test_change_records_agree_with_their_hands(spark):
+    hand = {"hand_id": "h", "dataset_split": "train", "played_at": "2026-07-21T00:00:00Z"}
+    cases = {
+        change({"hand": hand}): None, f'{{"schema": {{}}, "payload": {change({"hand": hand})}}}': None, '{"schema": {}, "payload": null}': "tombstone", change({"hand": hand}, op="u"): "operation",
+        change({"hand": hand}, op="r"): "snapshot", change({"hand": hand}, op="r", snapshot="last"): None, change({"hand": hand}, txId=None): "missing_tx", change({"hand": hand}, db="e"): "source",
+        change({"hand": hand, "tenant_id": "x"}): "tenant", change({"hand": hand, "game_type": "x"}): "game_type", change({"hand": hand, "payload": "%%%"}): "base64", change({"hand": hand, "payload_sha256": "0"}): "checksum",
+        change({"hand": hand, "codec_version": "v9"}): "codec", change({"hand": hand | {"hand_id": "i"}}): "aggregate", change({"hand": hand | {"dataset_split": "test"}}): "split", change({"hand": hand | {"played_at": "2026-07-21T00:00:01Z"}}): "event_time",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "value string")
+    got = cdc.adapt(df.coalesce(1), ("json-v1",), "ml_outbox", schema="public", database="d", tenants=("t",), games=("g",), split="train", identity=True)
+    assert [r for (r,) in rows(got, "reject")] == list(cases.values())
+
+
+def test_one_to_one(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
+    assert sorted(rows(loads.merged_one_to_one(a, b, ["k"], ["v"]), "k", "v")) == [(1, "x"), (2, "y")]
+    for left, right, why in ((a.unionAll(a), b, "repeated"), (a, b.unionAll(b), "repeated"), (a, b.where("k <> 2"), "incomplete"), (a, b.withColumn("v", F.when(F.col("k") == 1, "x")), "incomplete")):
+        with pytest.raises(Exception, match=why):
+            loads.merged_one_to_one(left, right, ["k"], ["v"]).collect()
+
+
+def test_payload_differences(spark):
+    one = spark.createDataFrame([(1, '{"a": {"x": 1, "y": null}, "l": [1, {"z": 2}, 3]}'), (2, '{"a": 1}'), (3, None), (4, "no json")], "k int, payload string")
+    two = spark.createDataFrame([(1, '{"l": [1, {"z": 5}], "a": {"x": 1, "w": "t"}}'), (2, '{"a": 1}'), (3, '{"b": 1}'), (4, "no json")], "k int, payload string")
+    got = sorted(rows(loads.payload_differences(one, two, "k"), "k", "path", "expected", "actual"), key=str)
+    assert got == sorted([(1, "payload.a.w", None, '"t"'), (1, "payload.a.y", "null", None), (1, "payload.l.length", "3", "2"), (1, "payload.l[1].z", "2", "5"), (3, "payload.b", None, "1")], key=str)
+
+
+def test_persisted_content_must_not_change(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, c string")
+    assert rows(loads.checked_insert(old, spark.createDataFrame([(1, "a"), (2, "b")], "k int, c string"), "k", "c"), "k") == [(2,)]
+    with pytest.raises(Exception, match="other content of key 1"):
+        loads.checked_insert(old, spark.createDataFrame([(1, "z")], "k int, c string"), "k", "c").collect()
+
+
+def test_written_files_have_their_digests(spark, tmp_path):
+    import hashlib
+
+    got = loads.write_digested(spark.range(1000).repartition(3), f"file://{tmp_path}/out").collect()
+    assert len(got) == 3
+    for r in got:
+        data = (tmp_path / "out" / r.file).read_bytes()
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (r.bytes, r.sha256)
+
+
+def test_gates_and_scopes(spark):
+    df = spark.createDataFrame([("a", "train", True), ("a", "test", False), ("b", "train", False), ("b", "test", True), ("c", "validation", True)], "pair_key string, split string, positive boolean")
+    assert rows(datasets.protected_pairs(df), "subject") == [("b",)]
+    assert rows(datasets.disjoint_members(df, "pair_key").orderBy("subject"), "subject") == [("a",), ("b",)]
+    assert rows(datasets.private_columns(df.withColumn("Target", F.lit(1))), "subject") == [("Target",)]
+    assert datasets.one_scope(df.where("split = 'validation'"), ["split"]) == {"split": "validation"}
+    for bad in (df, df.limit(0)):
+        with pytest.raises(ValueError, match="scope"):
+            datasets.one_scope(bad, ["split"])
+    with pytest.raises(ValueError, match="asked for"):
+        files.in_list(df, "split", [], strict=True)
+
+
+def test_places_and_running_sums(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(500)], "k int, v int").repartition(5)
+    want = sorted((i % 7, i) for i in range(500))
+    assert rows(order.indexed(df, [F.asc("k"), F.asc("v")]).orderBy("index"), "k", "v", "index") == [(k, v, i) for i, (k, v) in enumerate(want)]
+    sums = rows(order.running(df, [F.asc("k"), F.asc("v")], {"s": F.col("v"), "n": F.lit(1)}).orderBy("n"), "s", "n")
+    total = 0
+    for i, ((_, v), (s, n)) in enumerate(zip(want, sums, strict=True)):
+        total += v
+        assert (s, n) == (total, i + 1)
+    assert order.indexed(df.limit(0), [F.asc("k")]).count() == 0
+
+
+def test_scores_of_any_range(spark):
+    df = spark.createDataFrame([(i % 3 == 0, float((i * 37) % 11 - 400)) for i in range(200)], "label boolean, score double").withColumn("label", F.col("label").cast("int")).withColumns({"row_id": F.monotonically_increasing_id(), "hand_id": F.lit(1)})
+    data = sorted(((r.score, -r.row_id, r.label) for r in df.collect()), reverse=True)
+    for k in (1, 20, 150, 200, 999):
+        got = metrics.precision_at(df, [k]).first()
+        assert (got.alerts, got.tp) == (min(k, 200), sum(y for *_, y in data[:k]))
+    pos, neg = [s for s, _, y in data if y], [s for s, _, y in data if not y]
+    auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert metrics.ranking_metrics(df).first().roc_auc == pytest.approx(auc)
+
+
+def test_common_neighbours_of_hubs(spark):
+    import random
+
+    r = random.Random(1)
+    edges = {tuple(sorted(r.sample(range(40), 2))) for _ in range(150)} | {(0, i) for i in range(1, 40)}
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(40)}
+    got = {(x.player_a, x.player_b): (x.shared, round(x.jaccard, 9)) for x in graph.coplayer_jaccard(spark.createDataFrame(sorted(edges), "player_a int, player_b int")).collect()}
+    for a, b in edges:
+        both, either = (near[a] & near[b]) - {a, b}, (near[a] | near[b]) - {a, b}
+        assert got[a, b] == (len(both), round(len(both) / len(either), 9) if either else 0.0)
+    assert set(got) == edges
+
+
+@pytest.mark.parametrize("chunk", [3, 20_000])
+def test_nearest_vectors(spark, chunk):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    v = r.normal(size=(60, 8)).tolist()
+    table = [(i, x) for i, x in enumerate(v)] + [(100, [0.0] * 8), (101, None), (102, []), (103, v[5]), (None, v[1])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = graph.cosine_top_k(df, df.where("vec_id % 9 = 0 or vec_id > 99"), 4, chunk=chunk).orderBy("query_id", "place").collect()
+    known = {i: np.array(x) / np.linalg.norm(x) for i, x in table if i is not None and x and any(x)}
+    want = [(q, f) for q in sorted(k for k in known if k % 9 == 0 or k > 99) for _, f in sorted((-round(float(known[q] @ known[f]), 6), f) for f in known if f != q)[:4]]
+    assert [(x.query_id, x.found_id) for x in got] == want
+
+
+def test_last_ids_over_days(spark):
+    import random
+
+    r = random.Random(2)
+    data = [(r.choice("ab"), T0 + timedelta(hours=r.randrange(200)), i) for i in range(150)] + [("a", None, 900), (None, T0, 901)]
+    df = spark.createDataFrame(data, "k string, t timestamp, id long")
+    got = {x.id: (x.history, x.history_mask) for x in history.last_n(df, "k", "t", "id", 5).collect()}
+    for k, t, i in data:
+        seen = [j for _, j in sorted((u, j) for q, u, j in data if q == k is not None and u is not None and t is not None and u < t)][-5:]
+        assert got[i] == (seen, [0] * (5 - len(seen)) + [1] * len(seen))
+
+
+def test_conflicting_versions(spark):
+    v = spark.createDataFrame([("u", 1, "e1"), ("u", 1, "e1"), ("u", 2, "e2")], "user_id string, context_version int, event_id string")
+    assert history.checked_versions(v).count() == 2 and history.conflicting_versions(v).isEmpty()
+    bad = v.unionAll(spark.createDataFrame([("u", 2, "e3")], v.schema))
+    assert rows(history.conflicting_versions(bad), "context_version", "events") == [(2, 2)]
+    with pytest.raises(Exception, match="conflicting version 2 of u"):
+        history.checked_versions(bad).collect()
+
+
+def test_monitoring(spark):
+    base = spark.createDataFrame([(r, 1, 0.2, 0.5, 100.0) for r in ("ok", "low", "bad", "few", "off", "gone")], "rule_id string, rule_version int, base_rate double, base_precision double, base_volume double")
+    seen = [("ok", True, 20, 10), ("low", True, 5, 3), ("bad", True, 90, 5), ("few", True, 1, 1), ("off", False, 90, 5)]
+    w = spark.createDataFrame([(r, 1, on, "w", 100, 200, 30, n, tp) for r, on, n, tp in seen], "rule_id string, rule_version int, enabled boolean, window_id string, pair_rows long, labelled_hands long, positives long, firings long, true_positives long")
+    m = metrics.rule_monitoring(w, base, min_hands=50, min_positives=5, min_firings=2)
+    got = {r.rule_id: (r.status, r.reasons, r.alert_id) for r in m.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"ok": "ok", "low": "warning", "bad": "critical", "few": "insufficient_data", "off": "disabled", "gone": "insufficient_data"}
+    assert got["bad"][1] == "alert_volume_above_baseline_ratio,firing_rate_above_baseline_band,precision_below_baseline_ratio" and got["low"][1] == "firing_rate_below_baseline_band"
+    again = {r.rule_id: r.alert_id for r in m.collect()}
+    assert {k for k, v in got.items() if v[2]} == {"low", "bad"} and again == {k: v[2] for k, v in got.items()}
+    s = metrics.overall_status(m).first()
+    assert (s.status, s.rules, s.critical_rules, s.alerts) == ("critical", 6, 1, 2) and metrics.overall_status(m.where("rule_id = 'ok'")).first().status == "ok"
+
+
+def test_cohorts(spark):
+    hands = spark.createDataFrame([(h, T0 + timedelta(hours=h)) for h in range(60)], "hand_id int, played_at timestamp")
+    pairs_ = [(h, f"p{h % 8}", h % 8 < 6 and h < 8) for h in range(48)] + [(48, "p0", False), (48, "p1", False)]
+    s = splits.new_relationship(hands, spark.createDataFrame(pairs_, "hand_id int, pair_key string, positive boolean"))
+    got = dict(rows(s, "hand_id", "split"))
+    # p0 and p1 meet in hand 48, so there are five components: p0 with p1, p2, p3 train, p4 validation, p5 test
+    side = {"p0": "train", "p1": "train", "p2": "train", "p3": "train", "p4": "validation", "p5": "test"}
+    assert all(got[h] == side[p] for h, p, _ in pairs_ if p in side) and len(got) == 60
+    free = [got[h] for h in range(60) if h > 48 or (h < 48 and h % 8 > 5)]
+    assert free == (["train"] * 14 + ["validation"] * 3 + ["test"] * 3)[: len(free)] + ["train"] * max(0, len(free) - 20)
+    members = spark.createDataFrame([(h, m) for h in range(60) for m in (h % 9, h % 7)], "hand_id int, player_id int")
+    cold = splits.cold_start(hands, members)
+    assert cold.count() == 60 and datasets.disjoint_members(cold.join(members, "hand_id")).isEmpty()
+    with pytest.raises(ValueError, match="no positive pair"):
+        splits.new_relationship(hands, spark.createDataFrame([(1, "p", False)], "hand_id int, pair_key string, positive boolean"))
+
+
+def test_hands_without_all_pairs(spark):
+    p = spark.createDataFrame([("h", 3, 1, 2, 0.5), ("h", 3, 1, 3, 0.9), ("h", 3, 2, 3, 0.1), ("i", 3, 1, 2, 0.7)], "hand_id string, num_players int, player_a int, player_b int, probability double")
+    assert rows(rules.score_hands(p, 0.8), "hand_id", "hand_score", "alert") == [("h", 0.9, True)]
+    with pytest.raises(Exception, match="pairs are missing in hand i"):
+        rules.score_hands(p, 0.8, strict=True).collect()
 
 
 def test_files(spark, tmp_path):
@@ -160,10 +337,14 @@ def test_scalars(spark):
             return out + bytes([value])
         return bytes([number << 3 | 2, len(value)]) + value
 
-    good = field(1, b"h1") + field(2, b"t") + field(3, 1_500_000) + field(4, b"p1") + field(4, b"p2")
+    action = field(1, 7) + field(2, b"p1") + field(3, b"flop") + field(4, b"bet") + field(5, 2_500_000)
+    player = field(1, b"p1") + field(2, b"Ann") + field(3, b"BTN") + field(4, 100_000_000) + field(5, b"As") + field(5, b"Kd") + field(6, (1 << 64) - 3_000_000)
+    good = field(1, b"h1") + field(2, b"holdem") + field(3, b"t") + field(4, 1_784_592_000_000) + field(5, b"train") + field(9, 2) + field(10, 1_500_000) + field(11, b"2c") + field(11, b"3d") + field(12, action) + field(13, player) + field(15, b"later")
     df = spark.createDataFrame([(bytearray(good),), (bytearray(good[:-1]),), (None,)], "m binary")
     got = [r[0] for r in df.select(S.decode_hand("m")).collect()]
-    assert (got[0].hand_id, got[0].pot_micros, got[0].players, got[0].error) == ("h1", 1_500_000, ["p1", "p2"], None) and got[1].error and got[2].error == "no hand"
+    assert (got[0].hand_id, got[0].game_type, got[0].played_at_ms, got[0].pot_size, got[0].board, got[0].num_players, got[0].big_blind, got[0].error) == ("h1", "holdem", 1_784_592_000_000, 1.5, ["2c", "3d"], 2, 0.0, None)
+    assert tuple(got[0].actions[0]) == (7, "p1", "flop", "bet", 2.5) and tuple(got[0].players[0]) == ("p1", "Ann", "BTN", 100.0, "As Kd", -3.0)
+    assert got[1].error and got[1].players is None and got[2].error == "no hand"
     one = spark.createDataFrame([("High", None, 'a"b')], "x string, y string, z string")
     assert rows(one, S.ordinal(F.col("x"), S.BANKROLL), S.ordinal(F.col("y"), S.BANKROLL), S.hash_fraction(F.col("y")), S.metric_line("m", {"l": F.col("z")}, F.lit(1))) == [(2, 0, 0.0, 'm{l="a\\"b"} 1')]
     assert rows(one, S.scenario_family(F.lit("pair-0004"), ["a", "b", "c"]), S.scenario_family(F.lit("none"), ["a"])) == [("b", None)]

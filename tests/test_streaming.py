@@ -21,8 +21,10 @@ def write(folder, rows, n):
 
 
 def stream(df, spark, name, tmp_path, mode="append"):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a query keeps the number it starts with; few keys need no more
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(240)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark.table(name)
 
 
@@ -123,3 +125,10 @@ def test_stream_with_memory(spark, tmp_path):
     memory = spark.createDataFrame([("a:b", 4, 0.5)], "pair_key string, n long, soft_play double")
     got = stream(temporal.with_memory(jobs.json_stream(spark, str(tmp_path / "in"), "hand_id string, pair_key string"), memory), spark, "remembered", tmp_path)
     assert sorted((r.pair_key, r.memory_n) for r in got.collect()) == [("a:b", 4), ("a:c", None)]
+
+
+def test_unruly_deliveries_can_be_repeated(spark):
+    events = spark.range(400).select(F.col("id"), F.timestamp_seconds(F.lit(1_784_592_000) + F.col("id")).alias("t"))
+    one, two = ([tuple(r) for r in jobs.unruly_deliveries(events, ["id"], "t").orderBy("delivered_at", "id", "delivery").collect()] for _ in range(2))
+    ids = [r[0] for r in one]
+    assert one == two and set(ids) == set(range(400)) and 400 < len(ids) < 500 and ids != sorted(ids) and all(r[3] >= r[1] for r in one)

@@ -90,30 +90,59 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError("unknown wire type")
 
 
-HAND = "struct<hand_id: string, table_id: string, pot_micros: long, players: array<string>, error: string>"
+# The fields of the message by number, as (name, kind); money is in millionths.
+_ACTION = {1: ("sequence_no", "int"), 2: ("player_id", "text"), 3: ("street", "text"), 4: ("action_type", "text"), 5: ("amount", "money")}
+_PLAYER = {1: ("player_id", "text"), 2: ("name", "text"), 3: ("position", "text"), 4: ("stack_start", "money"), 5: ("hole_cards", "words"), 6: ("won_amount", "money")}
+_HAND = {
+    1: ("hand_id", "text"), 2: ("game_type", "text"), 3: ("table_id", "text"), 4: ("played_at_ms", "int"), 5: ("dataset_split", "text"), 6: ("generator", "text"), 7: ("small_blind", "money"), 8: ("big_blind", "money"),
+    9: ("num_players", "int"), 10: ("pot_size", "money"), 11: ("board", "list"), 12: ("actions", _ACTION), 13: ("players", _PLAYER),
+}
+_TYPES = {"text": "string", "int": "long", "money": "double", "words": "string", "list": "array<string>"}
+_struct = lambda fields: ", ".join(f"{n}: {_TYPES[k] if isinstance(k, str) else f'array<struct<{_struct(k)}>>'}" for n, k in fields.values())
+HAND = f"struct<{_struct(_HAND)}, error: string>"
 
 
 def decode_hand(message: Column) -> Column:
-    """A binary hand message in Arrow batches: 1 hand, 2 table, 3 pot in millionths, 4 players (repeated). What does not parse has an error."""
+    """A binary hand message in Arrow batches: the hand with its actions and players, played_at_ms in milliseconds, money in units.
+
+    Absent texts are empty, absent numbers 0, as in the format. Unknown fields are passed over. What does not parse or has no hand_id has an error and nulls; so has null.
+    """
     return F.pandas_udf(_decode, HAND)(message)
 
 
+def _message(data: bytes, fields: dict) -> dict:
+    empty = {"text": "", "int": 0, "money": 0.0}
+    out = {n: empty[k] if isinstance(k, str) and k in empty else [] for n, k in fields.values()}
+    for number, value in _fields(data):
+        if number not in fields:
+            continue
+        name, kind = fields[number]
+        if isinstance(kind, dict):
+            out[name].append(_message(value, kind))
+        elif kind in ("list", "words"):
+            out[name].append(value.decode())
+        elif kind == "text":
+            out[name] = value.decode()
+        else:
+            signed = value - (1 << 64) if value >= 1 << 63 else value
+            out[name] = signed / 1e6 if kind == "money" else signed
+    return out | {n: " ".join(out[n]) for n, k in fields.values() if k == "words"}
+
+
 def _decode(messages: pd.Series) -> pd.DataFrame:
+    names = [n for n, _ in _HAND.values()]
     rows = []
     for m in messages:
         try:
-            hand = table = None
-            pot, players = 0, []
-            for number, value in _fields(m or b""):
-                if number == 1:
-                    hand = value.decode()
-                elif number == 2:
-                    table = value.decode()
-                elif number == 3:
-                    pot = int(value)
-                elif number == 4:
-                    players.append(value.decode())
-            rows.append((hand, table, pot, players, None if hand else "no hand"))
-        except (ValueError, IndexError, AttributeError) as e:
-            rows.append((None, None, None, None, str(e) or type(e).__name__))
-    return pd.DataFrame(rows, columns=["hand_id", "table_id", "pot_micros", "players", "error"])
+            hand = _message(m or b"", _HAND)
+            if not hand["hand_id"]:
+                raise ValueError("no hand")
+            rows.append((*(hand[n] for n in names), None))
+        except (ValueError, IndexError, AttributeError, TypeError, struct.error) as e:
+            rows.append((*[None] * len(names), str(e) or type(e).__name__))
+    return pd.DataFrame(rows, columns=[*names, "error"])
+
+
+def identifier(name: Column) -> Column:
+    """Whether a text is a plain SQL identifier: a letter or underscore, then letters, digits and underscores."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +157,38 @@ def drift_status(value: Column) -> Column:
     return F.when(value >= 0.25, "critical").when(value >= 0.10, "warning").otherwise("ok")
 
 
+def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], bins: int = 10) -> DataFrame:
+    """feature, kind ("psi" or "tvd"), value and status of each column, and of all: feature "*", kind "worst", the largest value and the worst status.
+
+    Columns become rows first, so the whole report is one aggregation of each table, whatever the number of columns. Values that are null or not finite are left out;
+    of categories null is one. Bins are between the reference's distinct quantiles, outer ones open; proportions are clipped at 1e-6 and renormalised.
+    """
+    def long(df: DataFrame) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric]))
+        return df.select(each.alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+
+    ends = [F.lit(i / bins) for i in range(1, bins)]
+    edges = long(reference).groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("v", F.array(*ends)))).alias("edges")) if numeric else None
+
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        binned_ = long(df).join(F.broadcast(edges), "feature").select("feature", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bin"))  # one row a column
+        n = binned_.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+        every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin")).join(n, ["feature", "bin"], "left").fillna(0, subset=["n"])
+        total = Window.partitionBy("feature")  # bins of a column
+        p = F.greatest(F.when(F.sum("n").over(total) > 0, F.col("n") / F.sum("n").over(total)).otherwise(0.0), F.lit(1e-6))
+        return every.select("feature", "bin", p.alias("p")).select("feature", "bin", (F.col("p") / F.sum("p").over(total)).alias(name))
+
+    parts = []
+    if numeric:
+        j = shares(reference, "e").join(shares(current, "a"), ["feature", "bin"])
+        parts.append(j.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("value")).select("feature", F.lit("psi").alias("kind"), "value"))
+    for c in categorical:
+        parts.append(tvd(reference, current, c).select(F.lit(c).alias("feature"), F.lit("tvd").alias("kind"), F.col("tvd").alias("value")))
+    each = written(reduce(DataFrame.unionAll, parts).withColumn("status", drift_status(F.col("value"))), "drift")
+    worst = each.agg(F.lit("*").alias("feature"), F.lit("worst").alias("kind"), F.max("value").alias("value"), drift_status(F.max("value")).alias("status"))
+    return each.unionAll(worst)
+
+
 #: Statuses of a monitored rule, the worst first, and the order in which a report takes the worst.
 STATUSES = ("critical", "warning", "insufficient_data", "disabled", "ok")
 MONITORING = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"

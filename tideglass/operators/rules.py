@@ -59,18 +59,29 @@ def ensemble(rule_score: Column, models: dict[str, Column]) -> Column:
     return clip(sum((ENSEMBLE_WEIGHTS[k] * c for k, c in models.items()), ENSEMBLE_WEIGHTS["rule"] * rule_score / 120), 0.0, 1.0)
 
 
+def alerts(scored: DataFrame, models: dict[str, Column], rule_score: Column, threshold: float, limits: str = "scorer", source: str = "batch") -> DataFrame:
+    """hand_id, player_id, risk_score, risk_level, model_scores (a struct of the models, the rules and the whole, with its source) and status of scores at or above the threshold."""
+    score = ensemble(rule_score, models)
+    parts = F.struct(*[c.cast("double").alias(k) for k, c in models.items()], rule_score.cast("double").alias("rule_score"), score.alias("meta"), F.lit(source).alias("source"))
+    out = scored.select("hand_id", "player_id", score.alias("risk_score"), parts.alias("model_scores")).where(F.col("risk_score") >= threshold)
+    return out.withColumns({"risk_level": risk_level(F.col("risk_score"), limits), "status": F.lit("pending")})
+
+
 def risk_level(score: Column, limits: str) -> Column:
     high, medium = RISK_LIMITS[limits]
     return F.when(score >= high, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")
 
 
-def score_hands(pairs: DataFrame, threshold: float, probability: str = "probability") -> DataFrame:
-    """Per hand: the highest probability, whether it alerts, and the number of pairs. A hand without all of its pairs is left out.
+def score_hands(pairs: DataFrame, threshold: float, probability: str = "probability", strict: bool = False) -> DataFrame:
+    """Per hand: the highest probability, whether it alerts, and the number of pairs. A hand without all of its pairs is left out; with strict it is an error.
 
     pairs: hand_id, num_players, player_a, player_b, probability.
     """
     g = pairs.groupBy("hand_id").agg(F.max(probability).alias("hand_score"), F.count(F.lit(1)).alias("pairs"), F.max("num_players").alias("n"), F.count_distinct("num_players").alias("kinds"))
-    return g.where((F.col("kinds") == 1) & (F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2)).select("hand_id", "hand_score", (F.col("hand_score") >= threshold).alias("alert"), "pairs")
+    whole = (F.col("kinds") == 1) & (F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2)
+    if strict:
+        whole = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("pairs are missing in hand "), F.col("hand_id").cast("string"))).cast("boolean"))
+    return g.where(whole).select("hand_id", "hand_score", (F.col("hand_score") >= threshold).alias("alert"), "pairs")
 
 
 def player_scores(pairs: DataFrame, probability: str = "probability") -> DataFrame:

@@ -39,6 +39,15 @@ def group_fold(group: str, folds: int):
     return F.pmod(F.xxhash64(group), F.lit(folds))
 
 
+def stratified_folds(rows: DataFrame, group: str, label: str, folds: int, order: Column | None = None) -> DataFrame:
+    """One row a group with positive, whether any of its rows is, and fold: groups of either kind are dealt out in turn, so folds differ by one or so.
+
+    The order in which they are dealt is that of a hash unless one is given.
+    """
+    g = rows.groupBy(group).agg(F.max(F.col(label).cast("int")).alias("positive"))
+    return indexed(g, [F.desc("positive"), F.xxhash64(group) if order is None else order, F.asc(group)]).withColumn("fold", F.pmod("index", F.lit(folds)).cast("int")).drop("index")
+
+
 def overlap_audit(assigned: DataFrame, members: DataFrame, key: str, member: str) -> DataFrame:
     """Members that occur in more than one split; a leak-free assignment gives no row."""
     seen = members.join(assigned.select(key, "split"), key).groupBy(member).agg(F.count_distinct("split").alias("splits"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("in_splits"))

@@ -12,9 +12,11 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 FORBIDDEN = ("is_suspicious", "collusion_pair_id", "is_collusive", "label", "labels", "hidden_state", "scenario_family")
 
 
-def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
-    """Rows whose column is one of the values; an empty list gives no row and reads nothing. Long lists become a semi join."""
+def in_list(df: DataFrame, column: str, values: list, strict: bool = False) -> DataFrame:
+    """Rows whose column is one of the values; an empty list gives no row and reads nothing, or with strict is an error. Long lists become a semi join."""
     if not values:
+        if strict:
+            raise ValueError(f"no values of {column} are asked for")
         return df.limit(0)
     if len(values) <= 1000:
         return df.where(F.col(column).isin(values))
@@ -22,6 +24,21 @@ def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.join(wanted.distinct(), column, "left_semi")
 
 
+def page(df: DataFrame, filters: dict[str, list], order: list[Column], most: int) -> DataFrame:
+    """Rows that pass all filters (column: values; empty lists do not filter), in order, `most` of them, from 1 to 1000: a bounded report."""
+    for column, values in filters.items():
+        df = in_list(df, column, values) if values else df
+    return df.orderBy(*order).limit(max(1, min(1000, most)))
+
+
+def scoped(events: DataFrame, tenants: list[str], kinds: dict[str, int], prefix: str = "sim-", tenant: str = "tenant_id", kind: str = "event_type", version: str = "schema_version", dataset: str = "dataset_id") -> DataFrame:
+    """Add scope: null for events that are let in, else the first reason: tenant, event_type, schema_version or dataset (its prefix). Nulls are not let in."""
+    known = F.create_map(*[F.lit(x) for p in kinds.items() for x in p])
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    reason = F.when(~ok(F.col(tenant).isin(tenants)), "tenant").when(~ok(F.col(kind).isin(list(kinds))), "event_type").when(~ok(known[F.col(kind)] == F.col(version)), "schema_version")
+    return events.withColumn("scope", reason.when(~ok(F.col(dataset).startswith(prefix)), "dataset"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, lines that do not parse have nulls and their text in _corrupt."""
     return spark.read.schema(schema.add("_corrupt", "string")).option("columnNameOfCorruptRecord", "_corrupt").json(path)

@@ -15,6 +15,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of each key with the largest version, of old and new; of equal versions the new one."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    rest = [c for c in old.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "__new")).alias("x")).select(*keys, "x.*")
+
+
 def delete_then_append(old: DataFrame, new: DataFrame, column: str) -> tuple[DataFrame, int]:
     """Old without any row of the new rows' values of column, then the new rows; and how many rows were deleted."""
     gone = old.join(new.select(column).distinct(), column, "left_semi").count()
@@ -32,6 +39,13 @@ def insert_status(old: DataFrame, new: DataFrame, key: str, content: str) -> Dat
     return j.withColumn("status", F.when(F.col("__k").isNull(), "inserted").when(F.col(content) == F.col("__c"), "duplicate").otherwise("collision")).drop("__k", "__c")
 
 
+def checked_insert(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """The new rows whose key is not there yet; a key that is there with other content is an error."""
+    s = insert_status(old, new, key, content)
+    clash = F.raise_error(F.concat(F.lit("other content of key "), F.col(key).cast("string"))).cast("boolean")
+    return s.where(F.when(F.col("status") == "collision", clash).otherwise(F.col("status") == "inserted")).drop("status")
+
+
 def collisions(records: DataFrame, key: str, content: str) -> DataFrame:
     """Keys with more than one content, by the hash of its JSON: a batch with any of these must not be loaded."""
     sha = F.sha2(F.to_json(F.col(content)), 256)

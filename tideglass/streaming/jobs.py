@@ -57,6 +57,20 @@ def running_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pair_key").applyInPandasWithState(_remember, PAIR_OUT, PAIR_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def unruly_deliveries(events: DataFrame, ids: list[str], time: str, seed: int = 7, late: float = 0.1, twice: float = 0.1, most_seconds: int = 600) -> DataFrame:
+    """Events as a bad network would deliver them, for tests: delivered_at, and delivery 1, or 2 of what comes twice.
+
+    A share of events is late by up to most_seconds and a share comes twice, the second time later; which ones follows from hashes of ids and
+    seed, so a run can be repeated. Sorting by delivered_at gives the order.
+    """
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *ids), F.lit(1_000_003)) / 1_000_003.0
+    delay = F.when(u("late") < late, u("by") * most_seconds).otherwise(u("jitter"))
+    each = F.when(u("twice") < twice, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    out = events.withColumn("delivery", F.explode(each))
+    micros = F.unix_micros(F.col(time).cast("timestamp")) + ((delay + (F.col("delivery") - 1) * u("again") * most_seconds) * 1e6).cast("long")
+    return out.withColumn("delivered_at", F.timestamp_micros(micros))
+
+
 def split_invalid(rules: dict[str, Column], valid_to: str, dead_to: str, topic: str, stage: str, key: str):
     """A function for foreachBatch: rows that keep the rules go to one folder as keyed JSON, the others to another as dead letters."""
     def process(batch: DataFrame, number: int) -> None:
