@@ -12,9 +12,11 @@ from tideglass.sources import files
 from tideglass.sources import testbed as T
 
 
-
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    """A profile of each customer, at fixed fields: created at the first order's day count, buckets by segment and balance."""
+    """A profile of each customer, at fixed fields: created at the first order's day count, buckets by segment and balance.
+
+    Every 13th customer has none: those are the missing contexts that pair_context has to answer. All orders are in its result.
+    """
     c = T.table(spark, d, "customer")
     bank = F.when(F.col("c_acctbal") < 2000, "low").when(F.col("c_acctbal") < 6000, "MEDIUM").when(F.col("c_acctbal") < 9000, "high")
     stake = F.when(F.col("c_custkey") % 5 == 0, "micro").when(F.col("c_custkey") % 5 == 1, "low").when(F.col("c_custkey") % 5 == 2, "medium").otherwise("high")
@@ -59,6 +61,7 @@ def _lineage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("alert_review", "SELECT o_orderkey AS alert_id, o_custkey::VARCHAR AS decision_id, (o_orderkey % 100)::VARCHAR AS score_id, c_mktsegment AS outcome, round((o_orderkey % 100) / 100, 6) AS score, CASE WHEN o_orderkey % 100 < 50 THEN 2 END::BIGINT AS pairs FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
 def _alert_review(spark: SparkSession, d: str) -> DataFrame:
+    """All orders are alerts; customers with an odd key have no decision, so that half of the alerts are still to be decided."""
     js = lambda **k: F.to_json(F.struct(*[v.alias(n) for n, v in k.items()])).alias("payload")
     alerts = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("alert_id"), js(decision_id=F.col("o_custkey").cast("string"), score_id=(F.col("o_orderkey") % 100).cast("string")))
     decisions = T.table(spark, d, "customer").where("c_custkey % 2 = 0").select(js(id=F.col("c_custkey").cast("string"), outcome=F.col("c_mktsegment")))
@@ -97,16 +100,18 @@ def _gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("expected_firings", "SELECT n_nationkey AS case_id, 'R' AS rule_id, count(hit)::BIGINT AS firings, count(DISTINCT CASE WHEN hit = 1 THEN h END) AS fired_hands, count(DISTINCT CASE WHEN hit = 1 THEN h END) >= 2 AS met FROM (SELECT n_nationkey, unnest(range(n_nationkey * 4, n_nationkey * 4 + 4)) AS h FROM nation) LEFT JOIN (SELECT l_orderkey, 1 AS hit FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = h GROUP BY 1")
 def _expected(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation is a case that expects firings in four hands of its own; all line items are the evidence."""
     k = F.col("n_nationkey").cast("long")
     e = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("case_id"), F.lit("R").alias("rule_id"), F.sequence(k * 4, k * 4 + 3).alias("hands"), F.lit(2).alias("at_least"))
     ev = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_returnflag").alias("rule_id"), F.col("l_orderkey").alias("hand_id"))
     return datasets.expected_firings(e, ev).select("case_id", "rule_id", "firings", "fired_hands", "met")
 
 
-@query("restored", "SELECT c_custkey, c_mktsegment FROM customer")
+@query("restored", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 1 THEN 'NEWER' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _restored(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two remainders are lost or broken and come back; rows of another are newer than the snapshot and stay."""
     c = T.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    now = c.where("c_custkey % 9 <> 4").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 == 5, "BROKEN").otherwise(F.col("c_mktsegment")))
+    now = c.where("c_custkey % 9 <> 4").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 == 5, "BROKEN").when(F.col("c_custkey") % 9 == 1, "NEWER").otherwise(F.col("c_mktsegment")))
     return datasets.restored(now, c, c.where("c_custkey % 9 in (4, 5)"), "c_custkey")
 
 
