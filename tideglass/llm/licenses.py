@@ -1,16 +1,18 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
 A paragraph is a line with a word, or a stretch of neighbouring lines: a notice may be wrapped at any width. Its features are the
-distinct words and pairs of words that the model knows. Multinomial logistic regression gives each licence family and "unknown" a
-probability; a temperature and a limit for families are calibrated on paragraphs that training did not see. A prediction counts when
-three-word runs of the paragraph cover enough of one sentence of the family's templates.
+distinct runs of two and of three words that the model knows. Multinomial logistic regression gives each licence family and "unknown" a
+probability. Unknown is learned from paragraphs of the corpus and from the templates' sentences with names of other licences in them, so that
+a known way to grant with an unknown name is unknown. A temperature and a limit for families are calibrated on what FOLDS models say about
+whole sentences, names and paragraphs that each of them did not see. A prediction counts when three-word runs of the paragraph cover enough
+of one sentence of the family's templates.
 
 Lines are joined within blocks, which lines without a word separate. For each sentence of the templates, the stretch of at most
 REACH words in the block that covers most of it is one more paragraph, if it covers enough.
 
-Training runs on the driver over the templates' sentences and NEGATIVES paragraphs of the corpus at most, those with the smallest hashes.
-Scanning is DataFrame operations only. The model knows all words and pairs of the templates, however common they are in the corpus. One
-membership test a word leaves few paragraphs to explode: it looks for words without which neither the weights can add up to the limit nor
+Training runs on the driver over the templates' sentences and NEGATIVES paragraphs of the corpus at most, one a document, of the documents
+with the smallest hashes, which a threshold picks out in the scan. Scanning is DataFrame operations only. The model knows all runs of the
+templates' words, however common they are in the corpus. One membership test a word leaves few paragraphs to explode: it looks for words without which neither the weights can add up to the limit nor
 a sentence can be covered, so it loses no paragraph. The sample's counts of words only choose among such sets of words. Weights and
 templates are small tables of bounded size that are broadcast. Counts are combined before the one shuffle by paragraph.
 """
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import documents, without, written
+from tideglass.llm.common import documents, thinned, without, written
 
 # Sentences by which published licences are granted or named.
 TEMPLATES = {
@@ -48,6 +50,23 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
+    "AGPL": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "EPL": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License.",
+    ),
+    "Boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Boost Software License.",
+    ),
     "LGPL": (
         "This work is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
@@ -68,6 +87,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "CC-BY-ND": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "Public domain": (
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "This is free and unencumbered software released into the public domain.",
@@ -77,7 +100,10 @@ TEMPLATES = {
         "No part of this publication may be reproduced or transmitted in any form without prior written permission of the copyright holder.",
     ),
 }
-UNKNOWN, NEGATIVES, COVER, FALSE_RATE = "unknown", 4_000, 0.6, 0.001
+# How the templates name the licences, and names of licences of no family here.
+NAMES = ("Apache License", "MIT License", "BSD 3-Clause License", "GNU General Public License", "GNU Affero General Public License", "GNU Lesser General Public License", "Mozilla Public License", "Eclipse Public License", "ISC License", "Boost Software License", "CC BY", "Creative Commons Attribution")
+OTHERS = ("Artistic License", "GNU Free Documentation License", "European Union Public Licence", "Academic Free License", "Microsoft Public License", "Open Software License", "Python Software Foundation License", "Common Development and Distribution License", "Q Public License", "Acme Software License")
+UNKNOWN, NEGATIVES, COVER, FALSE_RATE, FOLDS, GRAMS, NEGATIVE_CHARS = "unknown", 4_000, 0.6, 0.001, 4, (2, 3), 2_000
 SPLIT, BETWEEN = r"[^\p{L}\p{N}]+", r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
 
 
@@ -92,12 +118,6 @@ def _runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(each, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, place and text of each line with a word."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("place", "paragraph"))
-    return lines.where(F.col("paragraph").rlike(r"[\p{L}\p{N}]"))
-
-
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, place and text of each block of lines between lines without a word."""
     parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BETWEEN)).alias("block", "text"))
@@ -112,6 +132,10 @@ def _grams(words: list[str], n: int) -> set[str]:
     return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def _features(words: list[str]) -> set[str]:
+    return set().union(*(_grams(words, n) for n in GRAMS))
+
+
 #: Words that a stretch of joined lines spans at most: twice the longest sentence.
 REACH = 2 * max(len(_words(s)) for t in TEMPLATES.values() for s in t)
 
@@ -160,8 +184,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(negatives: list[str], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> Model:
-    """Fit on the templates, whole and in stretches of half their words and more, and on paragraphs that share no three-word run with them."""
+def _fit(x: np.ndarray, one: np.ndarray, weight: np.ndarray, rounds: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias that minimise the weighted log loss, by gradient steps with momentum."""
+    w, b = np.zeros((x.shape[1], one.shape[1]), np.float32), np.zeros(one.shape[1], np.float32)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(rounds):
+        g = (_softmax(x @ w + b) - one) * weight
+        vw, vb = 0.9 * vw - rate * (x.T @ g + ridge * w), 0.9 * vb - rate * g.sum(axis=0)
+        w, b = w + vw, b + vb
+    return w, b
+
+
+def _stretches(words: list[str]) -> list[list[str]]:
+    """The sentence and parts of it of half its words or more."""
+    least = max(3, (len(words) + 1) // 2)
+    return [words] + [words[i:j] for i in range(0, len(words) - least + 1, 2) for j in range(i + least, len(words) + 1, 3)]
+
+
+def train(negatives: list[str], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-4) -> Model:
+    """Fit on the templates, whole and in stretches, on those with other names, and on paragraphs that share no three-word run with them."""
     classes = [UNKNOWN, *sorted(TEMPLATES)]
     runs = set().union(*(_grams(_words(s), 3) for t in TEMPLATES.values() for s in t))
     plain = [w for p in negatives if (w := _words(p)) and not _grams(w, 3) & runs]
@@ -169,47 +210,52 @@ def train(negatives: list[str], rounds: int = 400, rate: float = 0.5, ridge: flo
     for w in plain:
         for x in set(w):
             seen[x] = seen.get(x, 0) + 1
-    rows = [(w, 0) for w in plain]
+    # (words, class, fold): what belongs together, a sentence with its stretches or another licence's name, has one fold
+    rows = [(w, 0, n % FOLDS) for n, w in enumerate(plain)]
     for k, family in enumerate(classes[1:], 1):
-        for sentence in TEMPLATES[family]:
-            w = _words(sentence)
-            least = max(3, (len(w) + 1) // 2)
-            rows += [(w, k)] * 4 + [(w[i:j], k) for i in range(0, len(w) - least + 1) for j in range(i + least, len(w) + 1, 2)]
-    known = sorted({g for w, k in rows if k for g in _grams(w, 1) | _grams(w, 2)})
+        for n, sentence in enumerate(TEMPLATES[family]):
+            rows += [(w, k, n % FOLDS) for w in _stretches(_words(sentence))]
+            for name in NAMES:
+                if name in sentence:
+                    rows += [(_words(sentence.replace(name, other)), 0, m % FOLDS) for m, other in enumerate(OTHERS)]
+    known = sorted({g for w, k, _ in rows if k for g in _features(w)})
     number = {g: i for i, g in enumerate(known)}
-    found = [([number[g] for g in _grams(w, 1) | _grams(w, 2) if g in number], k) for w, k in rows]
+    found = [([number[g] for g in _features(w) if g in number], k, f) for w, k, f in rows]
     # paragraphs without a feature are all alike: one row, weighted
-    empty = sum(not f for f, k in found if k == 0)
-    some = [(f, k, 1.0) for f, k in found if f] + [([], 0, float(max(1, empty)))]
-    held = np.arange(len(some)) % 4 == 3
-    x, y, weight = np.zeros((len(some), len(known))), np.array([k for _, k, _ in some]), np.array([w for _, _, w in some])
-    for i, (f, _, _) in enumerate(some):
-        x[i, f] = 1
-    share = np.bincount(y, weight, len(classes))
-    weight = weight / share[y]  # classes count alike
-    one = np.eye(len(classes))[y]
-    w, b = np.zeros((len(known), len(classes))), np.zeros(len(classes))
-    fit_x, fit_one, fit_weight = x[~held], one[~held], weight[~held][:, None]
-    for _ in range(rounds):
-        g = (_softmax(fit_x @ w + b) - fit_one) * fit_weight
-        w -= rate * (fit_x.T @ g + ridge * w)
-        b -= rate * g.sum(axis=0)
-    z = x[held] @ w + b if held.any() else x @ w + b
-    of = y[held] if held.any() else y
-    loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(of)), of] + 1e-12).mean()
+    empty = sum(not g for g, k, _ in found if k == 0)
+    some = [(g, k, f, 1.0) for g, k, f in found if g] + [([], 0, -1, float(max(1, empty)))]
+    x, y, fold, weight = np.zeros((len(some), len(known)), np.float32), np.array([k for _, k, _, _ in some]), np.array([f for _, _, f, _ in some]), np.array([w for *_, w in some])
+    for i, (g, *_) in enumerate(some):
+        x[i, g] = 1
+    one = np.eye(len(classes), dtype=np.float32)[y]
+    balance = lambda at: (weight / np.maximum(np.bincount(y[at], weight[at], len(classes))[y], 1e-9))[at][:, None].astype(np.float32)  # noqa: E731  classes count alike
+    z = np.zeros((len(some), len(classes)), np.float32)
+    for f in range(FOLDS):
+        fit = fold != f
+        w, b = _fit(x[fit], one[fit], balance(fit), rounds, rate, ridge)
+        z[fold == f] = x[fold == f] @ w + b
+    out = fold >= 0
+    loss = lambda t: -np.log(_softmax(z[out] / t)[np.arange(out.sum()), y[out]] + 1e-12).mean()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    wrong = np.sort(1 - _softmax(z[of == 0] / temperature)[:, 0]) if (of == 0).any() else np.zeros(1)
+    wrong = np.sort(1 - _softmax(z[out & (y == 0)] / temperature)[:, 0]) if (out & (y == 0)).any() else np.zeros(1)
     limit = float(max(0.5, wrong[min(len(wrong) - 1, int(np.ceil(len(wrong) * (1 - FALSE_RATE))))]))
+    w, b = _fit(x, one, balance(np.ones(len(some), bool)), rounds, rate, ridge)
+    w, b = w.astype(np.float64), b.astype(np.float64)
     # a whole sentence of the templates passes, whatever the paragraphs that calibrate the limit are about
-    whole = np.array([[float(g in grams) for g in known] for t in TEMPLATES.values() for s in t for grams in [_grams(_words(s), 1) | _grams(_words(s), 2)]])
+    whole = np.array([[float(g in grams) for g in known] for t in TEMPLATES.values() for s in t for grams in [_features(_words(s))]])
     limit = min(limit, 0.999 * float(1 - _softmax((whole @ w + b) / temperature)[:, 0].max()))
-    return Model(classes, {g: w[i].tolist() for g, i in number.items()}, b.tolist(), float(temperature), limit, {x: seen[x] for x in known if x in seen})
+    words = {x for g in known for x in g.split(" ")}
+    return Model(classes, {g: w[i].tolist() for g, i in number.items()}, b.tolist(), float(temperature), limit, {x: n for x, n in seen.items() if x in words})
 
 
 def learn(docs: DataFrame, *, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train with this many paragraphs of docs at most."""
-    some = paragraphs(docs, id_col, text_col).select("paragraph", F.xxhash64("id", "place").alias("h")).orderBy("h", "paragraph").limit(negatives)
-    return train([r[0] for r in some.collect()])
+    """Train with this many paragraphs of docs at most, one of each document: the line with a word whose place has the smallest hash, its first NEGATIVE_CHARS characters."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    of = F.lit(max(1, docs.count()))
+    few = thinned(docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h")), "h", negatives, of)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.xxhash64("h", i).alias("of"), F.substring(x, 1, NEGATIVE_CHARS).alias("line"))), lambda x: x["line"].rlike(r"[\p{L}\p{N}]"))
+    some = few.select("h", F.array_min(lines)["line"].alias("paragraph")).where("paragraph is not null").orderBy("h", "paragraph").limit(negatives)
+    return train([r["paragraph"] for r in some.collect()])
 
 
 def _hits(words: Column, runs: list[str]) -> Column:
@@ -249,7 +295,7 @@ def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str =
     some = written(some.where((F.size("lines") > 0) | (F.size("hits") > 0)), "licence-blocks")
     names = some.select(F.col("row").alias("n_row"), "id", "block", "h")
     some = written(some.select("row", F.inline("lines")).unionByName(_joined(some, runs, cover)), "licence-paragraphs")
-    grams = some.select(*key, F.explode(F.array_distinct(F.concat("words", _runs(F.col("words"), 2)))).alias("gram"))
+    grams = some.select(*key, F.explode(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in GRAMS]))).alias("gram"))
     sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(model.classes))]
     scored = grams.join(weights, "gram").groupBy(*key).agg(*sums)
     z = [(F.col(f"z{i}") + b) / model.temperature for i, b in enumerate(model.bias)]
