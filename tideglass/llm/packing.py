@@ -216,5 +216,12 @@ def pack_documents(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, ids: bool =
     return pack(written(tokenise(docs, max_tokens=max_tokens, ids=ids, **options), "pieces"), max_tokens=max_tokens)
 
 
+def assembled(packed: DataFrame) -> DataFrame:
+    """The sequences themselves: sequence_id, length and ids (binary) of pieces with their ids, each piece at its offset. A group is one sequence, max_tokens ids at most."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
+    whole = F.reduce("parts", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["ids"]))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts")).select("sequence_id", "length", whole.alias("ids"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
