@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.llm import common, components, exact_dedup, language, licenses, minhash, mixing, packing, quality, registry, sharding, sstable, tokens, toxicity
+from tideglass.llm import bloom, common, components, exact_dedup, language, licenses, minhash, mixing, packing, quality, registry, sharding, sstable, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,10 +51,9 @@ def test_sql(spark, duck, name):
 
 
 def brute_quality(docs, max_docs, max_share, min_left):
-    texts = {(s, t or "") for _, t, s in docs}
     key = lambda x: " ".join(x.lower().split())  # noqa: E731  the texts have no digits
-    held = collections.Counter((s, k) for s, t in texts for k in {key(x) for x in t.split("\n") if x.split()})
-    hosts = collections.Counter(s for s, _ in texts)
+    held = collections.Counter((s, k) for _, t, s in docs for k in {key(x) for x in (t or "").split("\n") if x.split()})
+    hosts = collections.Counter(s for _, _, s in docs)
     out = {}
     for i, t, s in docs:
         lines = [x for x in (t or "").split("\n") if x.split()]
@@ -82,8 +81,24 @@ def test_quality_removes_frequent_lines(spark):
     assert all(len((x.clean_text or "").split()) == x.n_left_words for x in out)
 
 
-def test_line_keys_fold_case_blanks_and_digits():
+def test_quality_counts_copies_as_documents(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    page = line(60)
+    texts = [page] * 60 + [line(60) for _ in range(40)] + [page]
+    docs = spark.createDataFrame([(i, t, "en", "h" if i < 100 else "other", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {x.doc_id: (x.n_frequent_lines, x.n_left_words, x.kept) for x in quality.quality_rules(docs).collect()}
+    assert out == {i: (1, 0, False) if i < 60 else (0, 60, True) for i in range(101)}
+
+
+def test_line_keys_fold_case_blanks_and_digits(spark):
     assert quality.line_key("Page 12  of\t99") == quality.line_key("page 7 OF 1") != quality.line_key("pages 7 of 1")
+    assert quality.line_key("page 7", False) != quality.line_key("page 8", False) == quality.line_key("Page  8", False)
+    table = "\n".join(f"{i} {i * i} {i + 3}" for i in range(30))
+    docs = frame(spark, [table.replace("9", str(k)) for k in range(3, 9)])
+    gone = lambda **o: {x.doc_id: x.n_frequent_lines for x in quality.quality_rules(docs, max_docs=1, **o).collect()}
+    # sources take turns: two documents each, whose lines are one line or differ in numbers
+    assert set(gone().values()) == {30} and all(0 < n < 30 for n in gone(fold_digits=False).values())
 
 
 # exact dedup
@@ -96,6 +111,27 @@ def test_exact_dedup_in_all_steps(spark):
     assert out == {0: (2, 2, False), 1: (1, 1, True), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True), 5: (5, 1, True), 6: (7, 2, False), 7: (7, 2, True), 8: (9, 2, False), 9: (9, 2, True)}
 
 
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    start = "s" * 70
+    rows = [(1, start + "a"), (1, start + "a"), (2, start + "A"), (3, start + "b"), (3, start + "c"), (4, start + "c"), (None, start + "d"), (None, start + "d"), (5, "x"), (6, None), (7, ""), (8, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__sha", F.lit("clash"))
+    got = collections.Counter((r.doc_id, r.text) for r in exact_dedup.deduplicated(docs.drop("__sha")).collect())
+    assert got == collections.Counter([(2, start + "A"), (3, start + "b"), (4, start + "c"), (None, start + "d"), (5, "x"), (7, ""), (8, "only")])
+    out = {(r.doc_id, r.text): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    # the third row's id has two texts, one of which has a copy
+    assert out[3, start + "b"] == (3, 1, True) and out[3, start + "c"] == (4, 2, False) and out[1, start + "a"] == (2, 3, False)
+
+
+def test_bloom_filter_loses_no_key(spark):
+    rows = spark.range(5000)
+    for most in (1 << 12, 1 << 27):
+        f = bloom.Bloom(rows.where("id % 5 = 0"), F.xxhash64("id"), most_bits=most)
+        through = {r.id for r in f.beside(rows).where(f.may_hold(F.xxhash64("id"))).collect()}
+        assert through >= set(range(0, 5000, 5)) and (most < 1 << 20 or len(through) < 1100)
+    none = bloom.Bloom(rows.where("id < 0"), F.xxhash64("id"))
+    assert none.beside(rows).where(none.may_hold(F.xxhash64("id"))).isEmpty()
+
+
 # near dedup
 
 
@@ -148,6 +184,19 @@ def test_near_duplicates(spark, monkeypatch, blob, block):
     assert out == brute_components(texts, 85)
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    r = random.Random(6)
+    text = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    a, b = text(100), text(80)
+    near = [*a[:-1], "end"]
+    rows = [(5, " ".join(a)), (3, " ".join(near)), (3, " ".join(near)), (3, " ".join(near).upper()), (9, " ".join(a)), (None, " ".join(a)), (7, " ".join(b)), (7, " ".join(text(80))), (8, None), (8, None), (1, " "), (None, " ".join(c := text(60))), (None, " ".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "h", "n", "stays", "node")})
+    out = minhash.near_dedup(docs).collect()
+    got = collections.Counter((x.doc_id, (x.text or "").lower()) for x in out)
+    want = collections.Counter({(3, " ".join(near)): 1, (7, rows[6][1]): 1, (7, rows[7][1]): 1, (8, ""): 2, (1, " "): 1, (None, " ".join(c)): 1})
+    assert got == want and all(x.node == "clash" for x in out)
+
+
 def test_star_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
@@ -177,7 +226,7 @@ def test_encoder_equals_the_library(spark):
 
 def test_shards_come_back(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select((F.col("doc_id") - 50).alias("doc_id"), "text"))
-    manifest = sstable.write_shards(docs, f"file://{tmp_path}/sst", rows_per_shard=30)
+    manifest = sstable.write_shards(docs, f"file://{tmp_path}/sst", shard_bytes=60_000)
     back = sstable.read_shards(manifest).collect()
     encode = tokens.Encoder(tokens.model_path(), split=False)
     want = collections.Counter((r.doc_id, encode([r.text])[0]) for r in docs.collect())
@@ -190,6 +239,34 @@ def test_shards_come_back(spark, tmp_path):
     for key, _ in some:
         assert shard.get(sstable.id_of(key)) == [v for k, v in some if k == key]
     assert shard.get(10**12) == [] and manifest.count() > 3
+    asked = [None, 3, 3, 77, 10**12, -40]
+    found = sstable.lookup(manifest, spark.createDataFrame([(x,) for x in asked], "doc_id long")).collect()
+    entries = collections.defaultdict(list)
+    for k, v in want.elements():
+        entries[k].append(v)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in found) == collections.Counter((x, v) for x in asked for v in entries[x])
+
+
+def test_a_broken_shard_is_an_error(spark, tmp_path):
+    manifest = sstable.write_shards(spark.read.parquet(f"{SF}/documents.parquet"), f"file://{tmp_path}/sst", shards=1)
+    file = Path(manifest.first().path.removeprefix("file:").replace("//", "/"))
+    whole = file.read_bytes()
+    for at in (10, len(whole) - sstable.FOOTER.size - 5, len(whole) - 3):
+        file.write_bytes(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :])
+        with pytest.raises(ValueError, match="checksum|not a whole"):
+            list(sstable.Reader(manifest.first().path))
+    file.write_bytes(whole)
+    assert len(list(sstable.Reader(manifest.first().path))) == manifest.first().n_docs
+
+
+def test_op7_against_the_library(spark):
+    encode = tokens.Encoder(tokens.model_path(), split=False)
+    at, want = 0, {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = encode([r.text])[0]
+        want[r.doc_id] = (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in sstable.op7_sstable(spark, SF).collect()} == want
 
 
 def test_keys_sort_as_numbers():
@@ -217,14 +294,14 @@ def test_packing(spark):
     n = check_packing(rows)
     assert n <= 1.03 * sum(r.length for r in rows) / 4096 + 1
     encode = tokens.Encoder(tokens.model_path(), split=False)
-    whole = collections.Counter((r.doc_id, len(encode([r.text])[0]) // 4) for r in docs.collect())
-    ends = collections.Counter()
-    for r in rows:
-        assert r.start == 4096 * r.piece and len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
-        assert r.length <= 4096
-    for (doc, n_tokens), k in whole.items():
-        ends[doc] += k * (-(-n_tokens // 4096))
-    assert collections.Counter(r.doc_id for r in rows) == ends
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = encode([r.text])[0]
+        want.update((r.doc_id, k // 16384, k // 4, ids[k : k + 16384]) for k in range(0, len(ids), 16384))
+    assert collections.Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in rows) == want
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+    whole = {r.sequence_id: bytes(r.ids) for r in packing.assembled(spark.createDataFrame(rows)).collect()}
+    assert len(whole) == n and all(whole[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) for r in rows)
 
 
 def test_plan_is_near_the_bound():
@@ -369,7 +446,7 @@ def test_words_looked_for_lose_no_paragraph():
     needed, anchors = model.needed(), licenses.anchors(licenses.COVER, model.seen)
     assert len(needed) < len(words)
     for w in [[r.choice(words) for _ in range(r.randrange(1, 25))] for _ in range(3000)] + [licenses._words(s) for t in licenses.TEMPLATES.values() for s in t]:
-        z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licenses._grams(w, 1) | licenses._grams(w, 2) if g in model.weights), np.zeros(len(model.classes)))
+        z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licenses._features(w) if g in model.weights), np.zeros(len(model.classes)))
         assert needed & set(w) or 1 - licenses._softmax(z[None] / model.temperature)[0, 0] <= model.limit
     for s in (s for t in licenses.TEMPLATES.values() for s in t):
         runs = licenses._grams(licenses._words(s), 3)
@@ -455,3 +532,188 @@ def test_odd_rows_and_empty_tables(spark, name):
     if name not in ("near", "repeated", "pack"):
         assert n == docs.count()
     assert OPERATORS[name](docs.limit(0)).count() == 0
+
+
+# brute force beside the vectorised forms
+
+
+def plain_profile(texts, size):
+    count = collections.Counter()
+    for t in texts:
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        for w in words:
+            p = f"_{w}_"
+            count.update(w)
+            count.update(p[i : i + 2] for i in range(len(p) - 1))
+            count.update(p[i : i + 3] for i in range(len(p) - 2))
+    code = lambda g: sum((language.EDGE if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return [code(g) for g in sorted(count, key=lambda g: (-count[g], code(g)))[:size]]
+
+
+def test_language_against_plain_distances(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [r for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    profiles = {lang: plain_profile([r.text for r in train if r.lang == lang], 300) for lang in {r.lang for r in train}}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op8_language(spark, SF).collect()}
+    for r in docs:
+        own = plain_profile([r.text], 300)
+        distance = {lang: sum(abs(p.index(g) - i) if g in p else 300 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(distance, key=lambda k: (distance[k], k))
+        assert got[r.doc_id] == ((best, pytest.approx(1 - distance[best] / (300 * len(own)))) if own else ("und", 0.0))
+
+
+def plain_score(net, text):
+    """One text, one window, one step at a time."""
+    words = (text or "").lower().split()
+    best = -np.inf
+    for begin in range(0, toxicity.windows(len(words)) * toxicity.STRIDE, toxicity.STRIDE):
+        window = words[begin : begin + toxicity.WINDOW]
+        if not window:
+            return 0.0
+        x = []
+        for w in window:
+            own, grams, _ = toxicity.word_features([w])
+            v = np.concatenate([net.p["word"][own[0]], net.p["gram"][grams].sum(axis=0) / np.sqrt(len(grams))]).astype(np.float64)
+            x.append([v @ net.p["w"][k] + net.p["b"][k] for k in (0, 1)])
+        n = toxicity.HIDDEN
+        states = np.zeros((len(window), 2 * n))
+        for k, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            h = np.zeros(n)
+            for i in order:
+                g = h @ net.p["u"][k]
+                z, r = toxicity.sigmoid(x[i][k][:n] + g[:n]), toxicity.sigmoid(x[i][k][n : 2 * n] + g[n : 2 * n])
+                c = np.tanh(x[i][k][2 * n :] + r * g[2 * n :])
+                h = z * h + (1 - z) * c
+                states[i, k * n : (k + 1) * n] = h
+        e = np.tanh(states @ net.p["aw"] + net.p["ab"]) @ net.p["av"]
+        a = np.exp(e - e.max())
+        best = max(best, float((a / a.sum()) @ states @ net.p["o"] + net.p["ob"][0]))
+    return float(toxicity.sigmoid(np.array(best)))
+
+
+def test_toxicity_against_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    net = toxicity.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.limit(25).collect()} | {10**6 + i: t for i, t in enumerate([None, "", " ", "a", "one two " * 20, "ß İ Σ", "x" * 3000])}
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), net).collect()}
+    assert got == {k: pytest.approx(plain_score(net, t), abs=2e-4) for k, t in texts.items()}
+
+
+def test_toxicity_learns_from_odd_labels(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good day " * 9, "bad evil " * 9, None, "", "good sun " * 9, "evil bad " * 9])] + [(1, "other evil"), (None, "x")] + [(10 + i, ("bad evil " if i % 2 else "good day ") * 9) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (2, 1), (3, 0), (4, 0), (5, 1), (5, None), (None, 1), (77, 1), (0, 0), (3, 9)] + [(10 + i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    score = lambda net: {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id in (4, 5)"), net).collect()}
+    s = score(toxicity.learn(docs, labels))
+    assert s[5] > 0.7 > 0.3 > s[4]
+    for some in (labels.where("toxic = 1"), labels.where("toxic is null"), labels.limit(0)):
+        one = score(toxicity.learn(docs, some))
+        assert all(0 <= x <= 1 for x in one.values())
+    assert all(0 <= x <= 1 for x in score(toxicity.learn(docs, labels, most_bytes=1)).values())
+
+
+def test_licences_learn_from_odd_texts(spark):
+    model = licenses.learn(odd(spark))
+    assert licenses.learn(odd(spark).limit(0)).classes == model.classes
+    docs = frame(spark, [None, "", "Released under the MIT License.", "word " * 20_000 + "\n\nReleased under the MIT License.\n"])
+    assert {r.doc_id: r.license for r in licenses.scan(docs, model).collect()} == {0: None, 1: None, 2: "MIT", 3: "MIT"}
+
+
+#: Wordings that no template has.
+OTHER_WORDINGS = [
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."), ("MIT", "Code released under the MIT license."), ("Apache", "This file is licensed under the Apache License, Version 2.0"),
+    ("GPL", "This is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("AGPL", "This is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met"), ("CC-BY-SA", "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("MPL", "This file is subject to the terms of the Mozilla Public License, v. 2.0"), (None, "This library is licensed under the Artistic License 2.0"), (None, "Licensed under the Academic Free License version 3.0"),
+    (None, "This program is free software: you can redistribute it and/or modify it under the terms of the Foo Public License as published by Bar."), (None, "Permission is hereby granted by the city to build a house."), (None, "The license of my car was lost under the tree."),
+    (None, "All rights of way are reserved for trees."), (None, "This work is licensed under the Sleepycat License."),
+]
+
+
+def test_licences_in_other_words(spark):
+    r = random.Random(1)
+    plain = [" ".join(r.choice(["the", "of", "work", "house", "tree", "and", "this", "under", "public", "green"]) for _ in range(40)) for _ in range(200)]
+    got = {x.doc_id: x.license for x in licenses.scan(frame(spark, [t for _, t in OTHER_WORDINGS]), licenses.train(plain)).collect()}
+    assert got == {i: f for i, (f, _) in enumerate(OTHER_WORDINGS)}
+
+
+def test_mixture_of_repeated_rows_meets_its_targets(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join("w" for _ in range(n))
+    rows = [(1, text(50), "en", "a", 0)] * 900 + [(10 + i, text(r.randrange(5, 200)), "en", "abc"[i % 3], 0) for i in range(900)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert len(out) == len(rows) and out.copies.between(0, 2).all()
+    for _, g in out.groupby("source"):
+        assert abs((g.copies * g["size"]).sum() - g.target.iloc[0]) <= 0.05 * g.target.iloc[0]
+
+
+def test_copies_follow_the_rates(spark):
+    sf = "/root/testdata/sf0.01"
+    out = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")).toPandas()
+    off = ~((out.copies >= np.floor(out.rate)) & (out.copies <= np.ceil(out.rate)))
+    # but for what makes up for a source's miss: 16 documents in each of so many rounds at most
+    assert (out.assign(off=off).groupby("source").off.sum() <= 16 * mixing.CORRECTIONS).all()
+    for _, g in out.groupby("source"):
+        at = (g.rate * g["size"]).sum()
+        assert abs(at - g.target.iloc[0]) <= 1e-3 * g.target.iloc[0]
+
+
+def test_equal_texts_are_dealt_like_other_rows(spark):
+    docs = spark.createDataFrame([(i, "same", "en", "s", 0) for i in range(800)], SCHEMA)
+    counts = collections.Counter(r.shard for r in sharding.shard_rows(docs).collect())
+    assert set(counts.values()) == {100}
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, after = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, common.written(stage(spark, docs, SF), "t")
+        after[name] = docs
+        if name != "packing":
+            assert docs.columns == columns
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    whole = text(spark.read.parquet(f"{SF}/documents.parquet"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    known = spark.createDataFrame([r for r in labels if zlib.crc32(str(r.doc_id).encode()) % 3 != 1])
+    net = toxicity.learn(spark.read.parquet(f"{SF}/documents.parquet"), known)
+    first = text(after["toxicity"])
+    assert sorted(first) == [i for i in sorted(whole) if plain_score(net, whole[i]) < 0.7]
+    last = {}
+    for i in sorted(first):
+        last["".join(c.lower() if c < "\x7f" else c for c in first[i] or "")] = i
+    second = text(after["exact dedup"])
+    assert sorted(second) == sorted(last.values())
+    order = sorted(second)
+    assert ids(after["near dedup"]) == [order[i] for i, (_, _, kept) in brute_components([second[i] for i in order], 80).items() if kept]
+    third, mixed = after["near dedup"].collect(), collections.Counter(r.doc_id for r in after["mixing"].collect())
+    size = collections.Counter()
+    for r in third:
+        size[r.source] += len((r.text or "").encode().split())
+    target = mixing.repeating_targets(dict(size))
+    for s in size:
+        got = sum(mixed[r.doc_id] * len((r.text or "").encode().split()) for r in third if r.source == s)
+        longest = max(len((r.text or "").encode().split()) for r in third if r.source == s)
+        assert abs(got - target[s]) <= max(0.05 * target[s], longest / 2)
+    assert max(mixed.values()) <= 2 and set(mixed) <= {r.doc_id for r in third}
+    encode = tokens.Encoder(tokens.model_path(), split=False)
+    pieces = after["packing"].collect()
+    check_packing(pieces)
+    want = collections.Counter((r.doc_id, k // 16384, zlib.crc32(ids_[k : k + 16384])) for r in after["mixing"].collect() for ids_ in [encode([r.text])[0]] for k in range(0, len(ids_), 16384))
+    assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in pieces) == want
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = common.written(stage(spark, docs, SF), "t")
+        assert docs.count() == 0
