@@ -383,11 +383,14 @@ def test_toxicity_gradients():
 
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
-    got = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted").collect()
-    hits = sum(a == b for a, b in got)
-    found = [b for a, b in got if a]
+    got = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
+    hits = sum(a == b for a, b, _ in got)
+    found = [b for a, b, _ in got if a]
     # the small tables have labels that nothing in the text explains, and words of few toxic documents in three of the languages
-    assert hits >= 0.95 * len(got) and sum(found) >= 0.7 * len(found)
+    assert hits >= 0.96 * len(got) and sum(found) >= 0.75 * len(found)
+    toxic, clean = np.array([s for a, _, s in got if a]), np.sort([s for a, _, s in got if not a])
+    auc = (np.searchsorted(clean, toxic) + np.searchsorted(clean, toxic, side="right")).sum() / (2 * len(toxic) * len(clean))
+    assert auc >= 0.96  # windows' mean log-odds of words, the network's start, reach 0.77
 
 
 def test_every_window_is_scored():
