@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tideglass.llm.common import documents, give_back, without, written
+from tideglass.llm.common import documents, give_back, thinned, without, written
 from tideglass.llm.language import fold
 from tideglass.llm.tokens import slices
 
 WINDOW, STRIDE, HIDDEN, SIDE, WORD_BUCKETS, GRAM_BUCKETS = 32, 16, 8, 8, 1 << 14, 1 << 17
-TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK, STEPS, LEAST = 1_500, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000, 400, 3
+TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK, STEPS, LEAST, TRAIN_BYTES = 1_500, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000, 400, 3, 1 << 16
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 f32 = np.float32
 
@@ -290,13 +290,19 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Train on the sample: `sample` toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids. Null labels and texts teach nothing."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
-    first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n)  # noqa: E731  the bound of the sample
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = TRAIN, most_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
+    """Train on the sample: `sample` toxic documents and twice as many clean ones at most, those with the smallest hashes of their ids.
+
+    Null labels and texts teach nothing, nor do texts over most_bytes, which bounds what reaches the driver. An id with both labels
+    is toxic; of rows that repeat an id one is taken. Without both labels all texts are scored alike.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null").groupBy("i").agg(F.max("y").alias("y"))
+    known = written(known.withColumn("h", F.xxhash64("i")), "labels")
+    n = dict(known.groupBy("y").count().collect())  # two rows
+    first = lambda y, most: thinned(known.where(F.col("y") == y), "h", most, F.lit(max(1, n.get(y, 0)))).orderBy("h", "i").limit(most)  # noqa: E731  the bound of the sample
     some = F.broadcast(written(first(1, sample).unionAll(first(0, 2 * sample)), "sample"))
-    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    rows = sorted(texts.join(some, F.col("own") == F.col("i")).select("i", "t", "y").dropDuplicates(["i"]).collect(), key=lambda x: x[0])
+    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("t")).where("t is not null").where(F.octet_length("t") <= most_bytes)
+    rows = sorted(texts.join(some, F.col("own") == F.col("i")).select("i", "t", "y").groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y").collect(), key=lambda x: x[0])
     net = train([x[1] for x in rows], [x[2] for x in rows])
     del rows
     give_back()
