@@ -285,7 +285,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     per_node = written(per_node, "nodes")
     keys = per_node.select("node", F.explode("bands").alias("key"))
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), "buckets")
-    stars = keys.join(buckets, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    shared = Bloom(buckets, F.col("key"))  # most keys are of one node and need no shuffle to find that out
+    stars = shared.beside(keys).where(shared.may_hold(F.col("key"))).drop(shared.field).join(buckets, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     blobs = written(connected_components(stars), "blobs")
     sizes = written(blobs.join(per_node.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")), "blob-sizes")
     # joins by component are sort-merge joins of plain tables: AQE splits the largest component
@@ -302,7 +303,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     found = written(connected_components(links), "components")
     named = signed.select("id", "h", "node", "n_shingles").join(found, "node", "left").select("id", "h", "n_shingles", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
-    discard(signed, per_node, buckets, sizes, blobs, wanted, filter_.bits, sets, found)
+    discard(signed, per_node, buckets, sizes, blobs, wanted, filter_.bits, shared.bits, sets, found)
     return named
 
 
