@@ -24,11 +24,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def give_back() -> None:
-    """Return memory that this process has freed to the system, where the C library can; a driver's later steps may need it."""
+    """Return memory that this process has freed to the system, where the C library can: a driver's later steps and a task's executor may need it."""
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -29,7 +29,7 @@ from tideglass.llm.language import fold
 from tideglass.llm.tokens import slices
 
 WINDOW, STRIDE, HIDDEN, SIDE, WORD_BUCKETS, GRAM_BUCKETS = 32, 16, 8, 8, 1 << 14, 1 << 17
-TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK, STEPS, LEAST, TRAIN_BYTES = 1_500, 8, 128, 0.01, 0.7, 3, 1, 300_000, 20_000, 400, 3, 1 << 16
+TRAIN, ROUNDS, BATCH, RATE, LIMIT, FOLDS, HELD, MEMO, CHUNK, STEPS, LEAST, TRAIN_BYTES = 1_500, 8, 128, 0.01, 0.7, 3, 1, 200_000, 20_000, 400, 3, 1 << 16
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 f32 = np.float32
 
@@ -322,6 +322,8 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text", limit: float
         for batch in batches:
             for part in slices(batch, text_col, 2_000_000):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.scores(part.column(text_col).to_pylist()))], [*order, "score"])
+        del scorer
+        give_back()
 
     out = rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= limit).cast("int"))
