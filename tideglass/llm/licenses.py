@@ -287,6 +287,9 @@ def found(docs: DataFrame, model: Model, *, cover: float = COVER, id_col: str =
     runs = F.broadcast(spark.createDataFrame(of_sentences, "family string, number int, run string, runs int"))
     covering = sorted(anchors(cover, model.seen))
     key = ["row", "line"]
+    # whole documents first, by a test that is compiled: what has none of the words that any paragraph is looked for by has no such paragraph
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    docs = docs.where(F.arrays_overlap(F.split(text, SPLIT), F.array(*map(F.lit, sorted({*needed, *covering})))))
     some = blocks(docs, id_col, text_col).select("id", "block", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), F.transform(F.split("text", "\n"), words_of).alias("each"))
     lines = F.filter(F.transform("each", lambda w, i: F.struct(i.alias("line"), w.alias("words"))), lambda x: F.exists(x["words"], lambda w: w.isin(needed)))
     words = F.flatten("each")
