@@ -119,6 +119,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     keys.append(s.band_keys(s.signature(shingles)) if len(shingles) else np.empty(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))], ["id", "h", "node", "n_shingles", "bands"])
+        s.memo.clear()
         give_back()
 
     return docs.mapInArrow(sign, "id long, h long, node binary, n_shingles long, bands array<long>")
@@ -133,6 +134,7 @@ def _sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 found = [(w, s.set_of(w)) for w in map(text_words, part.column("text").to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w, _ in found], pa.binary()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([s.signature(x).tobytes() for _, x in found], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for _, x in found]).view(np.int64)))], ["node", "n", "signature", "shingles"])
+        s.memo.clear()
         give_back()
 
     return docs.mapInArrow(sets, "node binary, n long, signature binary, shingles array<long>")

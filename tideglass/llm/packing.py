@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import documents, without, written
+from tideglass.llm.common import documents, give_back, without, written
 from tideglass.llm.sharding import ranked
 from tideglass.llm.tokens import END_ID, encoder, model_path, slices
 
@@ -49,6 +49,7 @@ def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str |
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, schema)
