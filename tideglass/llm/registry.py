@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideglass.llm import exact_dedup, language, licenses, line_dedup, minhash, mixing, packing, quality, sharding, sstable, toxicity, trie
+from tideglass.llm import exact_dedup, language, licenses, line_dedup, minhash, mixing, packing, quality, sharding, sstable, toxicity, trie, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
+    "op11_whitening": whitening.op11_whitening,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
