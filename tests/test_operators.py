@@ -1,5 +1,6 @@
 """Operators on small inputs with values worked out by hand."""
 
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -53,10 +54,30 @@ def test_fold_rule(spark):
     assert got[2] == (3, 3, 1.0, False) and got[4] == (5, 3, 0.6, True) and got[5] == (6, 4, 0.666666667, True)
 
 
-def test_delivery_status(spark):
-    d = [(1, "h1", 1, T0, None), (2, "h1", 1, T0, None), (3, "h1", 2, T0, None), (4, "h1", 1, T0, None), (5, "old", 1, T0 - timedelta(days=3), T0)]
-    df = spark.createDataFrame([("s", *x) for x in d], "scope string, arrived long, hand_id string, snapshot_revision int, played_at timestamp, watermark timestamp")
-    assert [s for (s,) in rows(rules.delivery_status(df).orderBy("arrived"), "status")] == ["accepted", "duplicate", "corrected", "stale", "too_late"]
+def test_evidence_ids(spark):
+    at_ = datetime(2026, 7, 21, 1, 2, 3, 45)
+    df = spark.createDataFrame([("a:b", "h1", "pair.same-device", 1, at_), ("a:b", "h1", "pair.same-device", 2, at_), ("a:b", None, "pair.same-device", 1, at_)], "entity_key string, hand_id string, rule_id string, rule_version int, effective_at timestamp")
+    fixed = {"tenant_id": "t", "product_id": "p", "dataset_id": "d", "dataset_split": "test", "entity_type": "pair", "feature_definition_version": "v1"}
+    got = rows(rules.identified(df, {k: F.lit(v) for k, v in fixed.items()} | {k: F.col(k) for k in ("entity_key", "hand_id", "effective_at")}), "rule_event_id")
+    name = lambda version: str(uuid.uuid5(uuid.NAMESPACE_URL, "\x1f".join(("t", "p", "d", "test", "pair.same-device", version, "pair", "a:b", "h1", "1", "2026-07-21T01:02:03.000045Z", "v1"))))
+    assert [x for (x,) in got] == [name("1"), name("2"), None]
+
+
+@pytest.mark.parametrize("n, want", [(3, "tve"), (4, "ttve"), (6, "ttttve"), (7, "ttttvee"), (20, "t" * 14 + "vvv" + "eee")])
+def test_small_splits_have_all_parts(spark, n, want):
+    df = spark.createDataFrame([(i, T0 + timedelta(hours=i)) for i in range(n)], "hand_id int, played_at timestamp")
+    part = {"train": "t", "validation": "v", "test": "e"}
+    assert "".join(part[s] for _, s in sorted(rows(splits.temporal_split(df), "index", "split"))) == want
+
+
+def test_a_split_takes_three_hands(spark):
+    df = spark.createDataFrame([(i, T0) for i in range(2)], "hand_id int, played_at timestamp")
+    for split in (splits.temporal_split, splits.boundary_split):
+        with pytest.raises(Exception, match="three hands"):
+            split(df).collect()
+        assert split(df.limit(0)).count() == 0
+    four = spark.createDataFrame([(i, T0) for i in range(4)], df.schema)
+    assert [s for _, s in sorted(rows(splits.boundary_split(four), "index", "split"))] == ["train", "train", "validation", "test"]
 
 
 def test_as_of_takes_the_latest_version(spark):
@@ -275,20 +296,35 @@ def test_conflicting_versions(spark):
         history.checked_versions(bad).collect()
 
 
-def test_monitoring(spark):
-    base = spark.createDataFrame([(r, 1, 0.2, 0.5, 100.0) for r in ("ok", "low", "bad", "few", "off", "gone")], "rule_id string, rule_version int, base_rate double, base_precision double, base_volume double")
+def monitored(spark, **labels):
+    base = spark.createDataFrame([(r, 1, 0.2, 0.5, 100.0, "e", "sha") for r in ("ok", "low", "bad", "few", "off", "gone")], "rule_id string, rule_version int, base_rate double, base_precision double, base_volume double, evaluation_id string, baseline_sha256 string")
     seen = [("ok", True, 20, 10), ("low", True, 5, 3), ("bad", True, 90, 5), ("few", True, 1, 1), ("off", False, 90, 5)]
-    w = spark.createDataFrame([(r, 1, on, "w", 100, 200, 30, n, tp) for r, on, n, tp in seen], "rule_id string, rule_version int, enabled boolean, window_id string, pair_rows long, labelled_hands long, positives long, firings long, true_positives long")
-    m = metrics.rule_monitoring(w, base, min_hands=50, min_positives=5, min_firings=2)
-    got = {r.rule_id: (r.status, r.reasons, r.alert_id) for r in m.collect()}
+    w = spark.createDataFrame([(r, 1, on, 100, 200, 30, n, tp) for r, on, n, tp in seen], "rule_id string, rule_version int, enabled boolean, pair_rows long, labelled_hands long, positives long, firings long, true_positives long")
+    marks = {"tenant_id": "t", "product_id": "p", "window_id": "w", "rollout_id": "r", "model_name": "m", "model_run_id": "run"}
+    w = w.withColumns({k: F.lit(v) for k, v in marks.items()} | {f"{k}_labels": F.lit(labels.get(k, 0)) for k in ("circular", "unknown")})
+    return metrics.rule_monitoring(w, base, min_hands=50, min_positives=5, min_firings=2, max_bad_labels=1)
+
+
+def test_monitoring(spark):
+    m = monitored(spark, circular=1)
+    got = {r.rule_id: (r.status, r.reasons, r.lacks, r.alert_id) for r in m.collect()}
     assert {k: v[0] for k, v in got.items()} == {"ok": "ok", "low": "warning", "bad": "critical", "few": "insufficient_data", "off": "disabled", "gone": "insufficient_data"}
-    assert got["bad"][1] == "alert_volume_above_baseline_ratio,firing_rate_above_baseline_band,precision_below_baseline_ratio" and got["low"][1] == "firing_rate_below_baseline_band"
-    again = {r.rule_id: r.alert_id for r in m.collect()}
-    assert {k for k, v in got.items() if v[2]} == {"low", "bad"} and again == {k: v[2] for k, v in got.items()}
+    why = "alert_volume_above_baseline_ratio,firing_rate_above_baseline_band,precision_below_baseline_ratio"
+    assert got["bad"][1] == why and got["low"][1] == "firing_rate_below_baseline_band" and got["few"][1:3] == ("", "rule_firings_below_minimum:1<2")
+    assert got["gone"][2] == "labeled_hands_below_minimum:0<50,positive_labels_below_minimum:0<5,rule_firings_below_minimum:0<2"
+    name = f"t|p|w|bad|1|e|sha|r|m|run|{why}"
+    assert {k for k, v in got.items() if v[3]} == {"low", "bad"} and got["bad"][3] == str(uuid.uuid5(uuid.UUID("95c9b135-90b4-5e47-a27f-45d3cce9c277"), name))
     s = metrics.overall_status(m).first()
     assert (s.status, s.rules, s.critical_rules, s.alerts) == ("critical", 6, 1, 2) and metrics.overall_status(m.where("rule_id = 'ok'")).first().status == "ok"
 
 
+def test_bad_labels_make_every_enabled_rule_critical(spark):
+    got = {r.rule_id: (r.status, r.reasons, r.lacks) for r in monitored(spark, circular=2, unknown=5).collect()}
+    both = "circular_label_rows_above_maximum,unknown_label_rows_above_maximum"
+    assert all(got[k][:2] == ("critical", both) for k in ("ok", "low", "bad", "few")) and got["off"] == ("disabled", both, "") and got["few"][2] == "rule_firings_below_minimum:1<2"
+    assert got["gone"][0] == "insufficient_data"
+
+
 def test_cohorts(spark):
     hands = spark.createDataFrame([(h, T0 + timedelta(hours=h)) for h in range(60)], "hand_id int, played_at timestamp")
     pairs_ = [(h, f"p{h % 8}", h % 8 < 6 and h < 8) for h in range(48)] + [(48, "p0", False), (48, "p1", False)]

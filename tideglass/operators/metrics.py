@@ -191,31 +191,39 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
 
 #: Statuses of a monitored rule, the worst first, and the order in which a report takes the worst.
 STATUSES = ("critical", "warning", "insufficient_data", "disabled", "ok")
-MONITORING = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+#: The namespace of alert ids and what they are made of, in this order, before the sorted reasons.
+MONITORING = "95c9b135-90b4-5e47-a27f-45d3cce9c277"
+ALERT = ("tenant_id", "product_id", "window_id", "rule_id", "rule_version", "evaluation_id", "baseline_sha256", "rollout_id", "model_name", "model_run_id")
 
 
-def rule_monitoring(firings: DataFrame, baseline: DataFrame, *, min_hands: int, min_positives: int, min_firings: int, rate_abs: float = 0.02, rate_rel: float = 0.5, precision_ratio: float = 0.5, volume_ratio: float = 2.0) -> DataFrame:
-    """Each rule of the baseline over a window of labelled rows: observed figures, status, reasons and, where it is bad, the id of its alert.
+def rule_monitoring(firings: DataFrame, baseline: DataFrame, *, min_hands: int, min_positives: int, min_firings: int, max_bad_labels: int = 0, rate_abs: float = 0.02, rate_rel: float = 0.5, precision_ratio: float = 0.5, volume_ratio: float = 2.0) -> DataFrame:
+    """Each rule of the baseline over a window of labelled rows: observed figures, status, reasons, what it lacks to be judged and, where it is bad, the id of its alert.
 
-    firings: rule_id, rule_version, enabled, window_id, pair_rows, labelled_hands, positives, firings, true_positives. baseline: rule_id,
-    rule_version, base_rate, base_precision, base_volume. The band of the rate is base_rate more or less max(rate_abs, rate_rel * base_rate). Of the reasons two or more are
-    critical, one is a warning. Rules of the baseline without a row in the window have null figures and are insufficient_data. An alert's id is a
-    name-based UUID of window, rule, version, status and reasons, so that a repeated report repeats it.
+    firings: rule_id, rule_version, enabled, pair_rows, labelled_hands, positives, firings, true_positives, of the whole window circular_labels and unknown_labels, and its
+    tenant_id, product_id, window_id, rollout_id, model_name and model_run_id. baseline: rule_id, rule_version, base_rate, base_precision, base_volume, evaluation_id,
+    baseline_sha256. The band of the rate is base_rate more or less max(rate_abs, rate_rel * base_rate). Circular or unknown labels above max_bad_labels
+    make every enabled rule critical. Else a rule that lacks hands, positives or firings is insufficient_data; of the reasons two or more are critical, one is a warning. Rules of the
+    baseline without a row in the window have null figures and are insufficient_data. An alert's id is a name-based UUID of what ALERT names and the sorted reasons, so that
+    a repeated report repeats it.
     """
     key = ["rule_id", "rule_version"]
     w = baseline.join(firings, key, "left")
     w = w.withColumns({"firing_rate": _div(F.col("firings"), F.col("pair_rows"), 0.0), "precision": _div(F.col("true_positives"), F.col("firings"), 0.0), "recall": _div(F.col("true_positives"), F.col("positives"), None), "volume_per_1000": _div(F.col("firings") * 1000.0, F.col("labelled_hands"), 0.0)})
     band = F.greatest(F.lit(rate_abs), rate_rel * F.col("base_rate"))
-    reasons = F.array_compact(F.array(
+    labels = F.array_compact(F.array(*[F.when(F.col(f"{k}_labels") > max_bad_labels, f"{k}_label_rows_above_maximum") for k in ("circular", "unknown")]))
+    figures = F.array_compact(F.array(
         F.when(F.col("volume_per_1000") > volume_ratio * F.col("base_volume"), "alert_volume_above_baseline_ratio"), F.when(F.col("firing_rate") > F.col("base_rate") + band, "firing_rate_above_baseline_band"),
         F.when(F.col("firing_rate") < F.greatest(F.lit(0.0), F.col("base_rate") - band), "firing_rate_below_baseline_band"), F.when(F.col("precision") < precision_ratio * F.col("base_precision"), "precision_below_baseline_ratio"),
     ))
-    few = F.coalesce((F.col("labelled_hands") < min_hands) | (F.col("positives") < min_positives) | (F.col("firings") < min_firings), F.lit(True))
-    off = F.coalesce(~F.col("enabled"), F.lit(False))
-    n = F.size(reasons)
-    status = F.when(off, "disabled").when(few, "insufficient_data").when(n >= 2, "critical").when(n == 1, "warning").otherwise("ok")
-    w = w.withColumns({"status": status, "reasons": F.when(~off & ~few, F.concat_ws(",", reasons)).otherwise("")})
-    name = F.concat_ws(":", "window_id", "rule_id", F.col("rule_version").cast("string"), "status", "reasons")
+    least = (("labeled_hands", "labelled_hands", min_hands), ("positive_labels", "positives", min_positives), ("rule_firings", "firings", min_firings))
+    lacks = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c) < m, F.lit(True)), F.concat(F.lit(f"{name}_below_minimum:"), F.coalesce(F.col(c), F.lit(0)).cast("string"), F.lit(f"<{m}"))) for name, c, m in least]))
+    off, bad, few = F.coalesce(~F.col("enabled"), F.lit(False)), F.size("__labels") > 0, F.size("__lacks") > 0
+    w = w.withColumns({"__labels": labels, "__lacks": lacks, "__figures": figures})
+    n = F.size("__figures")
+    w = w.withColumn("status", F.when(off, "disabled").when(bad, "critical").when(few, "insufficient_data").when(n >= 2, "critical").when(n == 1, "warning").otherwise("ok"))
+    reasons = F.when(off | bad, F.col("__labels")).when(few, F.array().cast("array<string>")).otherwise(F.col("__figures"))
+    w = w.withColumns({"reasons": F.concat_ws(",", F.array_sort(reasons)), "lacks": F.concat_ws(",", "__lacks")}).drop("__labels", "__lacks", "__figures")
+    name = F.concat(*[x for c in (*ALERT, "reasons") for x in (F.lit("|"), F.col(c).cast("string"))][1:])
     return w.withColumn("alert_id", F.when(F.col("status").isin("warning", "critical"), uuid5(MONITORING, name)))
 
 

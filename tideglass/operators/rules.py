@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.sources.files import uuid5
+
+#: The namespace of ids of evidence (that of URLs) and what they are made of, in this order.
+EVIDENCE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+IDENTITY = ("tenant_id", "product_id", "dataset_id", "dataset_split", "rule_id", "rule_version", "entity_type", "entity_key", "hand_id", "observation_revision", "effective_at", "feature_definition_version")
 # The six stateless pair rules as (id, feature, comparison, threshold, multiplier).
 PAIR_RULES = (
     ("pair.one-folded-other-won", "one_folded_other_won", "eq", 1.0, 100.0),
@@ -44,6 +49,20 @@ def rule_evidence(pairs: DataFrame, keys: list[str], enabled: list[str] | None =
     return pairs.select(*keys, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
 
 
+def evidence_id(parts: dict[str, Column]) -> Column:
+    """The id of a rule's evidence that every system arrives at: a name-based UUID of its twelve parts. The revision is 1 unless given, the time is in UTC. A part that is null makes it null."""
+    parts = {"observation_revision": F.lit(1)} | parts
+    utc = F.to_utc_timestamp(parts["effective_at"].cast("timestamp"), F.current_timezone())
+    parts["effective_at"] = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    joined = [x for name in IDENTITY for x in (F.lit("\x1f"), parts[name].cast("string"))][1:]
+    return uuid5(EVIDENCE, F.concat(*joined))
+
+
+def identified(evidence: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Evidence with rule_event_id; rule_id and rule_version are its own columns."""
+    return evidence.withColumn("rule_event_id", evidence_id({"rule_id": F.col("rule_id"), "rule_version": F.col("rule_version")} | parts))
+
+
 def rollout(rules: DataFrame, enabled: DataFrame) -> DataFrame:
     """Evidence of rules that a rollout table (rule_id, enabled) switches on; rules that it does not name are off."""
     return rules.join(enabled.where("enabled").select("rule_id"), "rule_id", "left_semi")
@@ -105,19 +124,3 @@ def review(scores: DataFrame, evidence: DataFrame, policy: DataFrame, keys: list
     out = scores.join(hard, keys, "left")
     reasons = F.concat(F.when(F.col("above"), F.array(F.lit("model-threshold"))).otherwise(F.array().cast("array<string>")), F.coalesce("hard", F.array().cast("array<string>")))
     return out.withColumn("outcome", F.when(F.col("hard").isNotNull(), "mandatory_review").when(F.col("above"), "review_recommended").otherwise("no_review")).withColumn("reasons", F.concat_ws(",", reasons)).drop("hard")
-
-
-# Rolling evaluation of the fold rule over deliveries, with what happens to late, repeated and corrected ones.
-def delivery_status(deliveries: DataFrame, lateness_s: int = 120, correction_h: int = 48) -> DataFrame:
-    """Status of each delivery of (scope, hand_id, snapshot_revision, played_at, arrived, watermark), in the order of arrival.
-
-    stale: an older revision than one that has come. duplicate: the same. corrected: a newer one, unless older than correction_h hours behind the
-    watermark (too_late_correction). A first delivery is too_late if played lateness_s seconds before the watermark, else accepted.
-    """
-    seen = Window.partitionBy("scope", "hand_id").orderBy("arrived").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.unix_seconds(F.coalesce("watermark", F.lit(None)).cast("timestamp"))
-    played = F.unix_seconds(F.col("played_at").cast("timestamp"))
-    first_late = mark.isNotNull() & (played < mark - lateness_s)
-    before = F.max("snapshot_revision").over(seen)
-    status = F.when(before.isNull(), F.when(first_late, "too_late").otherwise("accepted")).when(F.col("snapshot_revision") < before, "stale").when(F.col("snapshot_revision") == before, "duplicate")
-    return deliveries.withColumn("status", status.when(mark.isNotNull() & (played < mark - correction_h * 3600), "too_late_correction").otherwise("corrected"))

@@ -20,12 +20,31 @@ def ordered_index(df: DataFrame, time: str, tie: str) -> DataFrame:
     return out.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
+def shares(n: Column) -> tuple[Column, Column]:
+    """How many of n in order train and how many validate: 70 % and 15 %, rounded down and one at least; if nothing is left for test, all but two train."""
+    (a, _), (b, _) = TEMPORAL
+    train, validation = F.greatest(F.floor(n * a), F.lit(1)), F.greatest(F.floor(n * b), F.lit(1))
+    crowded = train + validation >= n
+    return F.when(crowded, n - 2).otherwise(train), F.when(crowded, F.lit(1)).otherwise(validation)
+
+
+def _three(n: Column) -> Column:
+    return F.when(n < 3, F.raise_error(F.lit("a split by time takes three hands at least")).cast("string"))
+
+
 def temporal_split(hands: DataFrame, time: str = "played_at", tie: str = "hand_id") -> DataFrame:
-    """The first 70 % of hands train, the next 15 % validation, the rest test; both shares rounded down."""
-    (a, first), (b, second) = TEMPORAL
-    train, validation = F.floor(F.col("total") * a), F.floor(F.col("total") * b)
+    """Hands in the order of time by shares(): train, then validation, then test. Fewer than three hands, unless there is none, are an error."""
+    train, validation = shares(F.col("total"))
     i = ordered_index(hands, time, tie)
-    return i.withColumn("split", F.when(F.col("index") < train, first).when(F.col("index") < train + validation, second).otherwise("test"))
+    return i.withColumn("split", _three(F.col("total")).when(F.col("index") < train, "train").when(F.col("index") < train + validation, "validation").otherwise("test"))
+
+
+def boundary_split(hands: DataFrame, time: str = "played_at", tie: str = "hand_id") -> DataFrame:
+    """As temporal_split, but cut at 70 % and at 85 % of the hands, both rounded down: each part has one hand at least."""
+    n = F.col("total")
+    first = F.greatest(F.floor(n * 0.70), F.lit(1))
+    second = F.least(n - 1, F.greatest(first + 1, F.floor(n * 0.85)))
+    return ordered_index(hands, time, tie).withColumn("split", _three(n).when(F.col("index") < first, "train").when(F.col("index") < second, "validation").otherwise("test"))
 
 
 def cycle_split(df: DataFrame, time: str, tie: str) -> DataFrame:

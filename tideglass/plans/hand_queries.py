@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.operators import features, graph, history, pairs, patterns, rules
-from tideglass.plans.registry import query
+from tideglass.plans.registry import query, uuid5_sql
 from tideglass.sources import testbed as T
 
 BED = T.SQL
@@ -211,14 +211,24 @@ def _rules_only(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "rule_evidence",
     _SCORED
-    + """ SELECT hand_id, pair_key, rule_id, 1 AS rule_version, round_even(v, 9) AS observed, round(v * 100, 7) AS raw_score FROM (
-  SELECT hand_id, pair_key, 'pair.one-folded-other-won' AS rule_id, (afbw OR bfaw)::INT::DOUBLE AS v FROM scored WHERE afbw OR bfaw UNION ALL
-  SELECT hand_id, pair_key, 'pair.same-device', same_device::DOUBLE FROM scored WHERE same_device = 1 UNION ALL SELECT hand_id, pair_key, 'pair.same-network', same_network::DOUBLE FROM scored WHERE same_network = 1 UNION ALL
-  SELECT hand_id, pair_key, 'pair.outcome-asymmetry', asym FROM scored WHERE round_even(asym, 9) > 0 UNION ALL SELECT hand_id, pair_key, 'pair.a-fold-b-win-rate', ab FROM scored WHERE ab > 0 UNION ALL SELECT hand_id, pair_key, 'pair.b-fold-a-win-rate', ba FROM scored WHERE ba > 0)""",
+    + f""", f AS (
+  SELECT hand_id, pair_key, 'pair.one-folded-other-won' AS rule_id, (afbw OR bfaw)::INT::DOUBLE AS v FROM scored WHERE afbw OR bfaw
+  UNION ALL SELECT hand_id, pair_key, 'pair.same-device', same_device::DOUBLE FROM scored WHERE same_device = 1
+  UNION ALL SELECT hand_id, pair_key, 'pair.same-network', same_network::DOUBLE FROM scored WHERE same_network = 1
+  UNION ALL SELECT hand_id, pair_key, 'pair.outcome-asymmetry', asym FROM scored WHERE round_even(asym, 9) > 0
+  UNION ALL SELECT hand_id, pair_key, 'pair.a-fold-b-win-rate', ab FROM scored WHERE ab > 0
+  UNION ALL SELECT hand_id, pair_key, 'pair.b-fold-a-win-rate', ba FROM scored WHERE ba > 0),
+i AS (
+  SELECT f.*, sha1(unhex('{rules.EVIDENCE.replace('-', '')}') || encode(array_to_string(['sim', 'poker', 'testbed', 'all', rule_id, '1', 'pair', pair_key, f.hand_id::VARCHAR, '1',
+    strftime(played_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'pair-features.v1'], chr(31)))) AS h
+  FROM f JOIN hands ON hands.hand_id = f.hand_id)
+SELECT hand_id, pair_key, rule_id, 1 AS rule_version, round_even(v, 9) AS observed, round(v * 100, 7) AS raw_score, {uuid5_sql('h')} AS rule_event_id FROM i""",
 )
 def _rule_evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = rules.rule_evidence(scored_pairs(spark, d), ["hand_id", "pair_key"])
-    return e.withColumn("raw_score", F.round("raw_score", 7))
+    e = rules.rule_evidence(scored_pairs(spark, d), ["hand_id", "pair_key", "played_at"])
+    names = {"tenant_id": "sim", "product_id": "poker", "dataset_id": "testbed", "dataset_split": "all", "entity_type": "pair", "feature_definition_version": "pair-features.v1"}
+    e = rules.identified(e, {k: F.lit(v) for k, v in names.items()} | {"entity_key": F.col("pair_key"), "hand_id": F.col("hand_id"), "effective_at": F.col("played_at")})
+    return e.withColumn("raw_score", F.round("raw_score", 7)).drop("played_at")
 
 
 @query("hand_score_rollup", _SCORED + " SELECT hand_id, max(probability) AS hand_score, max(probability) >= 0.5 AS alert, count(*) AS pairs FROM score GROUP BY 1, num_players HAVING count(*) = num_players * (num_players - 1) / 2")

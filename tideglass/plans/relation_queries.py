@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.operators import datasets, graph, history, metrics, pairs, rules, splits
-from tideglass.plans.registry import query
+from tideglass.plans.registry import query, uuid5_sql
 from tideglass.sources import cdc, files, loads
 from tideglass.sources import testbed as T
 
@@ -46,29 +46,63 @@ def _resources(spark: SparkSession, d: str) -> DataFrame:
     return graph.resource_neighbours(T.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("resource_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("used_at")))
 
 
-_FIRED = """WITH w AS (SELECT 'rule-' || l_returnflag || l_linestatus AS rule_id, (l_linestatus = 'F' OR l_returnflag <> 'N') AS enabled, count(*) FILTER (l_discount >= 0.05) AS firings, count(*) FILTER (l_discount >= 0.05 AND l_suppkey % 5 = 0) AS tp, count(*) AS pair_rows, count(DISTINCT l_orderkey) AS hands, count(*) FILTER (l_suppkey % 5 = 0) AS pos FROM lineitem GROUP BY 1, 2),
-b AS (SELECT * FROM (VALUES ('rule-AF', 0.5, 0.2, 600.0), ('rule-AO', 0.1, 0.2, 600.0), ('rule-NF', 0.5, 0.9, 100.0), ('rule-NO', 0.5, 0.2, 600.0), ('rule-RF', 0.5, 0.2, 10.0), ('rule-XX', 0.5, 0.2, 10.0)) t(rule_id, br, bp, bv)),
-j AS (SELECT b.*, w.* EXCLUDE (rule_id), CASE WHEN pair_rows > 0 THEN firings / pair_rows ELSE 0 END AS fr, CASE WHEN firings > 0 THEN tp / firings ELSE 0 END AS pc, CASE WHEN pos > 0 THEN tp / pos END AS rc, CASE WHEN hands > 0 THEN firings * 1000 / hands ELSE 0 END AS vo FROM b LEFT JOIN w USING (rule_id)),
-r AS (SELECT *, list_filter([CASE WHEN vo > 2 * bv THEN 'alert_volume_above_baseline_ratio' END, CASE WHEN fr > br + greatest(0.02, 0.5 * br) THEN 'firing_rate_above_baseline_band' END, CASE WHEN fr < greatest(0, br - greatest(0.02, 0.5 * br)) THEN 'firing_rate_below_baseline_band' END, CASE WHEN pc < 0.5 * bp THEN 'precision_below_baseline_ratio' END], lambda x: x IS NOT NULL) AS why,
-  coalesce(hands < 20 OR pos < 5 OR firings < 5, true) AS few, coalesce(NOT enabled, false) AS off FROM j),
-s AS (SELECT rule_id, fr, pc, rc, vo, CASE WHEN off THEN 'disabled' WHEN few THEN 'insufficient_data' WHEN len(why) >= 2 THEN 'critical' WHEN len(why) = 1 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN off OR few THEN '' ELSE array_to_string(why, ',') END AS reasons FROM r)"""
+#: The window's and the baseline's identities; a third window has labels that may not be used.
+_MARKS = {"tenant_id": "sim", "product_id": "poker", "rollout_id": "r-1", "model_name": "pair", "model_run_id": "run-7"}
+_BASE = {"evaluation_id": "eval-3", "baseline_sha256": "ab12"}
+_FIRED = (
+    """WITH w AS (
+  SELECT CASE WHEN l_linenumber <= 5 THEN 'w1' ELSE 'w2' END AS window_id, 'rule-' || l_returnflag || l_linestatus AS rule_id, (l_linestatus = 'F' OR l_returnflag <> 'N') AS enabled,
+    count(*) FILTER (l_discount >= 0.05) AS firings, count(*) FILTER (l_discount >= 0.05 AND l_suppkey % 5 = 0) AS tp, count(*) AS pair_rows,
+    count(DISTINCT l_orderkey) AS hands, count(*) FILTER (l_suppkey % 5 = 0) AS pos
+  FROM lineitem GROUP BY 1, 2, 3),
+g AS (SELECT CASE WHEN l_linenumber <= 5 THEN 'w1' ELSE 'w2' END AS window_id, count(*) FILTER (l_linenumber = 7) AS unknown FROM lineitem GROUP BY 1),
+b AS (
+  SELECT * FROM (VALUES ('rule-AF', 0.5, 0.2, 600.0), ('rule-AO', 0.1, 0.2, 600.0), ('rule-NF', 0.5, 0.9, 100.0), ('rule-NO', 0.5, 0.2, 600.0), ('rule-RF', 0.5, 0.2, 10.0), ('rule-XX', 0.5, 0.2, 10.0))
+    t(rule_id, br, bp, bv)),
+j AS (
+  SELECT b.*, g.window_id, g.unknown, w.* EXCLUDE (rule_id, window_id), CASE WHEN pair_rows > 0 THEN firings / pair_rows ELSE 0 END AS fr,
+    CASE WHEN firings > 0 THEN tp / firings ELSE 0 END AS pc, CASE WHEN pos > 0 THEN tp / pos END AS rc, CASE WHEN hands > 0 THEN firings * 1000 / hands ELSE 0 END AS vo
+  FROM b CROSS JOIN g LEFT JOIN w ON w.rule_id = b.rule_id AND w.window_id = g.window_id),
+r AS (
+  SELECT *, list_filter([CASE WHEN vo > 2 * bv THEN 'alert_volume_above_baseline_ratio' END, CASE WHEN fr > br + greatest(0.02, 0.5 * br) THEN 'firing_rate_above_baseline_band' END,
+      CASE WHEN fr < greatest(0, br - greatest(0.02, 0.5 * br)) THEN 'firing_rate_below_baseline_band' END, CASE WHEN pc < 0.5 * bp THEN 'precision_below_baseline_ratio' END], lambda x: x IS NOT NULL) AS why,
+    list_filter([CASE WHEN coalesce(hands, 0) < 20 THEN 'labeled_hands_below_minimum:' || coalesce(hands, 0) || '<20' END, CASE WHEN coalesce(pos, 0) < 5 THEN 'positive_labels_below_minimum:' || coalesce(pos, 0) || '<5' END,
+      CASE WHEN coalesce(firings, 0) < 5 THEN 'rule_firings_below_minimum:' || coalesce(firings, 0) || '<5' END], lambda x: x IS NOT NULL) AS lack,
+    unknown > 0 AND enabled IS NOT NULL AS bad, coalesce(NOT enabled, false) AS off
+  FROM j),
+s AS (
+  SELECT window_id, rule_id, fr, pc, rc, vo, array_to_string(lack, ',') AS lacks,
+    CASE WHEN off THEN 'disabled' WHEN bad THEN 'critical' WHEN len(lack) > 0 THEN 'insufficient_data' WHEN len(why) >= 2 THEN 'critical' WHEN len(why) = 1 THEN 'warning' ELSE 'ok' END AS status,
+    CASE WHEN (off OR bad) AND unknown > 0 THEN 'unknown_label_rows_above_maximum' WHEN off OR bad OR len(lack) > 0 THEN '' ELSE array_to_string(why, ',') END AS reasons
+  FROM r)"""
+)
 
 
 def _monitored(spark: SparkSession, d: str) -> DataFrame:
-    li = T.table(spark, d, "lineitem")
+    li = T.table(spark, d, "lineitem").withColumn("window_id", F.when(F.col("l_linenumber") <= 5, "w1").otherwise("w2"))
     fired, positive = F.col("l_discount") >= 0.05, F.col("l_suppkey") % 5 == 0
-    w = li.groupBy(F.concat(F.lit("rule-"), "l_returnflag", "l_linestatus").alias("rule_id"), ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") != "N")).alias("enabled")).agg(F.count_if(fired).alias("firings"), F.count_if(fired & positive).alias("true_positives"), F.count(F.lit(1)).alias("pair_rows"), F.count_distinct("l_orderkey").alias("labelled_hands"), F.count_if(positive).alias("positives"))
-    w = w.withColumns({"rule_version": F.lit(1), "window_id": F.lit("w1")})
+    w = li.groupBy("window_id", F.concat(F.lit("rule-"), "l_returnflag", "l_linestatus").alias("rule_id"), ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") != "N")).alias("enabled")).agg(F.count_if(fired).alias("firings"), F.count_if(fired & positive).alias("true_positives"), F.count(F.lit(1)).alias("pair_rows"), F.count_distinct("l_orderkey").alias("labelled_hands"), F.count_if(positive).alias("positives"))
+    labels = li.groupBy("window_id").agg(F.count_if(F.col("l_linenumber") == 7).alias("unknown_labels")).withColumn("circular_labels", F.lit(0).cast("long"))
+    w = w.join(labels, "window_id").withColumns({"rule_version": F.lit(1)} | {k: F.lit(v) for k, v in _MARKS.items()})
     base = [("AF", 0.5, 0.2, 600.0), ("AO", 0.1, 0.2, 600.0), ("NF", 0.5, 0.9, 100.0), ("NO", 0.5, 0.2, 600.0), ("RF", 0.5, 0.2, 10.0), ("XX", 0.5, 0.2, 10.0)]
     b = spark.createDataFrame([(f"rule-{k}", 1, *x) for k, *x in base], "rule_id string, rule_version int, base_rate double, base_precision double, base_volume double")
-    return metrics.rule_monitoring(w, b, min_hands=20, min_positives=5, min_firings=5)
+    b = b.withColumns({k: F.lit(v) for k, v in _BASE.items()})
+    one = lambda k: metrics.rule_monitoring(w.where(F.col("window_id") == k), b, min_hands=20, min_positives=5, min_firings=5).withColumn("window_id", F.lit(k))
+    return one("w1").unionByName(one("w2"))
 
 
-@query("rule_monitoring", _FIRED + " SELECT rule_id, round(fr, 6) AS firing_rate, round(pc, 6) AS precision, round(rc, 6) AS recall, round(vo, 6) AS volume_per_1000, status, reasons, status IN ('warning', 'critical') AS alerts FROM s")
+@query(
+    "rule_monitoring",
+    _FIRED
+    + f"""
+SELECT window_id, rule_id, round(fr, 6) AS firing_rate, round(pc, 6) AS precision, round(rc, 6) AS recall, round(vo, 6) AS volume_per_1000, status, reasons, lacks,
+  CASE WHEN status IN ('warning', 'critical') THEN {uuid5_sql('h')} END AS alert_id
+FROM (SELECT *, sha1(unhex('{metrics.MONITORING.replace('-', '')}') || encode('sim|poker|' || window_id || '|' || rule_id || '|1|eval-3|ab12|r-1|pair|run-7|' || reasons)) AS h FROM s)
+""",
+)
 def _monitoring(spark: SparkSession, d: str) -> DataFrame:
-    m = _monitored(spark, d).withColumn("alerts", F.col("alert_id").isNotNull())
     names = ("firing_rate", "precision", "recall", "volume_per_1000")
-    return m.select("rule_id", *[F.round(c, 6).alias(c) for c in names], "status", "reasons", "alerts")
+    return _monitored(spark, d).select("window_id", "rule_id", *[F.round(c, 6).alias(c) for c in names], "status", "reasons", "lacks", "alert_id")
 
 
 @query("monitoring_summary", _FIRED + " SELECT CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning' WHEN bool_or(status = 'insufficient_data') THEN 'insufficient_data' WHEN bool_or(status = 'disabled') THEN 'disabled' ELSE 'ok' END AS status, count(*) AS rules, count(*) FILTER (status = 'critical') AS critical_rules, count(*) FILTER (status = 'warning') AS warning_rules, count(*) FILTER (status = 'insufficient_data') AS insufficient_data_rules, count(*) FILTER (status = 'disabled') AS disabled_rules, count(*) FILTER (status = 'ok') AS ok_rules, count(*) FILTER (status IN ('critical', 'warning')) AS alerts FROM s")

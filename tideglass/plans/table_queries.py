@@ -57,20 +57,34 @@ def _running(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.expr(f"count(*) over {w}").alias("events_24h"), F.round(F.expr(f"sum(value) over {w}"), 4).alias("value_24h"))
 
 
-_SPLIT = BED + ", o AS (SELECT hand_id, played_at, row_number() OVER (ORDER BY played_at, hand_id) - 1 AS i, count(*) OVER () AS n FROM hands)"
+_SPLIT = BED + """, o AS (SELECT hand_id, played_at, row_number() OVER (ORDER BY played_at, hand_id) - 1 AS i, count(*) OVER () AS n FROM hands),
+sh AS (SELECT *, CASE WHEN greatest(floor(n * 0.70), 1) + greatest(floor(n * 0.15), 1) >= n THEN n - 2 ELSE greatest(floor(n * 0.70), 1) END AS train,
+  CASE WHEN greatest(floor(n * 0.70), 1) + greatest(floor(n * 0.15), 1) >= n THEN 1 ELSE greatest(floor(n * 0.15), 1) END AS validation FROM o)"""
 
 
-@query("temporal_split", _SPLIT + " SELECT hand_id, i::BIGINT AS index, CASE WHEN i < floor(n * 0.70) THEN 'train' WHEN i < floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM o")
+@query("temporal_split", _SPLIT + " SELECT hand_id, i::BIGINT AS index, CASE WHEN i < train THEN 'train' WHEN i < train + validation THEN 'validation' ELSE 'test' END AS split FROM sh")
 def _temporal(spark: SparkSession, d: str) -> DataFrame:
     return splits.temporal_split(T.hands(spark, d)).select("hand_id", "index", "split")
 
 
+@query(
+    "boundary_split",
+    _SPLIT
+    + """
+SELECT hand_id, i::BIGINT AS index, CASE WHEN i < greatest(floor(n * 0.70), 1) THEN 'train'
+  WHEN i < least(n - 1, greatest(greatest(floor(n * 0.70), 1) + 1, floor(n * 0.85))) THEN 'validation' ELSE 'test' END AS split FROM o
+""",
+)
+def _boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return splits.boundary_split(T.hands(spark, d)).select("hand_id", "index", "split")
+
+
 @query("cycle_split", _SPLIT + " SELECT hand_id, CASE WHEN i % 20 < 14 THEN 'train' WHEN i % 20 < 17 THEN 'validation' ELSE 'test' END AS split FROM o")
 def _cycle(spark: SparkSession, d: str) -> DataFrame:
     return splits.cycle_split(T.hands(spark, d), "played_at", "hand_id").select("hand_id", "split")
 
 
-_ASSIGNED = _SPLIT + ", assigned AS (SELECT hand_id, played_at, CASE WHEN i < floor(n * 0.70) THEN 'train' WHEN i < floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM o)"
+_ASSIGNED = _SPLIT + ", assigned AS (SELECT hand_id, played_at, CASE WHEN i < train THEN 'train' WHEN i < train + validation THEN 'validation' ELSE 'test' END AS split FROM sh)"
 
 
 @query("split_overlap_audit", _ASSIGNED + " SELECT player_id, count(DISTINCT split) AS splits, string_agg(DISTINCT split, ',' ORDER BY split) AS in_splits FROM players JOIN assigned USING (hand_id) GROUP BY 1 HAVING count(DISTINCT split) > 1")
