@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 4096 tokens at most."""
-    return packing.pack_documents(docs, ids=False)
+    """Pieces of documents with their token ids and their places in sequences of 4096 tokens at most; packing.assembled() joins them."""
+    return packing.pack_documents(docs, ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -710,7 +710,7 @@ def test_pipeline_against_brute_force(spark):
     pieces = after["packing"].collect()
     check_packing(pieces)
     want = collections.Counter((r.doc_id, k // 16384, zlib.crc32(ids_[k : k + 16384])) for r in after["mixing"].collect() for ids_ in [encode([r.text])[0]] for k in range(0, len(ids_), 16384))
-    assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in pieces) == want
+    assert collections.Counter((r.doc_id, r.piece, zlib.crc32(r.ids)) for r in pieces) == want and all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length for r in pieces)
 
 
 def test_pipeline_of_nothing(spark):

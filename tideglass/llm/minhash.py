@@ -31,7 +31,7 @@ from tideglass.llm.components import connected_components
 from tideglass.llm.tokens import slices
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 32, 8
-BLOB_DOCS, BLOB_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES, ANCHORS, MATRIX_ROWS = 512, 1_500_000, 256, 1_000_000, 4, 32
+BLOB_DOCS, BLOB_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES, ANCHORS, MATRIX_ROWS = 512, 1_000_000, 256, 700_000, 4, 32
 
 
 def _numbers(n: int, seed: int) -> np.ndarray:
