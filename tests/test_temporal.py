@@ -148,3 +148,23 @@ def test_fold_stream_equals_the_replay(spark, tmp_path):
         newest = max([x["played_at"] for x in b] + ([newest] if newest else []))
     df = spark.createDataFrame([tuple(x.values()) for x in rows], DELIVERY.replace("played_at timestamp", "played_at string") + ", watermark string")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold_rule.fold_replay(df).collect())) and {x.status for x in got.collect()} == {"accepted", "duplicate", "stale", "corrected", "too_late"}
+
+
+def test_recent_items_of_a_hot_key(ranges):
+    """The last distinct items at strictly earlier times, over several ranges of one key."""
+    r = random.Random(4)
+    events = [(r.choice([1, 1, 1, 2]), T0 + timedelta(minutes=r.randrange(200)), r.randrange(12), r.randrange(100)) for _ in range(400)]
+    last = {}
+    for u, t, v, x in events:
+        last[u, t, v] = x
+    events = [(*k, x) for k, x in last.items()]
+    moments = [(u, T0 + timedelta(minutes=m)) for u in (1, 2, 3) for m in range(0, 220, 3)]
+    df = ranges.createDataFrame(events, "u long, t timestamp, v long, x long").repartition(3)
+    got = temporal_graph.recent(ranges.createDataFrame([*moments, (None, T0), (1, None)], "u long, t timestamp"), df, 4)
+    want = {}
+    for u, t in moments:
+        seen = {}
+        for _, t2, v, x in sorted((e for e in events if e[0] == u and e[1] < t), key=lambda e: e[1]):
+            seen[v] = (t2, v, x)
+        want[u, t] = sorted(seen.values(), reverse=True, key=lambda s: s[:2])[:4]
+    assert {(m.u, m.t): [tuple(x) for x in m.tops] for m in got.collect()} == want
