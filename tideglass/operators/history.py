@@ -1,7 +1,7 @@
 """Histories: prior-only aggregates, rolling windows, last-N arrays, slowly changing dimensions and as-of joins.
 
 Every function names its tie policy. "order": rows of one time are ordered by an id and later ones see earlier ones; "isolated": rows of
-one time do not see each other.
+one time do not see each other. Running sums and values carried forward go by slices of a key's time (slices.before), so a hot key is no task of its own.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators import slices
 from tideglass.sources.scratch import written
 
 EPS = 1e-9
@@ -33,7 +34,9 @@ def user_history(seats: DataFrame) -> DataFrame:
     seats: hand_id, player_id, played_at, won_amount, folds, raised, saw_flop.
     """
     rate = {"fold": F.col("folds") > 0, "raise": F.col("raised"), "flop": F.col("saw_flop")}
-    found = prior(seats, ["player_id"], "played_at", "hand_id", {"prior_hands": F.count(F.lit(1)), "prior_won": F.sum("won_amount"), **{f"__{k}": F.sum(v.cast("int")) for k, v in rate.items()}})
+    sums = {"prior_hands": F.lit(1).cast("long"), "prior_won": F.col("won_amount"), **{f"__{k}": v.cast("long") for k, v in rate.items()}}
+    found = slices.before(seats, ["player_id"], [F.col("played_at"), F.col("hand_id")], sums=sums)
+    found = found.withColumn("prior_hands", F.coalesce("prior_hands", F.lit(0)).cast("long"))
     n = F.greatest(F.col("prior_hands"), F.lit(1))
     out = found.withColumns({"prior_won": F.coalesce("prior_won", F.lit(0.0)), **{f"prior_{k}_rate": F.bround(F.coalesce(f"__{k}", F.lit(0)) / n, 9) for k in rate}})
     return out.withColumn("prior_won_per_hand", F.bround(F.col("prior_won") / n, 9)).drop(*[f"__{k}" for k in rate])
@@ -41,15 +44,12 @@ def user_history(seats: DataFrame) -> DataFrame:
 
 def pair_history(pairs: DataFrame) -> DataFrame:
     """Of each pair, over the hands before this one: hands, sums, asymmetry, directional rates, rate at this table, seconds since the last."""
-    order = Window.partitionBy("pair_key").orderBy("played_at", "hand_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    table = Window.partitionBy("pair_key", "table_id").orderBy("played_at", "hand_id").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    p = pairs.withColumns({
-        "pair_hands": F.count(F.lit(1)).over(before), "pair_won_a": zero(F.sum("won_amount_a").over(before)), "pair_won_b": zero(F.sum("won_amount_b").over(before)),
-        "__ab": zero(F.sum(F.col("a_fold_b_win").cast("int")).over(before)), "__ba": zero(F.sum(F.col("b_fold_a_win").cast("int")).over(before)), "__flop": zero(F.sum(F.col("both_saw_flop").cast("int")).over(before)),
-        "__last": F.lag("played_at").over(order),
-    }).withColumn("__table", F.count(F.lit(1)).over(table))
+    zero, order = lambda c: F.coalesce(c, F.lit(0.0)), [F.col("played_at"), F.col("hand_id")]
+    flags = {"__ab": "a_fold_b_win", "__ba": "b_fold_a_win", "__flop": "both_saw_flop"}
+    sums = {"pair_hands": F.lit(1).cast("long"), "pair_won_a": F.col("won_amount_a"), "pair_won_b": F.col("won_amount_b")} | {k: F.col(c).cast("double") for k, c in flags.items()}
+    p = slices.before(pairs, ["pair_key"], order, sums=sums, lasts={"__last": F.col("played_at")})
+    p = slices.before(p, ["pair_key", "table_id"], order, sums={"__table": F.lit(1).cast("long")})
+    p = p.withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("pair_hands", "__table")} | {k: zero(F.col(k)) for k in ("pair_won_a", "pair_won_b", *flags)})
     n, a, b = F.greatest(F.col("pair_hands"), F.lit(1)), F.col("pair_won_a"), F.col("pair_won_b")
     r = lambda x: F.bround(x, 9)
     return p.withColumns({
@@ -61,14 +61,25 @@ def pair_history(pairs: DataFrame) -> DataFrame:
 def fold_rule(pairs: DataFrame, hours: int = 24, min_hands: int = 5, min_count: int = 3, min_rate: float = 0.6, peers: str = "order") -> DataFrame:
     """Repeated folds of one to the other within the window up to each hand, both ends included.
 
-    peers "all": hands of the same time see each other. "order": a hand does not see hands of the same time with a larger id; what
-    the range frame has of them is taken off again. A tie of the directions goes to a.
+    peers "all": hands of the same time see each other. "order": a hand does not see hands of the same time with a larger id. A window is the difference of two
+    running counts, at the hand and before its window's start, so a pair with many hands is spread over slices of its time. A tie of the directions goes to a.
     """
-    span = Window.partitionBy("pair_key").orderBy(_micros(F.col("played_at"))).rangeBetween(-hours * 3_600_000_000, 0)
-    later = Window.partitionBy("pair_key", "played_at").orderBy("hand_id").rowsBetween(1, Window.unboundedFollowing)
-    one = {"n": F.lit(1), "a": F.col("a_fold_b_win").cast("int"), "b": F.col("b_fold_a_win").cast("int")}
-    less = (lambda x: F.coalesce(F.sum(x).over(later), F.lit(0))) if peers == "order" else (lambda x: F.lit(0))
-    w = pairs.withColumns({f"window_{k}": F.sum(x).over(span) - less(x) for k, x in one.items()})
+    one = {"n": F.lit(1).cast("long"), "a": F.col("a_fold_b_win").cast("long"), "b": F.col("b_fold_a_win").cast("long")}
+    rows = written(pairs.withColumns({"__id": F.monotonically_increasing_id(), "__at": _micros(F.col("played_at"))} | {f"__{k}": v for k, v in one.items()}), "fold-rows")
+    own = rows.select("pair_key", "hand_id", "__id", "__at", *[f"__{k}" for k in one])
+    none = {f"__{k}": F.lit(0).cast("long") for k in one}
+    ends = {"order": own.withColumn("__kind", F.lit(1))}
+    if peers == "all":
+        ends["all"] = own.withColumns(none | {"__kind": F.lit(2)})
+    start = own.withColumns(none | {"__kind": F.lit(0), "__at": F.col("__at") - hours * 3_600_000_000})
+    both = start.unionByName(ends["order"])
+    both = both.unionByName(ends["all"]) if peers == "all" else both
+    seen = slices.before(both, ["pair_key"], [F.col("__at"), F.col("__kind"), F.col("hand_id")], sums={f"{k}_before": F.col(f"__{k}") for k in one})
+    # the hand itself counts where the running count ends with it
+    upto = lambda k: F.coalesce(F.col(f"{k}_before"), F.lit(0)) + (F.col(f"__{k}") if peers == "order" else F.lit(0))
+    last = 1 if peers == "order" else 2
+    windows = seen.where(F.col("__kind").isin(0, last)).groupBy("__id").agg(*[F.sum(F.when(F.col("__kind") == last, upto(k)).otherwise(-F.coalesce(F.col(f"{k}_before"), F.lit(0)))).alias(f"window_{k}") for k in one])
+    w = rows.join(windows, "__id").drop("__id", "__at", *[f"__{k}" for k in one])
     most = F.greatest("window_a", "window_b")
     rate = F.bround(most / F.col("window_n"), 9)
     return w.withColumns({"direction": F.when(F.col("window_a") >= F.col("window_b"), "a").otherwise("b"), "fold_count": most, "fold_rate": rate}).withColumns({
@@ -100,8 +111,8 @@ def last_n(df: DataFrame, key: str, time: str, tie: str, n: int = 16) -> DataFra
 
 
 def log_minutes_gap(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    gap = (_micros(F.col(time)) - F.lag(_micros(F.col(time))).over(Window.partitionBy(key).orderBy(time, tie))) / F.lit(6e7)
-    return df.withColumn("log_minutes_gap", F.coalesce(F.log1p(gap), F.lit(0.0)))
+    found = slices.before(df, [key], [F.col(time), F.col(tie)], lasts={"__last": _micros(F.col(time))})
+    return found.withColumn("log_minutes_gap", F.coalesce(F.log1p((_micros(F.col(time)) - F.col("__last")) / F.lit(6e7)), F.lit(0.0))).drop("__last")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -119,18 +130,14 @@ def scd2(versions: DataFrame, key: str = "user_id", version: str = "context_vers
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, order: tuple[str, ...] = (), strict: bool = False, prefix: str = "ctx_") -> DataFrame:
     """Each row of left with the latest row of right of its key at or before its time; with strict, before.
 
-    Both are put in one order and the last right row is carried forward: one exchange and one sort by the key, whatever the
-    number of versions. Ties among right rows go to the largest `order`. No version: nulls. Nulls in the key match nothing.
+    Both are put in one order by ranges and the last right row is carried forward, over the ends of ranges too: no task holds a hot key. Ties among
+    right rows go to the largest `order`. No version: nulls. Nulls in the key match nothing.
     """
     carried = [c for c in right.columns if c != key]
-    a = left.withColumns({"__t": F.col(left_time), "__tag": F.lit(0 if strict else 1), "__row": F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType)})
-    b = right.select(F.col(key), F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__tag"), F.struct(*carried).alias("__row"))
-    w = Window.partitionBy(key).orderBy("__t", "__tag", *[F.col("__row")[c] for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    mark = a.withColumn("__left", F.lit(True))
-    both = mark.unionByName(b, allowMissingColumns=True)
-    seen = F.when(F.col(key).isNotNull(), F.last("__row", ignorenulls=True).over(w))
-    out = both.withColumn("__seen", seen).where("__left")
-    return out.select(*left.columns, *[F.col("__seen")[c].alias(f"{prefix}{c}") for c in carried])
+    a = left.withColumns({"__t": F.col(left_time), "__tag": F.lit(0 if strict else 1), "__row": F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType), "__left": F.lit(True)})
+    b = right.where(F.col(key).isNotNull()).select(F.col(key), F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__tag"), F.struct(*carried).alias("__row"))
+    both = slices.before(a.unionByName(b, allowMissingColumns=True), [key], [F.col("__t"), F.col("__tag"), *[F.col("__row")[c] for c in order]], lasts={"__seen": F.col("__row")})
+    return both.where("__left").select(*left.columns, *[F.col("__seen")[c].alias(f"{prefix}{c}") for c in carried])
 
 
 def conflicting_versions(versions: DataFrame, key: str = "user_id", version: str = "context_version", event: str = "event_id") -> DataFrame:
