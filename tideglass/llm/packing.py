@@ -213,8 +213,17 @@ def pack(pieces: DataFrame, *, max_tokens: int = MAX_TOKENS, length_col: str = "
 
 
 def pack_documents(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, ids: bool = True, **options: str) -> DataFrame:
-    """Encode and pack: the columns of tokenise with sequence_id and offset. Texts are encoded once, into a written table."""
-    return pack(written(tokenise(docs, max_tokens=max_tokens, ids=ids, **options), "pieces"), max_tokens=max_tokens)
+    """Encode and pack: the columns of tokenise with sequence_id and offset. Texts are encoded once, into a written table.
+
+    Places are found on numbers alone. Ids stay in that table until each piece meets its place, by a number of the row in it, so they are shuffled once.
+    """
+    pieces = written(tokenise(docs, max_tokens=max_tokens, ids=ids, **options).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces.drop("ids"), max_tokens=max_tokens, order=("doc_id", "piece", "__row"))
+    if ids:
+        packed = packed.join(pieces.select(F.col("__row").alias("__at"), "ids"), F.col("__row") == F.col("__at")).drop("__at")
+        columns = [*[c for c in pieces.columns if c != "__row"], *RESULT]
+        return packed.select(*columns)
+    return packed.drop("__row")
 
 
 def assembled(packed: DataFrame) -> DataFrame:

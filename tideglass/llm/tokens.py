@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
-MODEL, END_ID, MEMO, MARK = "word_bpe_49k.json", 1, 700_000, "\x00"
+MODEL, END_ID, MEMO, MARK = "word_bpe_49k.json", 1, 400_000, "\x00"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -120,7 +120,7 @@ def encoder(path: str, end_id: int = END_ID, split: bool = True) -> Encoder:
     return _encoders[key]
 
 
-def slices(batch: pa.RecordBatch, text_col: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about so much text, at least one row each: Python objects stay few."""
     column = batch.column(text_col)
     ends: list[int] = []
