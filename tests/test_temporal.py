@@ -168,3 +168,28 @@ def test_recent_items_of_a_hot_key(ranges):
             seen[v] = (t2, v, x)
         want[u, t] = sorted(seen.values(), reverse=True, key=lambda s: s[:2])[:4]
     assert {(m.u, m.t): [tuple(x) for x in m.tops] for m in got.collect()} == want
+
+
+def test_bootstrap_of_rankings_against_a_plain_form(ranges):
+    """Ties over several ranges, an empty replicate's worth of weights and a budget that ends within a tie."""
+    import numpy as np
+
+    from tideglass.operators import resampling
+
+    r = random.Random(8)
+    rows = [(f"h{r.randrange(9)}", i, r.randrange(2), r.choice([0.9, 0.5, 0.5, 0.5, 0.1, round(r.random(), 2)]), r.random() < 0.3) for i in range(300)]
+    df = ranges.createDataFrame([*rows, ("h1", 999, None, 0.5, True), (None, 998, 1, 0.5, True)], "hand_id string, row_id int, label int, score double, fired boolean").repartition(4)
+    got = {x.replicate: x for x in resampling.replicate_metrics(df, 10, 3, max_alert_rate=0.2).collect()}
+    hands = sorted({x[0] for x in rows})
+    draws = dict(zip(hands, resampling.weights_of(hands, 10, 3), strict=True))
+    for k in range(10):
+        ordered = sorted(rows, key=lambda x: (-x[3], x[1]))
+        w, y, s = np.array([draws[x[0]][k] for x in ordered], float), np.array([x[2] for x in ordered], float), np.array([x[3] for x in ordered])
+        f = np.array([x[4] for x in ordered], float)
+        pr = sum(w[s == v] @ y[s == v] * (w[s >= v] @ y[s >= v]) / w[s >= v].sum() for v in set(s) if w[s >= v].sum()) / (w @ y)
+        roc = sum(w[s == v] @ y[s == v] * (w[s < v] @ (1 - y[s < v]) + 0.5 * w[s == v] @ (1 - y[s == v])) for v in set(s)) / ((w @ y) * (w @ (1 - y)))
+        chosen = np.clip(max(1, int(w.sum() * 0.2)) - (np.cumsum(w) - w), 0, w)
+        want = {"pr_auc": pr, "roc_auc": roc, "brier_score": w @ (s - y) ** 2 / w.sum(), "precision": w @ (y * f) / (w @ f), "recall": w @ (y * f) / (w @ y), "recall_at_alert_budget": chosen @ y / (w @ y), "precision_at_alert_budget": chosen @ y / chosen.sum(), "false_positives_per_1000_hands": w @ (f * (1 - y)) * 1000 / len(hands)}
+        for name, v in want.items():
+            assert got[k][name] == pytest.approx(v), name
+    assert resampling.replicate_metrics(df.limit(0), 10).count() == 0

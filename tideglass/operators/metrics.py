@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.operators.order import indexed, running
+from tideglass.operators.resampling import drawn_sums
 from tideglass.sources.files import uuid5
 from tideglass.sources.scratch import written
 
@@ -92,21 +93,13 @@ def precision_at(rows: DataFrame, places: list[int], label: str = "label", score
 
 
 def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 7, label: str = "label", fired: str = "fired", group: str = "hand_id") -> DataFrame:
-    """Percentile intervals of precision and recall when whole hands are drawn: four counters a hand, Poisson(1) weights from hashes.
+    """Percentile intervals of precision and recall when whole hands are drawn: three counters a hand, with weights that are Poisson(1) from an md5 of seed and hand.
 
-    Rows shrink to one a hand first, which is what is multiplied by the replicates; sums are combined before the shuffle.
+    Rows shrink to one a hand first; each task adds its hands up for all replicates at once.
     """
     y, f = F.col(label) == 1, F.col(fired)
     hands = rows.groupBy(group).agg(F.count_if(y & f).alias("tp"), F.count_if(~y & f).alias("fp"), F.count_if(y & ~f).alias("fn"))
-    each = hands.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), group, "replicate"), F.lit(2**40)) + 0.5) / float(2**40)
-    steps, total, p = [], 0.0, 2.718281828459045**-1
-    for k in range(9):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    weight = sum(((u > s).cast("long") for s in steps), F.lit(0))
-    sums = each.withColumn("w", weight).groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    sums = drawn_sums(hands, group, ["tp", "fp", "fn"], replicates, seed)
     m = sums.select(_div(F.col("tp"), F.col("tp") + F.col("fp"), 0.0).alias("precision"), _div(F.col("tp"), F.col("tp") + F.col("fn"), None).alias("recall"))
     ends = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
     return m.agg(F.percentile("precision", ends).alias("p"), F.percentile("recall", ends).alias("r")).select(*[F.col(c)[i].alias(f"{n}_{e}") for c, n in (("p", "precision"), ("r", "recall")) for i, e in enumerate(("low", "mid", "high"))])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.operators import graph, history, metrics, splits
+from tideglass.operators.resampling import poisson_limits
 from tideglass.plans.registry import query
 from tideglass.sources import cdc, files, loads
 from tideglass.sources import testbed as T
@@ -149,9 +150,25 @@ def _budget(spark: SparkSession, d: str) -> DataFrame:
     return metrics.at_budget(p, 0.02).withColumns({c: F.round(c, 6) for c in ("precision_at_budget", "recall_at_budget", "fp_per_1000")})
 
 
-@query("bootstrap_intervals")
+_DRAWS = 200
+
+
+@query(
+    "bootstrap_intervals",
+    _RULE
+    + f""", h AS (
+  SELECT hand_id, count(*) FILTER (label = 1 AND fired) AS tp, count(*) FILTER (label = 0 AND fired) AS fp, count(*) FILTER (label = 1 AND NOT fired) AS fn FROM p GROUP BY 1),
+x AS (
+  SELECT b * 4 + j AS r, tp, fp, fn, ('0x' || substr(md5('7|' || hand_id || '|' || b), j * 8 + 1, 8))::BIGINT AS x
+  FROM h, range(0, {_DRAWS // 4}) AS t(b), range(0, 4) AS u(j)),
+w AS (SELECT r, tp, fp, fn, {" + ".join(f"(x >= {limit})::INT" for limit in poisson_limits())} AS w FROM x),
+m AS (
+  SELECT r, CASE WHEN sum(w * (tp + fp)) > 0 THEN sum(w * tp) / sum(w * (tp + fp)) ELSE 0 END AS p, CASE WHEN sum(w * (tp + fn)) > 0 THEN sum(w * tp) / sum(w * (tp + fn)) END AS q FROM w GROUP BY r)
+SELECT {", ".join(f"round(quantile_cont({c}, {e}), 9) AS {n}_{k}" for c, n in (("p", "precision"), ("q", "recall")) for e, k in ((0.025, "low"), (0.5, "mid"), (0.975, "high")))} FROM m""",
+)
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap(predictions(spark, d))
+    out = metrics.bootstrap(predictions(spark, d), _DRAWS)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 @query("seed_summary", "SELECT l_suppkey % 5 AS seed, round(min(l_discount), 6) AS min, round(max(l_discount), 6) AS max, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS std, round(max(l_discount) - min(l_discount), 6) AS range FROM lineitem GROUP BY 1")
