@@ -193,3 +193,20 @@ def test_bootstrap_of_rankings_against_a_plain_form(ranges):
         for name, v in want.items():
             assert got[k][name] == pytest.approx(v), name
     assert resampling.replicate_metrics(df.limit(0), 10).count() == 0
+
+
+def test_quantiles_against_numpy(ranges):
+    import numpy as np
+
+    from tideglass.operators import quantiles
+
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.choice([1.0, 1.0, round(r.gauss(0, 3), 2), None])) for _ in range(500)] + [("none", None), ("one", 4.0)]
+    df = ranges.createDataFrame(rows, "k string, v double").repartition(4)
+    at_ = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {x.k: x.q for x in quantiles.quantiles(df, F.col("v"), at_, ["k"]).collect()}
+    groups = {k: [v for g, v in rows if g == k and v is not None] for k in {k for k, _ in rows}}
+    assert got.keys() == {k for k, v in groups.items() if v}
+    assert all(got[k] == pytest.approx(np.quantile(v, at_).tolist()) for k, v in groups.items() if v)
+    assert quantiles.quantiles(df, F.col("v"), [0.5]).first().q == pytest.approx([np.median([v for _, v in rows if v is not None])])
+    assert quantiles.of_columns(df.limit(0), {"a": F.col("v")}, [0.5]) == {"a": [None]} and quantiles.quantiles(df.limit(0), F.col("v"), [0.5]).count() == 0

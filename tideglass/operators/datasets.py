@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.operators.quantiles import of_columns
 from tideglass.functions.scalars import BANKROLL, STAKES, age_days, filled, one_hot, ordinal
 
 
@@ -29,10 +30,11 @@ class Preprocessor:
     """Medians and categories of a training table, and their use on others. What reaches the driver is a number a column and the categories."""
 
     def __init__(self, train: DataFrame, numeric: list[str], categorical: list[str]) -> None:
-        finite = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf")), F.col(c).cast("double")), 0.5).alias(c) for c in numeric]
+        finite = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf")), F.col(c).cast("double")) for c in numeric}
         kinds = [F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in categorical]
-        row = train.agg(*finite, *kinds).first()
-        self.median = {c: float(row[c]) if row[c] is not None else 0.0 for c in numeric}
+        middle = of_columns(train, finite, [0.5]) if numeric else {}
+        self.median = {c: middle[c][0] if middle[c][0] is not None else 0.0 for c in numeric}
+        row = train.agg(*kinds).first() if categorical else {}
         self.known = {c: list(row[c]) for c in categorical}
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -93,8 +95,8 @@ def one_scope(df: DataFrame, columns: list[str]) -> dict:
 
 def quantile_parts(df: DataFrame, column: str, q: float = 0.75) -> DataFrame:
     """Add high: whether the column is at or above its quantile, interpolated. Null is not high."""
-    limit = df.agg(F.percentile(column, q).alias("__limit"))
-    return df.crossJoin(F.broadcast(limit)).withColumn("high", F.coalesce(F.col(column) >= F.col("__limit"), F.lit(False))).drop("__limit")  # one row
+    limit = of_columns(df, {"limit": F.col(column)}, [q])["limit"][0]
+    return df.withColumn("high", F.coalesce(F.col(column) >= F.lit(limit).cast("double"), F.lit(False)))
 
 
 def first_pairs(pairs: DataFrame, hands: DataFrame, most: int, order: tuple[str, ...] = ("hand_id", "player_a", "player_b")) -> DataFrame:

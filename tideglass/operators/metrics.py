@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.operators.order import indexed, running
+from tideglass.operators.quantiles import of_columns, quantiles
 from tideglass.operators.resampling import drawn_sums
 from tideglass.sources.files import uuid5
 from tideglass.sources.scratch import written
@@ -111,8 +112,8 @@ def seed_summary(results: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def histogram_edges(reference: DataFrame, column: str, bins: int = 10) -> list[float]:
     """The distinct interior quantiles of the reference; outer bins are open."""
-    q = reference.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []
-    return sorted(set(q))
+    q = of_columns(reference, {"q": F.col(column)}, [i / bins for i in range(1, bins)])["q"]
+    return sorted({x for x in q if x is not None})
 
 
 def binned(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
@@ -160,8 +161,8 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric]))
         return df.select(each.alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
 
-    ends = [F.lit(i / bins) for i in range(1, bins)]
-    edges = long(reference).groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("v", F.array(*ends)))).alias("edges")) if numeric else None
+    ends = [i / bins for i in range(1, bins)]
+    edges = written(quantiles(long(reference), F.col("v"), ends, ["feature"]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges")), "edges") if numeric else None
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         binned_ = long(df).join(F.broadcast(edges), "feature").select("feature", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bin"))  # one row a column
