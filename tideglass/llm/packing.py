@@ -27,22 +27,22 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.common import documents, give_back, without, written
 from tideglass.llm.sharding import ranked
-from tideglass.llm.tokens import END_ID, encoder, model_path, slices
+from tideglass.llm.tokens import END_ID, MEMO, encoder, model_path, slices
 
 MAX_TOKENS, BIN, COARSE, LEAST_PER_BUCKET = 4096, 16, 4, 200
 RESULT = ("sequence_id", "offset")
 
 
-def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = True, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, unless ids is false, ids (binary, little-endian unsigned 32-bit).
 
-    A document is the ids of its text (null: empty) and the end id. Only one longer than max_tokens is cut. Null ids and rows that
+    A document is the ids of its text (null: empty) and the end id. memo bounds the stretches of text that a worker remembers. Only one longer than max_tokens is cut. Null ids and rows that
     repeat are encoded as all others.
     """
     path = tokenizer or model_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, width = encoder(path, end_id), 4 * max_tokens
+        e, width = encoder(path, end_id, most=memo), 4 * max_tokens
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [(i, k // width, k // 4, len(p := x[k : k + width]) // 4, zlib.crc32(p), p) for i, x in zip(part.column("doc_id").to_pylist(), e(part.column("text").to_pylist()), strict=True) for k in range(0, len(x), width)]
@@ -212,7 +212,7 @@ def pack(pieces: DataFrame, *, max_tokens: int = MAX_TOKENS, length_col: str = "
     return rows.withColumn("offset", F.coalesce(F.sum(length_col).over(ahead), F.lit(0)).cast("long")).drop("l", "steps", "__r", "__rank", "__step")
 
 
-def pack_documents(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, ids: bool = True, **options: str) -> DataFrame:
+def pack_documents(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, ids: bool = True, **options: object) -> DataFrame:
     """Encode and pack: the columns of tokenise with sequence_id and offset. Texts are encoded once, into a written table.
 
     Places are found on numbers alone. Ids stay in that table until each piece meets its place, by a number of the row in it, so they are shuffled once.

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
-MODEL, END_ID, MEMO, MARK = "word_bpe_49k.json", 1, 400_000, "\x00"
+MODEL, END_ID, MEMO, MARK = "word_bpe_49k.json", 1, 700_000, "\x00"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -30,14 +30,14 @@ class Encoder:
 
     The vocabulary's normaliser and its splitting of text never join what a blank or a line feed separates, so the library
     encodes each distinct stretch between those once, and the ids of a text are those of its stretches in order. The memo is
-    emptied when it holds MEMO stretches. `split=False` hands whole texts to the library, for vocabularies that do not split so.
+    emptied when it holds `most` stretches. `split=False` hands whole texts to the library, for vocabularies that do not split so.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, split: bool = True) -> None:
+    def __init__(self, path: str, end_id: int = END_ID, split: bool = True, most: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model, self.split, self.memo = Tokenizer.from_file(path), split, {"": b""}
+        self.model, self.split, self.memo, self.most = Tokenizer.from_file(path), split, {"": b""}, most
         self.end = array("I", [end_id]).tobytes()
         self.words = None
         if split and (suffix := getattr(self.model.model, "end_of_word_suffix", None)):
@@ -56,7 +56,7 @@ class Encoder:
             return [array("I", e.ids).tobytes() + self.end for e in self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > self.most:
             memo.clear()
             memo[""] = b""
         self._learn(set().union(*parts).difference(memo))
@@ -112,9 +112,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end_id: int = END_ID, split: bool = True) -> Encoder:
+def encoder(path: str, end_id: int = END_ID, split: bool = True, most: int = MEMO) -> Encoder:
     """One for each worker process."""
-    key = (path, end_id, split)
+    key = (path, end_id, split, most)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
