@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tideglass.plans import contract_queries, dataset_queries, hand_queries, relation_queries, resampling_queries, table_queries, temporal_queries  # noqa: F401
+from tideglass.plans import contract_queries, dataset_queries, hand_queries, relation_queries, resampling_queries, stream_queries, table_queries, temporal_queries  # noqa: F401
 from tideglass.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
