@@ -210,3 +210,18 @@ def test_quantiles_against_numpy(ranges):
     assert all(got[k] == pytest.approx(np.quantile(v, at_).tolist()) for k, v in groups.items() if v)
     assert quantiles.quantiles(df, F.col("v"), [0.5]).first().q == pytest.approx([np.median([v for _, v in rows if v is not None])])
     assert quantiles.of_columns(df.limit(0), {"a": F.col("v")}, [0.5]) == {"a": [None]} and quantiles.quantiles(df.limit(0), F.col("v"), [0.5]).count() == 0
+
+
+def test_common_neighbours_both_ways(ranges):
+    from tideglass.operators import graph
+
+    r = random.Random(5)
+    edges = sorted({tuple(sorted(r.sample(range(150), 2))) for _ in range(900)} | {(0, k) for k in range(1, 150)})
+    df = ranges.createDataFrame([*edges, edges[0]], "player_a long, player_b long")
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = {(a, b): (len(near[a] & near[b]), round(len(near[a] & near[b]) / max(1, len((near[a] | near[b]) - {a, b})), 9)) for a, b in edges}
+    for dense in (False, True, None):
+        assert {(x.player_a, x.player_b): (x.shared, round(x.jaccard, 9)) for x in graph.coplayer_jaccard(df, dense).collect()} == want
