@@ -11,8 +11,8 @@ from tideglass.llm import exact_dedup, minhash, mixing, packing, toxicity
 from tideglass.llm.common import documents, written
 from tideglass.llm.language import fold
 
-#: Stretches of text that a worker remembers when it packs: fewer than by default, as its memory is shared with the stages before.
-MEMO = 400_000
+#: What a worker remembers and has in parts when it packs: less than by default, as its memory is shared with the stages before.
+MEMO, CHARS = 400_000, 1_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids and their places in sequences of 4096 tokens at most; packing.assembled() joins them."""
-    return packing.pack_documents(docs, ids=True, memo=MEMO)
+    return packing.pack_documents(docs, ids=True, memo=MEMO, chars=CHARS)
 
 
 STAGES: list[tuple[str, Stage]] = [

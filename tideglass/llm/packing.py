@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.common import documents, give_back, without, written
 from tideglass.llm.sharding import ranked
-from tideglass.llm.tokens import END_ID, MEMO, encoder, model_path, slices
+from tideglass.llm.tokens import CHARS, END_ID, MEMO, encoder, model_path, slices
 
 MAX_TOKENS, BIN, COARSE, LEAST_PER_BUCKET = 4096, 16, 4, 200
 RESULT = ("sequence_id", "offset")
 
 
-def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = True, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = True, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, chars: int = CHARS) -> DataFrame:
     """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, unless ids is false, ids (binary, little-endian unsigned 32-bit).
 
-    A document is the ids of its text (null: empty) and the end id. memo bounds the stretches of text that a worker remembers. Only one longer than max_tokens is cut. Null ids and rows that
+    A document is the ids of its text (null: empty) and the end id. memo bounds the stretches of text that a worker remembers, chars the text that it has in parts at a time. Only one longer than max_tokens is cut. Null ids and rows that
     repeat are encoded as all others.
     """
     path = tokenizer or model_path()
@@ -44,7 +44,7 @@ def tokenise(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, width = encoder(path, end_id, most=memo), 4 * max_tokens
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", chars):
                 rows = [(i, k // width, k // 4, len(p := x[k : k + width]) // 4, zlib.crc32(p), p) for i, x in zip(part.column("doc_id").to_pylist(), e(part.column("text").to_pylist()), strict=True) for k in range(0, len(x), width)]
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + ids]

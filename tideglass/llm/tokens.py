@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
 MODEL, END_ID, MEMO, MARK = "word_bpe_49k.json", 1, 700_000, "\x00"
+#: Characters of text that become Python objects at a time.
+CHARS = 4_000_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -120,7 +122,7 @@ def encoder(path: str, end_id: int = END_ID, split: bool = True, most: int = MEM
     return _encoders[key]
 
 
-def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about so much text, at least one row each: Python objects stay few."""
     column = batch.column(text_col)
     ends: list[int] = []
