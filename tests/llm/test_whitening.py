@@ -59,7 +59,7 @@ def test_odd_vectors(spark, wide, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6).withColumns({c: F.lit("clash") for c in ("N", "deviation", "__whitened_", "c0")})
     good = [x for x in rows if x[0] not in (205, 206, 207)]  # entries without a whole number, and other lengths
     out, fitted = whitening.whiten(table)
-    assert out.where("c0 = 'clash'").count() == 113 and fitted.vectors.shape == (5, 3)  # two dimensions do not vary
+    assert out.where("c0 = 'clash'").count() == 112 and fitted.vectors.shape == (5, 1 if wide else 3)  # two dimensions do not vary; beside the wide one all others are rounding
     if wide:
         _, deviation, _, _ = plain(good)
         assert {x.vec_id: x.deviation for x in out.collect()} == {i: d if d < 2**63 else None for i, d in deviation.items()}
