@@ -19,4 +19,4 @@ QUERIES = {
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
-SQL = {"op1_quality": quality.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
+SQL = {"op1_quality": quality.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_sharding": sharding.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_line_dedup": line_dedup.ORACLE}

@@ -71,10 +71,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-#: crc32 is not among DuckDB's functions; tests compare that column with zlib's.
-ORACLE = None
 ORACLE_SQL = f"""
 WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}|' || doc_id)) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents),
 p AS (SELECT doc_id, row_number() OVER (ORDER BY (2 * k - 1)::HUGEINT * {2**40} // (2 * n), source NULLS LAST, k) - 1 AS position, count(*) OVER () AS total FROM r)
 SELECT doc_id, (position * {SHARDS} // total)::INT AS shard, position - (((position * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS}) AS slot FROM p
 """
+#: The same with the other columns. crc32 is not among DuckDB's functions: a table of its 256 steps, made by rule, is applied to the bytes of each text.
+ORACLE = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+s AS (
+  SELECT doc_id, octet_length(encode(x)) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM d, crc)
+SELECT s.doc_id, s.size::BIGINT AS size, s.text_crc32, 'rows' AS law, o.shard, o.slot, NULL::INT AS grown_shard
+FROM s JOIN ({ORACLE_SQL}) o ON o.doc_id = s.doc_id
+"""
