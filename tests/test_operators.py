@@ -386,3 +386,19 @@ def test_scalars(spark):
     assert rows(one, S.scenario_family(F.lit("pair-0004"), ["a", "b", "c"]), S.scenario_family(F.lit("none"), ["a"])) == [("b", None)]
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (2.0,)], "v double")
     assert rows(odd, S.filled(F.col("v"), 7.0)) == [(7.0,), (7.0,), (7.0,), (2.0,)]
+
+
+def test_review_of_rows_with_their_rules(spark):
+    s = spark.createDataFrame([(1, False, ["soft"]), (2, True, []), (3, False, ["hard", "soft"])], "k int, above boolean, rules array<string>")
+    p = spark.createDataFrame([("soft", "soft"), ("hard", "hard")], "rule_id string, category string")
+    out = rules.review_rows(s, p)
+    assert {r.k: (r.outcome, r.reasons) for r in out.collect()} == {1: ("no_review", ""), 2: ("review_recommended", "model-threshold"), 3: ("mandatory_review", "hard-rule.hard.v1")}
+    with pytest.raises(Exception, match="ungoverned"):
+        rules.review_rows(spark.createDataFrame([(1, True, ["x"])], "k int, above boolean, rules array<string>"), p).collect()
+
+
+def test_pairs_of_hands(spark):
+    h = spark.createDataFrame([(1, [(3, 1.0), (1, 2.0), (2, 3.0)]), (2, [(5, 1.0)]), (3, [])], "hand_id int, seats array<struct<player_id: long, won_amount: double>>")
+    got = pairs.pairs_of_hands(h, ("won_amount",))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 2.0, 3.0), (1, 1, 3, 2.0, 1.0), (1, 2, 3, 3.0, 1.0)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -225,3 +225,37 @@ def test_common_neighbours_both_ways(ranges):
     want = {(a, b): (len(near[a] & near[b]), round(len(near[a] & near[b]) / max(1, len((near[a] | near[b]) - {a, b})), 9)) for a, b in edges}
     for dense in (False, True, None):
         assert {(x.player_a, x.player_b): (x.shared, round(x.jaccard, 9)) for x in graph.coplayer_jaccard(df, dense).collect()} == want
+
+
+@pytest.mark.parametrize("most", [100, 100_000])
+def test_few_hot_keys_among_others(ranges, monkeypatch, most):
+    """Keys of hot buckets go by ranges, the others by one exchange; both give the same."""
+    monkeypatch.setattr(slices, "HOT", most)
+    r = random.Random(4)
+    rows = [(r.choice([None, "hot", "hot", "hot", *"abcdefgh"]), i % 40, i, r.choice([None, r.randrange(9)])) for i in range(700)]
+    df = ranges.createDataFrame(rows, "k string, g int, t int, v long").repartition(5)
+    hot = slices.hot_buckets(df, ["k"])
+    assert len(hot) == (most == 100)
+    out = slices.before(df, ["k"], [F.col("t")], sums={"n": F.lit(1)}, lasts={"last": F.col("v")}, hot=hot)
+    seen, want = collections.defaultdict(lambda: [None, None]), {}
+    for k, _, t, v in rows:
+        want[t] = tuple(seen[k])
+        seen[k] = [(seen[k][0] or 0) + 1, v if v is not None else seen[k][1]]
+    assert {x.t: (x.n, x["last"]) for x in out.collect()} == want
+
+
+def test_histories_take_one_exchange_of_the_pairs(ranges, monkeypatch):
+    from tideglass.operators import history
+
+    r = random.Random(5)
+    rows = [(i, 1 + i % 3, 5 + i % 2, r.randrange(3), T0 + timedelta(days=r.randrange(40)), float(r.randrange(4)), float(r.randrange(4)), *(r.random() < 0.5 for _ in range(3))) for i in range(200)]
+    df = ranges.createDataFrame(rows, "hand_id long, player_a long, player_b long, table_id long, played_at timestamp, won_amount_a double, won_amount_b double, a_fold_b_win boolean, b_fold_a_win boolean, both_saw_flop boolean")
+    out = history.pair_history(df, ("player_a", "player_b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    got = {x.hand_id: (x.pair_hands, x.same_table_rate, x.a_fold_b_win_rate) for x in out.collect()}
+    monkeypatch.setattr(slices, "HOT", 10)
+    assert got == {x.hand_id: (x.pair_hands, x.same_table_rate, x.a_fold_b_win_rate) for x in history.pair_history(df, ("player_a", "player_b")).collect()}
+    for h, a, b, t, at, *_ in rows:
+        before = [x for x in rows if x[1:3] == (a, b) and (x[4], x[0]) < (at, h)]
+        assert got[h][:2] == (len(before), round(sum(x[3] == t for x in before) / max(1, len(before)), 9))

@@ -39,6 +39,11 @@ def rules_only_score(coerce: bool = True) -> Column:
 
 def rule_evidence(pairs: DataFrame, keys: list[str], enabled: list[str] | None = None) -> DataFrame:
     """One row for each enabled rule that a pair fires: the keys, rule_id, rule_version, observed value and raw score. None: all rules."""
+    return pairs.select(*keys, F.explode(fired(enabled)).alias("x")).select(*keys, "x.*")
+
+
+def fired(enabled: list[str] | None = None) -> Column:
+    """The enabled rules that a pair fires, as an array of structs: rule_id, rule_version, observed, raw_score."""
     rules = [r for r in PAIR_RULES if enabled is None or r[0] in enabled]
     rows = []
     for rule, feature, comparison, limit, times in rules:
@@ -46,7 +51,7 @@ def rule_evidence(pairs: DataFrame, keys: list[str], enabled: list[str] | None =
         v = F.when(v.between(0, 1), v).otherwise(F.raise_error(F.lit(f"{rule}: {feature} must be in [0, 1]")).cast("double"))
         fires = (v == limit) if comparison == "eq" else (v > limit)
         rows.append(F.when(fires, F.struct(F.lit(rule).alias("rule_id"), F.lit(1).alias("rule_version"), v.alias("observed"), (v * times).alias("raw_score"))))
-    return pairs.select(*keys, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
 def evidence_id(parts: dict[str, Column]) -> Column:
@@ -96,8 +101,8 @@ def score_hands(pairs: DataFrame, threshold: float, probability: str = "probabil
 
     pairs: hand_id, num_players, player_a, player_b, probability.
     """
-    g = pairs.groupBy("hand_id").agg(F.max(probability).alias("hand_score"), F.count(F.lit(1)).alias("pairs"), F.max("num_players").alias("n"), F.count_distinct("num_players").alias("kinds"))
-    whole = (F.col("kinds") == 1) & (F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2)
+    g = pairs.groupBy("hand_id").agg(F.max(probability).alias("hand_score"), F.count(F.lit(1)).alias("pairs"), F.max("num_players").alias("n"), F.min("num_players").alias("least"))
+    whole = F.coalesce(F.col("n") == F.col("least"), F.lit(False)) & (F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2)
     if strict:
         whole = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("pairs are missing in hand "), F.col("hand_id").cast("string"))).cast("boolean"))
     return g.where(whole).select("hand_id", "hand_score", (F.col("hand_score") >= threshold).alias("alert"), "pairs")
@@ -121,6 +126,17 @@ def review(scores: DataFrame, evidence: DataFrame, policy: DataFrame, keys: list
     category = F.coalesce("category", F.raise_error(F.concat(F.lit("ungoverned rule "), F.col("rule_id"))).cast("string"))
     governed = evidence.join(F.broadcast(policy), "rule_id", "left").withColumn("category", category)  # a policy is a short list
     hard = governed.where("category = 'hard'").groupBy(*keys).agg(F.array_sort(F.collect_set(F.concat(F.lit("hard-rule."), "rule_id", F.lit(".v1")))).alias("hard"))
-    out = scores.join(hard, keys, "left")
+    return _decided(scores.join(hard, keys, "left"))
+
+
+def review_rows(scores: DataFrame, policy: DataFrame) -> DataFrame:
+    """review() of rows that carry the ids of their own rules, in an array `rules`: no exchange. The array goes."""
+    entries = policy.agg(F.map_from_entries(F.collect_set(F.struct("rule_id", "category"))).alias("policy"))  # one row, as long as the list of rules
+    category = lambda x: F.coalesce(F.col("policy")[x], F.raise_error(F.concat(F.lit("ungoverned rule "), x)).cast("string"))
+    hard = F.array_sort(F.array_distinct(F.transform(F.filter("rules", lambda x: category(x) == "hard"), lambda x: F.concat(F.lit("hard-rule."), x, F.lit(".v1")))))
+    return _decided(scores.crossJoin(F.broadcast(entries)).withColumn("hard", F.when(F.size(hard) > 0, hard)).drop("policy", "rules"))
+
+
+def _decided(out: DataFrame) -> DataFrame:
     reasons = F.concat(F.when(F.col("above"), F.array(F.lit("model-threshold"))).otherwise(F.array().cast("array<string>")), F.coalesce("hard", F.array().cast("array<string>")))
     return out.withColumn("outcome", F.when(F.col("hard").isNotNull(), "mandatory_review").when(F.col("above"), "review_recommended").otherwise("no_review")).withColumn("reasons", F.concat_ws(",", reasons)).drop("hard")
