@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.operators.order import indexed
+from tideglass.operators.components import connected_components
 from tideglass.sources.scratch import discard, written
 
 TEMPORAL = ((0.70, "train"), (0.15, "validation"))
@@ -80,26 +81,14 @@ def order_audit(assigned: DataFrame, time: str = "played_at") -> DataFrame:
     return s.withColumn("crosses", F.coalesce(F.col("first") < F.lag("last").over(Window.orderBy("rank")), F.lit(False))).drop("rank")  # three rows
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
-    """node and component, its smallest member, by passing the smallest label on until nothing changes.
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """node and component, its smallest member, by large star and small star: the rounds grow with the logarithm of the nodes, however long the paths are.
 
-    In each round a node takes the least label of its neighbours and the label of its label, so that paths shorten by half. Edges with a
-    null end count for nothing. Each round is a written table; the one before goes. One number a round reaches the driver.
+    Edges with a null end count for nothing; a node with a loop alone is a component.
     """
-    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = written(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("to")).agg(F.min("label").alias("least"))
-        of = labels.select(F.col("node").alias("l"), F.col("label").alias("far"))
-        new = labels.join(near, F.col("node") == F.col("to"), "left").join(of, F.col("label") == F.col("l"), "left")
-        new = written(new.select("node", F.least("label", "least", "far").alias("label"), F.col("label").alias("old")), "labels")
-        discard(labels)
-        labels = new
-        if new.where("label <> old").isEmpty():
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    both = written(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), "given")
+    alone = both.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    return connected_components(both, most_rounds).unionAll(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def cold_start(hands: DataFrame, members: DataFrame, hand: str = "hand_id", member: str = "player_id", turn: Column | None = None) -> DataFrame:
