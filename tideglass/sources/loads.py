@@ -23,9 +23,13 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str)
 
 
 def delete_then_append(old: DataFrame, new: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Old without any row of the new rows' values of column, then the new rows; and how many rows were deleted."""
-    gone = old.join(new.select(column).distinct(), column, "left_semi").count()
-    return upsert(old, new, [column]), gone
+    """Old without any row of the new rows' values of column, then the new rows; and how many rows were deleted.
+
+    What is joined is the distinct values, and old is counted by value first: a value that many rows of both sides share is met once.
+    """
+    values = new.select(column).distinct()
+    gone = old.groupBy(column).agg(F.count(F.lit(1)).alias("n")).join(values, column, "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return old.join(values, column, "left_anti").unionByName(new), gone
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
