@@ -402,3 +402,44 @@ def test_pairs_of_hands(spark):
     got = pairs.pairs_of_hands(h, ("won_amount",))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 2.0, 3.0), (1, 1, 3, 2.0, 1.0), (1, 2, 3, 3.0, 1.0)]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_a_long_path_in_few_rounds(spark):
+    import random
+
+    ids = list(range(600))
+    random.Random(3).shuffle(ids)
+    e = spark.createDataFrame([*zip(ids, ids[1:]), (700, 700), (701, 700), (800, 800), (None, 5)], "a long, b long")
+    assert dict(rows(splits.components(e, most_rounds=12), "node", "component")) == {**{i: 0 for i in range(600)}, 700: 700, 701: 700, 800: 800}
+
+
+def test_nearest_vectors_hold_blocks_only(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    v = np.round(r.normal(size=(3000, 4)), 1)
+    v[2000:] = v[:1000]  # many ties
+    asked = [(i, v[i].tolist()) for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(3000)), "v": v.tolist()})
+    tracemalloc.start()
+    (found,) = graph._nearest(asked, 3, block=256)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 3000 queries times 3000 rows would be 72 MB a matrix
+    known = v / np.linalg.norm(v, axis=1)[:, None]
+    got = {}
+    for q, f, c in zip(*(found.column(n).to_pylist() for n in ("query_id", "found_id", "cosine")), strict=True):
+        got.setdefault(q, []).append((-c, f))
+    for q in range(0, 3000, 97):
+        c = np.round(known @ known[q], 6)
+        assert [f for _, f in sorted(got[q])] == [f for f in np.lexsort((np.arange(3000), -c)) if f != q][:3]
+
+
+def test_replaced_values_that_many_rows_share(spark):
+    old = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "P").otherwise("F").alias("s"), "id")
+    kept, gone = loads.delete_then_append(old, old.where("id % 3 = 0").withColumn("s", F.lit("P")), "s")
+    assert gone == 10_000 and kept.count() == 10_000 + 6667 and kept.where("s = 'F'").count() == 10_000
+    assert "aggregate" in kept._jdf.queryExecution().optimizedPlan().toString().lower()  # distinct values are joined
