@@ -259,3 +259,22 @@ def test_histories_take_one_exchange_of_the_pairs(ranges, monkeypatch):
     for h, a, b, t, at, *_ in rows:
         before = [x for x in rows if x[1:3] == (a, b) and (x[4], x[0]) < (at, h)]
         assert got[h][:2] == (len(before), round(sum(x[3] == t for x in before) / max(1, len(before)), 9))
+
+
+@pytest.mark.parametrize("peers", ["order", "all"])
+def test_fold_windows_of_hot_and_other_pairs(ranges, monkeypatch, peers):
+    from tideglass.operators import history
+
+    r = random.Random(6)
+    rows = [(i, r.choice(["hot", "hot", "b", "c"]), T0 + timedelta(hours=r.randrange(90)), r.random() < 0.6, r.random() < 0.3) for i in range(120)]
+    df = ranges.createDataFrame(rows, "hand_id long, pair_key string, played_at timestamp, a_fold_b_win boolean, b_fold_a_win boolean")
+    out = history.fold_rule(df, hours=24, peers=peers)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    of = lambda d: {x.hand_id: (x.window_n, x.window_a, x.window_b) for x in d.collect()}
+    got = of(out)
+    for h, k, at, *_ in rows:
+        inside = [x for x in rows if x[1] == k and at - timedelta(hours=24) <= x[2] <= at and (peers == "all" or (x[2], x[0]) <= (at, h))]
+        assert got[h] == (len(inside), sum(x[3] for x in inside), sum(x[4] for x in inside))
+    monkeypatch.setattr(slices, "HOT", 40)
+    assert of(history.fold_rule(df, hours=24, peers=peers)) == got
