@@ -28,8 +28,8 @@ def hole_features(cards: Column) -> dict[str, Column]:
     return {k: F.when(known, v.cast("double")).otherwise(F.lit(0.0)) for k, v in found.items()}
 
 
-def street_features(actions: DataFrame) -> DataFrame:
-    """Per (hand_id, player_id): counts, money and aggression on each street, in one aggregation without a pivot or an outer join."""
+def street_features(actions: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """Per (hand_id, player_id): counts, money and aggression on each street, and more aggregates, in one aggregation without a pivot or an outer join."""
     on = lambda s, cond=None: F.col("street") == s if cond is None else (F.col("street") == s) & cond
     aggs = []
     for s in STREETS:
@@ -38,7 +38,7 @@ def street_features(actions: DataFrame) -> DataFrame:
         aggs.append(F.sum(F.when(on(s), F.col("amount")).otherwise(0.0)).alias(f"{s}_invested"))
         aggs.append(F.count_if(on(s)).alias(f"__{s}"))
     aggs += [F.sum("amount").alias("total_invested"), F.min(F.when(F.col("action_type") == "fold", F.array_position(F.array(*map(F.lit, STREETS)), F.col("street")))).alias("__fold")]
-    out = actions.groupBy("hand_id", "player_id").agg(*aggs)
+    out = actions.groupBy("hand_id", "player_id").agg(*aggs, *(more or []))
     for s in STREETS:
         out = out.withColumn(f"{s}_aggression", (F.col(f"{s}_bets") + F.col(f"{s}_raises")) / (F.col(f"{s}_calls") + F.col(f"{s}_checks") + EPS))
     saw = {f"saw_{s}": (F.col(f"__{s}") > 0).cast("int") for s in STREETS[1:]}
@@ -55,7 +55,11 @@ def hand_features(hands: DataFrame, actions: DataFrame) -> DataFrame:
 
 def player_hand_features(hands: DataFrame, actions: DataFrame, players: DataFrame, big_blind: float = 2.0) -> DataFrame:
     """One row for each player of a hand. Who did not act on a street has 0 there. Three exchanges by hand or (hand, player)."""
-    wide = players.join(street_features(actions), ["hand_id", "player_id"], "left").join(hand_features(hands, actions), "hand_id", "left")
+    return with_hand_features(players.join(street_features(actions), ["hand_id", "player_id"], "left").join(hand_features(hands, actions), "hand_id", "left"), big_blind)
+
+
+def with_hand_features(wide: DataFrame, big_blind: float = 2.0) -> DataFrame:
+    """The rest of player_hand_features(), of rows that have the player's, the streets' and the hand's columns."""
     numbers = [c for c, t in wide.dtypes if t in ("double", "int", "bigint") and c not in ("hand_id", "player_id")]
     wide = wide.fillna(0, subset=numbers)
     seat = F.coalesce(F.create_map(*[F.lit(x) for p in SEAT_INDEX.items() for x in p])[F.col("position")], F.lit(0))
@@ -68,8 +72,8 @@ def player_hand_features(hands: DataFrame, actions: DataFrame, players: DataFram
     })
 
 
-def rule_flags(features: DataFrame) -> DataFrame:
-    """Flags, score and the triggered rules of each player-hand; with fewer than three players nothing is triggered."""
+def flagged(features: DataFrame) -> DataFrame:
+    """The features with flags, score and the triggered rules of each player-hand; with fewer than three players nothing is triggered."""
     eligible = F.col("num_players_hand") >= 3
     post = sum((F.col(f"{s}_bets") + F.col(f"{s}_raises") for s in STREETS[1:]), F.lit(0.0)) / (sum((F.col(f"{s}_calls") + F.col(f"{s}_checks") for s in STREETS[1:]), F.lit(0.0)) + EPS)
     fold = F.col("first_fold_street")
@@ -83,4 +87,9 @@ def rule_flags(features: DataFrame) -> DataFrame:
     on = {k: F.coalesce(eligible & v, F.lit(False)) for k, v in flags.items()}
     score = sum((F.when(v, RULE_WEIGHTS[k]).otherwise(0) for k, v in on.items()), F.lit(0))
     triggered = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]), lambda x: x.isNotNull())
-    return features.select("hand_id", "player_id", *[v.alias(k.lower()) for k, v in on.items()], score.cast("long").alias("rule_score"), triggered.alias("triggered"))
+    return features.withColumns({k.lower(): v for k, v in on.items()} | {"rule_score": score.cast("long"), "triggered": triggered})
+
+
+def rule_flags(features: DataFrame) -> DataFrame:
+    """Of flagged() the flags, score and triggered rules alone."""
+    return flagged(features).select("hand_id", "player_id", *[k.lower() for k in RULES], "rule_score", "triggered")

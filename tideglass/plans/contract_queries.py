@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import identifier
 from tideglass.operators import features, graph, history, metrics, rules, splits
-from tideglass.plans.hand_queries import CURRENT, FLAGS, current, player_hands
+from tideglass.plans.hand_queries import CURRENT, FLAGS, folds, player_hands
 from tideglass.plans.registry import query
 from tideglass.sources import files, loads
 from tideglass.sources import testbed as T
@@ -42,7 +42,7 @@ def _drift(spark: SparkSession, d: str) -> DataFrame:
 SELECT hand_id, pair_key, n AS window_n, greatest(a, b)::BIGINT AS fold_count, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS direction, round_even(greatest(a, b) / n, 9) AS fold_rate, n >= 5 AND greatest(a, b) >= 3 AND round_even(greatest(a, b) / n, 9) >= 0.6 AS fired FROM w""",
 )
 def _fold_peers(spark: SparkSession, d: str) -> DataFrame:
-    return history.fold_rule(current(spark, d), hours=8760, peers="all").select("hand_id", "pair_key", "window_n", "fold_count", "direction", "fold_rate", "fired")
+    return folds(spark, d, "all").select("hand_id", "pair_key", "window_n", "fold_count", "direction", "fold_rate", "fired")
 
 
 @query(
@@ -53,8 +53,7 @@ e AS (SELECT *, least(greatest(0.12 * score / 120 + 0.23 * m1 + 0.23 * m2 + 0.23
 SELECT hand_id, player_id, round(r, 6) AS risk_score, CASE WHEN r >= 0.75 THEN 'HIGH' WHEN r >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, round(m1, 6) AS m1, score::DOUBLE AS rule_score, 'batch' AS source FROM e WHERE r >= 0.4""",
 )
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
-    f = player_hands(spark, d)
-    s = f.join(features.rule_flags(f).select("hand_id", "player_id", "rule_score"), ["hand_id", "player_id"])
+    s = features.flagged(player_hands(spark, d))
     models = {"m1": F.col("hand_strength"), "m2": F.least(F.lit(1.0), "total_aggression"), "m3": F.least(F.lit(1.0), "total_invest_ratio"), "m4": F.col("saw_river"), "m5": F.col("is_late")}
     a = rules.alerts(s, models, F.col("rule_score"), 0.4)
     return a.select("hand_id", "player_id", F.round("risk_score", 6).alias("risk_score"), "risk_level", F.round("model_scores.m1", 6).alias("m1"), "model_scores.rule_score", "model_scores.source")
