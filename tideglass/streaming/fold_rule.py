@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -41,6 +43,7 @@ class PairWindow:
 
     def __init__(self, rule: FoldRule, seen: dict | None = None, newest: int | None = None) -> None:
         self.rule, self.seen, self.newest = rule, seen or {}, newest
+        self.least = min((o[0] for _, o in self.seen.values()), default=None)  # no hand is older
 
     def status(self, hand: int, revision: int, observed: tuple, mark: int | None) -> str:
         known = self.seen.get(hand)
@@ -65,14 +68,20 @@ class PairWindow:
             self.seen[hand] = (revision, observed)
             self.newest = observed[0] if self.newest is None else max(self.newest, observed[0])
             oldest = self.newest - self.rule.correction_hours * HOUR
-            for h in [h for h, (_, o) in self.seen.items() if o[0] < oldest]:
-                del self.seen[h]
-        start = observed[0] - self.rule.window_hours * HOUR
-        window = [o for _, o in self.seen.values() if start <= o[0] <= observed[0]]
-        a, b = sum(o[1] for o in window), sum(o[2] for o in window)
-        rate = round(max(a, b) / len(window), 9) if window else 0.0
-        fired = len(window) >= self.rule.min_hands and max(a, b) >= self.rule.min_count and rate >= self.rule.min_rate
-        return status, len(window), "a" if a >= b else "b", max(a, b), rate, fired
+            self.least = observed[0] if self.least is None else min(self.least, observed[0])
+            if self.least < oldest:
+                for h in [h for h, (_, o) in self.seen.items() if o[0] < oldest]:
+                    del self.seen[h]
+                self.least = min((o[0] for _, o in self.seen.values()), default=None)
+        end, n, a, b = observed[0], 0, 0, 0
+        start = end - self.rule.window_hours * HOUR
+        for _, o in self.seen.values():
+            if start <= o[0] <= end:
+                n, a, b = n + 1, a + o[1], b + o[2]
+        most = max(a, b)
+        rate = round(most / n, 9) if n else 0.0
+        fired = n >= self.rule.min_hands and most >= self.rule.min_count and rate >= self.rule.min_rate
+        return status, n, "a" if a >= b else "b", most, rate, fired
 
 
 def _observed(r: object) -> tuple:
@@ -144,18 +153,26 @@ def fold_replay(deliveries: DataFrame, rule: FoldRule | None = None) -> DataFram
     """
     rule, columns = rule or FoldRule(), ["scope", "pair_key", "hand_id", "snapshot_revision", "arrived", "a_fold_b_win", "b_fold_a_win", "event_id"]
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, window = None, None
+    names = ("hand_id", "snapshot_revision", "mark", "played", "a_fold_b_win", "b_fold_a_win", "event_id")
+    answer = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.bool_()]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, window = None, None
         for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                if key != (r.scope, r.pair_key):
-                    key, window = (r.scope, r.pair_key), PairWindow(rule)
-                mark = None if pd.isna(r.mark) else int(r.mark)
-                out.append((*key, r.hand_id, r.snapshot_revision, r.arrived, *window.take(int(r.hand_id), int(r.snapshot_revision), _observed(r), mark)))
-            yield pd.DataFrame(out, columns=NAMES)
+            if not batch.num_rows:
+                continue
+            scope, pair = batch.column("scope"), batch.column("pair_key")
+            other = pc.or_(pc.not_equal(scope[1:], scope[:-1]), pc.not_equal(pair[1:], pair[:-1])).to_pylist()
+            other.insert(0, last != (scope[0].as_py(), pair[0].as_py()))
+            last, out = (scope[-1].as_py(), pair[-1].as_py()), []
+            for new, hand, revision, mark, *observed in zip(other, *(batch.column(c).to_pylist() for c in names), strict=True):
+                if new:
+                    window = PairWindow(rule)
+                out.append(window.take(hand, revision, tuple(observed), mark))
+            keys = [batch.column(c) for c in NAMES[:5]]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), answer, strict=True))], NAMES)
 
     rows = deliveries.where("scope is not null and pair_key is not null and hand_id is not null and played_at is not null")
     rows = rows.select(*columns, F.unix_micros(F.col("played_at").cast("timestamp")).alias("played"), F.unix_micros(F.col("watermark").cast("timestamp")).alias("mark"))
     rows = rows.fillna(False, subset=["a_fold_b_win", "b_fold_a_win"])
-    return rows.repartition("scope", "pair_key").sortWithinPartitions("scope", "pair_key", "arrived").mapInPandas(replay, OUT)
+    return rows.repartition("scope", "pair_key").sortWithinPartitions("scope", "pair_key", "arrived").mapInArrow(replay, OUT)
