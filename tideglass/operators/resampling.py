@@ -1,7 +1,7 @@
 """Bootstrap of ranking metrics: all replicates in one pass over the rows in the order of their scores.
 
 A replicate gives each group (a hand) a weight, Poisson(1) from the digits of an md5, so whole groups are drawn and SQL can draw the same. Rows are sorted by score in ranges
-and never multiplied: a row carries its replicates as a vector of small numbers. The ranges' totals, one row a range, are summed up to what lies before each range, and
+and never multiplied: a row carries its replicates as a vector of small numbers, drawn before the sort, where rows of a group often lie together, and once for all scores. The ranges' totals, one row a range, are summed up to what lies before each range, and
 a second pass adds up each range's share of every metric. A score that a third of the rows share lies in many ranges: its total is summed over them.
 """
 
@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tideglass.sources.scratch import written
+from tideglass.sources.scratch import discard, written
 
 METRICS = ("pr_auc", "roc_auc", "brier_score", "precision", "recall", "f1", "alert_rate", "recall_at_alert_budget", "precision_at_alert_budget", "false_positives_per_1000_hands")
 CHUNK = 2_000
@@ -39,15 +41,25 @@ def weights_of(groups: list, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(poisson_limits()), numbers, "right").astype(np.uint8)
 
 
-def _chunks(batches: Iterator[pd.DataFrame], replicates: int, seed: int) -> Iterator[pd.DataFrame]:
+def _drawn(batches: Iterator[pa.RecordBatch], replicates: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their weights in place of their group; those of a batch's group are drawn once."""
+    for batch in batches:
+        if batch.num_rows:
+            groups = batch.column("grp").dictionary_encode()
+            w = weights_of(groups.dictionary.to_pylist(), replicates, seed)[groups.indices.to_numpy()]
+            names = [n for n in batch.schema.names if n != "grp"]
+            vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(replicates), len(w), [None, pa.py_buffer(np.ascontiguousarray(w))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), vectors.cast(pa.binary())], [*names, "w"])
+
+
+def _chunks(batches: Iterator[pd.DataFrame], replicates: int) -> Iterator[pd.DataFrame]:
     """Sorted rows as chunks with their weights, and at the end of a range its totals and those of its first and last score."""
     part, total, ends, number = None, np.zeros((2, replicates), np.int64), {}, 0
     for batch in batches:
         for k in range(0, len(batch), CHUNK):
             rows = batch.iloc[k : k + CHUNK]
             part = int(rows["part"].iloc[0])
-            unique, which = np.unique(rows["grp"].to_numpy(str), return_inverse=True)
-            w = weights_of(unique.tolist(), replicates, seed)[which]
+            w = np.frombuffer(b"".join(rows["w"]), np.uint8).reshape(len(rows), replicates)
             y, score = rows["y"].to_numpy(np.int64), rows["score"].to_numpy(float)
             both = np.stack([(w * y[:, None]).sum(0), w.sum(0, dtype=np.int64)])
             total += both
@@ -128,13 +140,28 @@ def replicate_metrics(rows: DataFrame, replicates: int = 200, seed: int = 7, *,
     The budget is max_alert_rate of the drawn rows, rounded down, one at least, in the order of falling scores and then `tie`; rows equal in both may change places. Equal scores count as one
     step of the curves. Rows without a label, score or group are an error of the caller's and are left out. An empty table gives an empty one.
     """
-    spark = rows.sparkSession
-    kept = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull() & F.col(group).isNotNull())
-    kept = kept.select(F.col(score).cast("double").alias("score"), F.col(tie).alias("tie"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(fired), F.lit(False)).alias("fired"), F.col(group).cast("string").alias("grp"))
-    hands = kept.agg(F.count_distinct("grp")).first()[0]
+    drawn, (hands,) = _draw(rows, (score,), replicates, seed, label, fired, group, tie)
+    out = _metrics(drawn, "score0", hands, replicates, max_alert_rate)
+    discard(drawn)
+    return out
+
+
+def _draw(rows: DataFrame, scores: tuple[str, ...], replicates: int, seed: int, label: str, fired: str, group: str, tie: str) -> tuple[DataFrame, list[int]]:
+    """The rows as a table with score0 and so on, tie, y, fired and their weights w, and how many groups each score is known in."""
+    names = [f"score{i}" for i in range(len(scores))]
+    kept = rows.where(F.col(label).isNotNull() & F.col(group).isNotNull() & F.coalesce(*scores).isNotNull())
+    kept = kept.select(*[F.col(c).cast("double").alias(n) for c, n in zip(scores, names, strict=True)], F.col(tie).alias("tie"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(fired), F.lit(False)).alias("fired"), F.col(group).cast("string").alias("grp"))
+    known = kept.groupBy("grp").agg(*[F.bool_or(F.col(n).isNotNull()).alias(n) for n in names])
+    hands = list(known.agg(*[F.count_if(n).alias(n) for n in names]).first())
+    schema = StructType([f for f in kept.schema.fields if f.name != "grp"] + [StructField("w", BinaryType())])
+    return written(kept.mapInArrow(lambda b: _drawn(b, replicates, seed), schema), "drawn"), hands
+
+
+def _metrics(drawn: DataFrame, score: str, hands: int, replicates: int, max_alert_rate: float) -> DataFrame:
+    spark, kept = drawn.sparkSession, drawn.where(F.col(score).isNotNull()).select(F.col(score).alias("score"), "tie", "y", "fired", "w")
     ranges = kept.orderBy(F.desc("score"), "tie").withColumn("part", F.spark_partition_id()).drop("tie")
     schema = "part int, number int, score binary, y binary, fired binary, w binary, summary binary"
-    chunks = written(ranges.mapInPandas(lambda b: _chunks(b, replicates, seed), schema), "chunks")
+    chunks = written(ranges.mapInPandas(lambda b: _chunks(b, replicates), schema), "chunks")
     before, tied, total = {}, {}, np.zeros((2, replicates), np.int64)
     for r in chunks.where("number = -1").select("part", "score", "summary").orderBy("part").collect():  # one row a range
         sums = np.frombuffer(r.summary, np.int64).reshape(-1, 2, replicates)
@@ -144,10 +171,12 @@ def replicate_metrics(rows: DataFrame, replicates: int = 200, seed: int = 7, *,
             tied[s] = (first, had + got)
     result = "replicate int, " + ", ".join(f"{m} double" for m in METRICS)
     if not before:
+        discard(chunks)
         return spark.createDataFrame([], result)
     allowed = np.maximum(1, np.floor(total[1] * max_alert_rate))
     shares = chunks.where("number >= 0").repartition("part").sortWithinPartitions("part", "number")
     found = shares.mapInPandas(lambda b: _shares(b, before, tied, total, allowed, replicates), "part int, shares binary").orderBy("part").collect()  # one row a range
+    discard(chunks)
     x = dict(zip(SHARES, sum(np.frombuffer(f.shares).reshape(len(SHARES), replicates) for f in found), strict=True))
     pos, every = total[0].astype(float), total[1].astype(float)
     over = lambda a, b, empty=None: [float(u / v) if v > 0 else empty for u, v in zip(a, b, strict=True)]
@@ -185,8 +214,12 @@ def intervals(replicated: DataFrame, confidence: float = 0.95) -> DataFrame:
     return long.groupBy("metric").agg(q.alias("q"), F.count("v").alias("effective")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "effective")
 
 
-def paired_differences(rows: DataFrame, candidate: str, baseline: str, replicates: int = 200, seed: int = 7, **options: object) -> DataFrame:
+def paired_differences(
+    rows: DataFrame, candidate: str, baseline: str, replicates: int = 200, seed: int = 7, *, max_alert_rate: float = 0.02, label: str = "label", fired: str = "fired", group: str = "hand_id", tie: str = "row_id",
+) -> DataFrame:
     """Intervals of the differences of METRICS, candidate less baseline, over the same draws: as good as independent of how hard the drawn hands are."""
-    one, two = (replicate_metrics(rows, replicates, seed, score=s, **options) for s in (candidate, baseline))
+    drawn, hands = _draw(rows, (candidate, baseline), replicates, seed, label, fired, group, tie)
+    one, two = (_metrics(drawn, f"score{i}", hands[i], replicates, max_alert_rate) for i in range(2))
+    discard(drawn)
     both = one.join(two.select("replicate", *[F.col(m).alias(f"{m}__base") for m in METRICS]), "replicate")
     return intervals(both.select("replicate", *[(F.col(m) - F.col(f"{m}__base")).alias(m) for m in METRICS]))
