@@ -101,7 +101,17 @@ def score_hands(pairs: DataFrame, threshold: float, probability: str = "probabil
 
     pairs: hand_id, num_players, player_a, player_b, probability.
     """
-    g = pairs.groupBy("hand_id").agg(F.max(probability).alias("hand_score"), F.count(F.lit(1)).alias("pairs"), F.max("num_players").alias("n"), F.min("num_players").alias("least"))
+    return whole_hands(hand_parts(pairs, probability), threshold, strict)
+
+
+def hand_parts(pairs: DataFrame, probability: str = "probability") -> DataFrame:
+    """What score_hands() takes of some of a hand's pairs."""
+    return pairs.groupBy("hand_id").agg(F.max(probability).alias("hand_score"), F.count(F.lit(1)).alias("pairs"), F.max("num_players").alias("n"), F.min("num_players").alias("least"))
+
+
+def whole_hands(parts: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """score_hands() of hand_parts() of all of the pairs."""
+    g = parts.groupBy("hand_id").agg(F.max("hand_score").alias("hand_score"), F.sum("pairs").alias("pairs"), F.max("n").alias("n"), F.min("least").alias("least"))
     whole = F.coalesce(F.col("n") == F.col("least"), F.lit(False)) & (F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2)
     if strict:
         whole = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("pairs are missing in hand "), F.col("hand_id").cast("string"))).cast("boolean"))
