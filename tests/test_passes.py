@@ -35,7 +35,7 @@ def same(spark, duck, name) -> None:  # noqa: F811
     assert sorted(got.columns) == columns and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["hand_score_rollup", "player_max_score", "highest_risk_pair"])
+@pytest.mark.parametrize("name", ["hand_score_rollup", "player_max_score", "highest_risk_pair", "review_policy"])
 def test_pairs_by_passes(spark, duck, passes, name):  # noqa: F811
     same(spark, duck, name)
     assert {what for what, n in passes if n > 1} == {"seated", "histories"}

@@ -44,16 +44,32 @@ def rule_evidence(pairs: DataFrame, keys: list[str], enabled: list[str] | None =
 
 def fired(enabled: list[str] | None = None) -> Column:
     """The enabled rules that a pair fires, as an array of structs: rule_id, rule_version, observed, raw_score."""
-    rules = [r for r in PAIR_RULES if enabled is None or r[0] in enabled]
     rows = []
-    for rule, feature, comparison, limit, times in rules:
-        v = F.col(feature).cast("double")
-        v = F.when(v.between(0, 1), v).otherwise(F.raise_error(F.lit(f"{rule}: {feature} must be in [0, 1]")).cast("double"))
-        fires = (v == limit) if comparison == "eq" else (v > limit)
-        rows.append(F.when(fires, F.struct(F.lit(rule).alias("rule_id"), F.lit(1).alias("rule_version"), v.alias("observed"), (v * times).alias("raw_score"))))
+    for rule, feature, comparison, limit, times in PAIR_RULES:
+        if enabled is None or rule in enabled:
+            v = _observed(rule, feature)
+            rows.append(F.when(_fires(v, comparison, limit), F.struct(F.lit(rule).alias("rule_id"), F.lit(1).alias("rule_version"), v.alias("observed"), (v * times).alias("raw_score"))))
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
+def _observed(rule: str, feature: str) -> Column:
+    v = F.col(feature).cast("double")
+    return F.when(v.between(0, 1), v).otherwise(F.raise_error(F.lit(f"{rule}: {feature} must be in [0, 1]")).cast("double"))
+
+
+def _fires(v: Column, comparison: str, limit: float) -> Column:
+    return (v == limit) if comparison == "eq" else (v > limit)
+
+
+def fires() -> dict[str, Column]:
+    """Of each rule whether a pair fires it, under fires_0, fires_1, …: a few bits of a row, where a table holds many. fired_ids() are the ids again."""
+    return {f"fires_{i}": _fires(_observed(rule, feature), comparison, limit) for i, (rule, feature, comparison, limit, _) in enumerate(PAIR_RULES)}
+
+
+def fired_ids() -> Column:
+    return F.filter(F.array(*[F.when(F.col(f"fires_{i}"), F.lit(r[0])) for i, r in enumerate(PAIR_RULES)]), lambda x: x.isNotNull())
+
+
 def evidence_id(parts: dict[str, Column]) -> Column:
     """The id of a rule's evidence that every system arrives at: a name-based UUID of its twelve parts. The revision is 1 unless given, the time is in UTC. A part that is null makes it null."""
     parts = {"observation_revision": F.lit(1)} | parts
