@@ -42,6 +42,13 @@ def filled(value: Column, fill: float) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(fill)).otherwise(v)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as C and DuckDB do, half away from zero of its product with the power of ten. F.round goes by the shortest decimal text, which is another number where the text ends in a five."""
+    y = F.abs(value) * F.lit(10.0**digits)
+    whole = F.floor(y).cast("double")
+    return F.signum(value) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+
+
 def metric_line(name: str, labels: dict[str, Column], value: Column) -> Column:
     """A line of a metrics page: name{label="value",...} value. Quotes, backslashes and line feeds in labels are escaped."""
     escape = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

@@ -140,11 +140,10 @@ def restored(current: DataFrame, snapshot: DataFrame, lost: DataFrame, key: str)
     return current.join(lost.select(key).distinct(), key, "left_anti").unionByName(back)
 
 
-def pattern_scores(pairs: DataFrame, colluding: DataFrame, normal: DataFrame) -> DataFrame:
-    """Score of each pair from its nearest neighbours: clip(max(c - n, c / 2), 0, 1), c and n the best cosines of the two sets.
+def pattern_scores(near: DataFrame) -> DataFrame:
+    """Score of each pair from its nearest neighbours: clip(max(c - n, c / 2), 0, 1), c and n the best cosines of the colluding and the normal set, 0 where null.
 
-    pairs: pair_id; colluding and normal: query_id, cosine, as cosine_top_k gives them.
+    near: pair_id, c and n, as best_cosines gives them.
     """
-    best = lambda df, name: df.groupBy(F.col("query_id").alias("pair_id")).agg(F.max("cosine").alias(name))
-    j = pairs.join(best(colluding, "c"), "pair_id", "left").join(best(normal, "n"), "pair_id", "left").fillna(0.0, subset=["c", "n"])
+    j = near.fillna(0.0, subset=["c", "n"])
     return j.withColumn("pattern_score", F.least(F.greatest(F.greatest(F.col("c") - F.col("n"), F.col("c") * 0.5), F.lit(0.0)), F.lit(1.0)))

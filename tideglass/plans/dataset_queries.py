@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.functions import scalars
-from tideglass.operators import datasets, graph, splits
+from tideglass.operators import datasets, nearest, splits
 from tideglass.plans.registry import query
 from tideglass.sources import files
 from tideglass.sources import testbed as T
@@ -118,13 +118,12 @@ def _restored(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query("pattern_scores", f"WITH s AS (SELECT a.vec_id AS pair_id, coalesce(max(CASE WHEN b.label < 3 THEN round({_NEAR}, 6) END), 0) AS c, coalesce(max(CASE WHEN b.label >= 3 THEN round({_NEAR}, 6) END), 0) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1) SELECT pair_id, round(least(greatest(greatest(c - n, c * 0.5), 0), 1), 5) AS pattern_score FROM s")
+@query("pattern_scores", f"WITH s AS (SELECT a.vec_id AS pair_id, coalesce(max(CASE WHEN b.label < 3 THEN round({_NEAR}, 6) END), 0) AS c, coalesce(max(CASE WHEN b.label >= 3 THEN round({_NEAR}, 6) END), 0) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1) SELECT pair_id, round(least(greatest(greatest(c - n, c * 0.5), 0), 1), 5) AS pattern_score FROM s")
 def _pattern(spark: SparkSession, d: str) -> DataFrame:
-    e = T.table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select("vec_id", "embedding")
-    near = lambda cond: graph.cosine_top_k(e.where(cond).select("vec_id", "embedding"), q, 1)
-    out = datasets.pattern_scores(q.select(F.col("vec_id").alias("pair_id")), near("label < 3"), near("label >= 3"))
-    return out.select("pair_id", F.round("pattern_score", 5).alias("pattern_score"))
+    group = F.when(F.col("label") < 3, 0).when(F.col("label") >= 3, 1)
+    near = nearest.best_cosines(T.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), group.alias("group")), ["c", "n"])
+    out = datasets.pattern_scores(near.select(F.col("id").alias("pair_id"), *[scalars.rounded(F.col(x), 6).alias(x) for x in "cn"]))
+    return out.select("pair_id", scalars.rounded(F.col("pattern_score"), 5).alias("pattern_score"))
 
 
 @query("metrics_page", "SELECT 'rule_firings{rule=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
