@@ -61,7 +61,7 @@ def test_one_id_has_nothing_to_be_near_to(spark):
     assert nearest.best_cosines(df.where("id > 1"), ["c", "n"]).collect() == []
 
 
-@pytest.mark.parametrize("many", [0, 1, 32])
+@pytest.mark.parametrize("many", [0, 1, 8])
 def test_products_that_may_be_the_largest_are_taken_in_doubles(monkeypatch, many):
     """Rows nearer to each other than short floats tell apart, copies, and the same ids in both blocks."""
     monkeypatch.setattr(nearest, "MANY", many)
@@ -74,7 +74,7 @@ def test_products_that_may_be_the_largest_are_taken_in_doubles(monkeypatch, many
         some = sorted(table[start : start + 40], key=lambda x: x[2])
         v = np.array([x[1] for x in some])
         sizes = [*np.bincount([x[2] for x in some], minlength=3).tolist(), 0]
-        blocks.append((some, nearest._Block(np.array([x[0] for x in some]).tobytes(), (v / np.linalg.norm(v, axis=1)[:, None]).tobytes(), sizes)))
+        blocks.append((some, nearest._Block(np.array([x[0] for x in some]).tobytes(), v.tobytes(), sizes, v.dtype)))
     best = [np.full((2, 40), -np.inf) for _ in blocks]
     for i, j in ((0, 0), (0, 1), (1, 1)):
         nearest._meet(blocks[i][1], blocks[j][1], best[i], best[j])
